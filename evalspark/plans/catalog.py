@@ -37,3 +37,40 @@ def q_rouge2(spark, sf):
 @register("bleu")
 def q_bleu(spark, sf):
     return overlap.bleu(views.pairs_edit(spark, sf), key=PAIR_KEYS)
+
+
+@register("meteor_exact")
+def q_meteor_exact(spark, sf):
+    from evalspark.operators.meteor import meteor
+
+    return meteor(views.pairs_edit(spark, sf), key=PAIR_KEYS)
+
+
+@register("rouge_l")
+def q_rouge_l(spark, sf):
+    from evalspark.operators.lcs import rouge_l
+
+    return rouge_l(views.pairs_edit(spark, sf), key=PAIR_KEYS)
+
+
+@register("tokenize")
+def q_tokenize(spark, sf):
+    from pyspark.sql import functions as F
+
+    from evalspark.functions.text import tokenize
+    from evalspark.sources.tables import table
+
+    d = table(spark, sf, "documents")
+    return d.select(
+        "doc_id",
+        F.size(tokenize("text", "ascii")).cast("long").alias("n_ascii"),
+        F.size(tokenize("text", "word")).cast("long").alias("n_word"),
+        F.array_join(tokenize("text", "word_lower"), " ").alias("words_lower"),
+    )
+
+
+@register("cosine")
+def q_cosine(spark, sf):
+    from evalspark.operators.vectors import cosine_scores
+
+    return cosine_scores(views.vector_pairs(spark, sf), "embedding", "anchor_embedding", ["vec_id", "label", "anchor_id"])

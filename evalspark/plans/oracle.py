@@ -132,3 +132,58 @@ SQL: dict[str, str] = {}
 SQL["rouge1"] = rouge_n_sql(V_PAIRS, "pairs", 1, "rouge1")
 SQL["rouge2"] = rouge_n_sql(V_PAIRS_EDIT, "pairs_edit", 2, "rouge2")
 SQL["bleu"] = bleu_sql(V_PAIRS_EDIT, "pairs_edit")
+
+
+def meteor_sql(view_cte: str, src: str) -> str:
+    return f"""
+WITH {view_cte},
+mt AS (SELECT pair_id, regexp_extract_all(lower(candidate), '{WORD}') AS c,
+              regexp_extract_all(lower(reference), '{WORD}') AS r FROM {src}),
+ct AS (SELECT pair_id, unnest(c) AS tok, generate_subscripts(c, 1) AS pos FROM mt),
+rt AS (SELECT pair_id, unnest(r) AS tok, generate_subscripts(r, 1) AS pos FROM mt),
+cr AS (SELECT pair_id, tok, pos, row_number() OVER (PARTITION BY pair_id, tok ORDER BY pos DESC) AS k FROM ct),
+rr AS (SELECT pair_id, tok, pos, row_number() OVER (PARTITION BY pair_id, tok ORDER BY pos DESC) AS k FROM rt),
+al AS (SELECT cr.pair_id, cr.pos AS cpos, rr.pos AS rpos FROM cr JOIN rr USING (pair_id, tok, k)),
+ch AS (
+  SELECT pair_id, cpos, rpos,
+         CASE WHEN lag(cpos) OVER w IS NULL OR cpos <> lag(cpos) OVER w + 1 OR rpos <> lag(rpos) OVER w + 1
+              THEN 1 ELSE 0 END AS brk
+  FROM al WINDOW w AS (PARTITION BY pair_id ORDER BY cpos)
+),
+agg AS (SELECT pair_id, count(*) AS m, sum(brk) AS chunks FROM ch GROUP BY pair_id),
+sc AS (
+  SELECT mt.pair_id, coalesce(agg.m, 0) AS m, agg.chunks, len(mt.c) AS lc, len(mt.r) AS lr
+  FROM mt LEFT JOIN agg USING (pair_id)
+)
+SELECT v.pair_id, v.sno, v.model,
+  CASE WHEN m = 0 THEN 0.0 ELSE round_even(
+    (1.0 - 0.5 * pow(chunks::DOUBLE / m, 3.0))
+    * ((m::DOUBLE / lc) * (m::DOUBLE / lr) / (0.9::DOUBLE * (m::DOUBLE / lc) + (1.0 - 0.9::DOUBLE) * (m::DOUBLE / lr))), 4) END AS meteor
+FROM sc JOIN {src} v USING (pair_id)"""
+
+
+SQL["meteor_exact"] = meteor_sql(V_PAIRS_EDIT, "pairs_edit")
+
+SQL["tokenize"] = f"""
+SELECT doc_id, len(regexp_extract_all(lower(text), '{ASCII}'))::BIGINT AS n_ascii,
+       len(regexp_extract_all(text, '{WORD}'))::BIGINT AS n_word,
+       array_to_string(regexp_extract_all(lower(text), '{WORD}'), ' ') AS words_lower
+FROM documents"""
+
+V_VECTOR_PAIRS = """
+anchor AS (SELECT label, min(vec_id) AS anchor_id FROM embeddings GROUP BY label),
+vector_pairs AS (
+  SELECT e.vec_id, e.label, a.anchor_id, e.embedding AS x, b.embedding AS y
+  FROM embeddings e JOIN anchor a USING (label) JOIN embeddings b ON b.vec_id = a.anchor_id
+)"""
+
+SQL["cosine"] = f"""
+WITH {V_VECTOR_PAIRS},
+d AS (
+  SELECT vec_id, label, anchor_id, len(x) AS lx, len(y) AS ly,
+    list_reduce(list_transform(list_zip(x, y), lambda p: p[1]::DOUBLE * p[2]::DOUBLE), lambda a, b: a + b) AS dot,
+    sqrt(list_reduce(list_transform(x, lambda v: v::DOUBLE * v::DOUBLE), lambda a, b: a + b))
+      * sqrt(list_reduce(list_transform(y, lambda v: v::DOUBLE * v::DOUBLE), lambda a, b: a + b)) AS nrm
+  FROM vector_pairs
+)
+SELECT vec_id, label, anchor_id, CASE WHEN lx = ly AND nrm > 0 THEN round_even(dot / nrm, 4) END AS cosine FROM d"""
