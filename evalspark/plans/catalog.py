@@ -74,3 +74,194 @@ def q_cosine(spark, sf):
     from evalspark.operators.vectors import cosine_scores
 
     return cosine_scores(views.vector_pairs(spark, sf), "embedding", "anchor_embedding", ["vec_id", "label", "anchor_id"])
+
+
+# --- scores and the report family ---------------------------------------------------------------
+
+def _r6(c):
+    from pyspark.sql import functions as F
+
+    return F.bround(c, 6)
+
+
+def scores_long(spark, sf):
+    """scores(sno, model, metric, score): ROUGE-1/2, BLEU, METEOR over pairs_edit."""
+    from evalspark.operators.scoring import TEXT_METRICS, score_pairs, to_long
+
+    wide = score_pairs(views.pairs_edit(spark, sf), PAIR_KEYS)
+    return to_long(wide, ["sno", "model"], TEXT_METRICS).drop("note")
+
+
+@register("score_all")
+def q_score_all(spark, sf):
+    from evalspark.operators.scoring import score_all
+
+    return score_all(views.pairs_edit(spark, sf), PAIR_KEYS, include_rouge_l=True)
+
+
+@register("scores")
+def q_scores(spark, sf):
+    return scores_long(spark, sf)
+
+
+def _report(spark, sf):
+    from evalspark.operators import report
+
+    return report.assemble_report(scores_long(spark, sf), views.prompts(spark, sf))
+
+
+@register("assemble_report")
+def q_assemble_report(spark, sf):
+    from pyspark.sql import functions as F
+
+    from evalspark.functions.scalar import prompt_label
+
+    rep = _report(spark, sf)
+    n_scores = F.aggregate(F.map_values("models"), F.lit(0), lambda acc, m: acc + F.size(m))
+    return rep.select("SNO", prompt_label("prompt").alias("label"), F.size("models").alias("n_models"), n_scores.alias("n_scores"))
+
+
+@register("flatten_report")
+def q_flatten_report(spark, sf):
+    from evalspark.operators import report
+
+    return report.coerce_scores(report.flatten_report(_report(spark, sf))).select("sno", "model", "metric", "score")
+
+
+@register("coerce_score")
+def q_coerce_score(spark, sf):
+    from pyspark.sql import functions as F
+
+    from evalspark.functions.scalar import coerce_score
+    from evalspark.sources.tables import table
+
+    ev = table(spark, sf, "events")
+    return ev.select(
+        "event_id",
+        coerce_score(F.get_json_object("props", "$.k")).alias("k_score"),
+        coerce_score("props").alias("props_score"),
+    )
+
+
+@register("filter_scores")
+def q_filter_scores(spark, sf):
+    from evalspark.operators import report
+
+    return report.filter_scores(scores_long(spark, sf))
+
+
+@register("prompt_scores")
+def q_prompt_scores(spark, sf):
+    from evalspark.operators import report
+
+    return report.prompt_scores(scores_long(spark, sf))
+
+
+@register("mean_scores")
+def q_mean_scores(spark, sf):
+    from evalspark.operators import report
+
+    m = report.mean_scores(report.filter_scores(scores_long(spark, sf), metrics=None))
+    return m.select("model", "metric", _r6("mean_score").alias("mean_score"))
+
+
+def _metrics():
+    from evalspark.operators.scoring import TEXT_METRICS
+
+    return TEXT_METRICS
+
+
+@register("score_matrix")
+def q_score_matrix(spark, sf):
+    from evalspark.operators import report
+
+    mx = report.score_matrix(report.filter_scores(scores_long(spark, sf)), _metrics())
+    return mx.select("model", *[_r6(f"`{m}`").alias(m) for m in _metrics()])
+
+
+@register("prompt_matrix")
+def q_prompt_matrix(spark, sf):
+    from evalspark.operators import report
+
+    mx = report.prompt_matrix(scores_long(spark, sf), _metrics())
+    return mx.select("sno", "model", *[_r6(f"`{m}`").alias(m) for m in _metrics()])
+
+
+@register("overall_mean")
+def q_overall_mean(spark, sf):
+    from evalspark.operators import report
+
+    om = report.overall_mean(report.filter_scores(scores_long(spark, sf)))
+    return om.select("model", _r6("overall_mean").alias("overall_mean"))
+
+
+@register("overall_winner")
+def q_overall_winner(spark, sf):
+    from evalspark.operators import report
+
+    w = report.overall_winner(report.filter_scores(scores_long(spark, sf)))
+    return w.select("model", _r6("overall_mean").alias("overall_mean"))
+
+
+@register("prompt_winners")
+def q_prompt_winners(spark, sf):
+    from evalspark.operators import report
+
+    w = report.prompt_winners(scores_long(spark, sf))
+    return w.select("sno", "model", _r6("prompt_mean").alias("prompt_mean"))
+
+
+@register("winner_profile")
+def q_winner_profile(spark, sf):
+    from evalspark.operators import report
+
+    p = report.winner_profile(report.filter_scores(scores_long(spark, sf)))
+    return p.select("model", "point_no", "metric", _r6("value").alias("value"), _r6("axis_max").alias("axis_max"))
+
+
+@register("distinct_metrics")
+def q_distinct_metrics(spark, sf):
+    from evalspark.operators import report
+
+    return report.distinct_metrics(scores_long(spark, sf))
+
+
+def _scores_with_prompt(spark, sf):
+    return scores_long(spark, sf).join(views.prompts(spark, sf), "sno")
+
+
+@register("distinct_prompts")
+def q_distinct_prompts(spark, sf):
+    from evalspark.operators import report
+
+    s = scores_long(spark, sf).select("sno").distinct().join(views.prompts(spark, sf), "sno")
+    return report.distinct_prompts(s)
+
+
+@register("prompt_labels")
+def q_prompt_labels(spark, sf):
+    from evalspark.operators import report
+
+    return report.prompt_labels(views.prompts(spark, sf))
+
+
+@register("label_index")
+def q_label_index(spark, sf):
+    from evalspark.operators import report
+
+    return report.label_index(views.prompts(spark, sf)).select("label", "sno")
+
+
+@register("prompt_text")
+def q_prompt_text(spark, sf):
+    from evalspark.operators import report
+
+    s = scores_long(spark, sf).select("sno").distinct().join(views.prompts(spark, sf), "sno")
+    return report.prompt_text(s)
+
+
+@register("prompt_positions")
+def q_prompt_positions(spark, sf):
+    from evalspark.operators import report
+
+    return report.prompt_positions(scores_long(spark, sf))

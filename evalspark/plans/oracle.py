@@ -134,9 +134,9 @@ SQL["rouge2"] = rouge_n_sql(V_PAIRS_EDIT, "pairs_edit", 2, "rouge2")
 SQL["bleu"] = bleu_sql(V_PAIRS_EDIT, "pairs_edit")
 
 
-def meteor_sql(view_cte: str, src: str) -> str:
+def meteor_ctes(src: str) -> str:
+    """CTEs ending in ``met(pair_id, meteor)``."""
     return f"""
-WITH {view_cte},
 mt AS (SELECT pair_id, regexp_extract_all(lower(candidate), '{WORD}') AS c,
               regexp_extract_all(lower(reference), '{WORD}') AS r FROM {src}),
 ct AS (SELECT pair_id, unnest(c) AS tok, generate_subscripts(c, 1) AS pos FROM mt),
@@ -154,12 +154,20 @@ agg AS (SELECT pair_id, count(*) AS m, sum(brk) AS chunks FROM ch GROUP BY pair_
 sc AS (
   SELECT mt.pair_id, coalesce(agg.m, 0) AS m, agg.chunks, len(mt.c) AS lc, len(mt.r) AS lr
   FROM mt LEFT JOIN agg USING (pair_id)
-)
-SELECT v.pair_id, v.sno, v.model,
-  CASE WHEN m = 0 THEN 0.0 ELSE round_even(
+),
+met AS (
+  SELECT pair_id, CASE WHEN m = 0 THEN 0.0 ELSE round_even(
     (1.0 - 0.5 * pow(chunks::DOUBLE / m, 3.0))
     * ((m::DOUBLE / lc) * (m::DOUBLE / lr) / (0.9::DOUBLE * (m::DOUBLE / lc) + (1.0 - 0.9::DOUBLE) * (m::DOUBLE / lr))), 4) END AS meteor
-FROM sc JOIN {src} v USING (pair_id)"""
+  FROM sc
+)"""
+
+
+def meteor_sql(view_cte: str, src: str) -> str:
+    return f"""
+WITH {view_cte},
+{meteor_ctes(src)}
+SELECT v.pair_id, v.sno, v.model, met.meteor FROM met JOIN {src} v USING (pair_id)"""
 
 
 SQL["meteor_exact"] = meteor_sql(V_PAIRS_EDIT, "pairs_edit")
@@ -187,3 +195,82 @@ d AS (
   FROM vector_pairs
 )
 SELECT vec_id, label, anchor_id, CASE WHEN lx = ly AND nrm > 0 THEN round_even(dot / nrm, 4) END AS cosine FROM d"""
+
+
+# --- scores over pairs_edit and the report family -------------------------------------------------
+
+V_SCORES = f"""{V_PAIRS_EDIT},
+{overlap_ctes('pairs_edit', 'ascii', [1, 2], 'ra')},
+{overlap_ctes('pairs_edit', 'word', [1, 2, 3, 4], 'bw')},
+{bleu_select('bw_stats')},
+{meteor_ctes('pairs_edit')},
+wide AS (
+  SELECT v.pair_id, v.sno, v.model,
+    round_even({f1_sql('r1.o', 'r1.c', 'r1.r')}, 4) AS rouge1,
+    round_even({f1_sql('r2.o', 'r2.c', 'r2.r')}, 4) AS rouge2,
+    b.bleu, met.meteor
+  FROM pairs_edit v
+  JOIN ra_stats r1 ON r1.pair_id = v.pair_id AND r1.n = 1
+  JOIN ra_stats r2 ON r2.pair_id = v.pair_id AND r2.n = 2
+  JOIN bleu_s b ON b.pair_id = v.pair_id
+  JOIN met ON met.pair_id = v.pair_id
+),
+scores AS (
+  SELECT sno, model, 'ROUGE-1_F1' AS metric, rouge1 AS score FROM wide
+  UNION ALL SELECT sno, model, 'ROUGE-2_F1', rouge2 FROM wide
+  UNION ALL SELECT sno, model, 'BLEU', bleu FROM wide
+  UNION ALL SELECT sno, model, 'METEOR', meteor FROM wide
+),
+prompts AS (SELECT doc_id AS sno, text AS prompt FROM documents)"""
+
+METRICS = ["ROUGE-1_F1", "ROUGE-2_F1", "BLEU", "METEOR"]
+
+
+def _pivot_cols(metric_list: list[str]) -> str:
+    return ", ".join(f"round_even(avg(score) FILTER (WHERE metric = '{m}'), 6) AS \"{m}\"" for m in metric_list)
+
+
+SQL["scores"] = f"WITH {V_SCORES} SELECT sno, model, metric, score FROM scores"
+SQL["assemble_report"] = f"""WITH {V_SCORES},
+per AS (SELECT sno, model, count(*) AS k FROM (SELECT DISTINCT sno, model, metric FROM scores) GROUP BY ALL)
+SELECT p.sno AS SNO, substring(pr.prompt, 1, 70) || '...' AS label,
+       count(*)::INTEGER AS n_models, sum(k)::INTEGER AS n_scores
+FROM per p LEFT JOIN prompts pr USING (sno) GROUP BY p.sno, pr.prompt"""
+SQL["flatten_report"] = f"WITH {V_SCORES} SELECT sno, model, metric, score FROM scores"
+SQL["coerce_score"] = """
+SELECT event_id,
+  CASE WHEN isnan(TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE)) THEN NULL
+       ELSE TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE) END AS k_score,
+  CASE WHEN isnan(TRY_CAST(props AS DOUBLE)) THEN NULL ELSE TRY_CAST(props AS DOUBLE) END AS props_score
+FROM events"""
+SQL["filter_scores"] = f"WITH {V_SCORES} SELECT sno, model, metric, score FROM scores WHERE score IS NOT NULL AND metric <> 'generated_text'"
+SQL["prompt_scores"] = f"WITH {V_SCORES} SELECT sno, model, metric, score FROM scores WHERE score IS NOT NULL"
+SQL["mean_scores"] = f"WITH {V_SCORES} SELECT model, metric, round_even(avg(score), 6) AS mean_score FROM scores WHERE score IS NOT NULL GROUP BY ALL"
+SQL["score_matrix"] = f"WITH {V_SCORES} SELECT model, {_pivot_cols(METRICS)} FROM scores WHERE score IS NOT NULL GROUP BY model"
+SQL["prompt_matrix"] = f"WITH {V_SCORES} SELECT sno, model, {_pivot_cols(METRICS)} FROM scores WHERE score IS NOT NULL GROUP BY sno, model"
+_MEANS = "mm AS (SELECT model, metric, avg(score) AS mean_score FROM scores WHERE score IS NOT NULL GROUP BY ALL)"
+SQL["overall_mean"] = f"WITH {V_SCORES}, {_MEANS} SELECT model, round_even(avg(mean_score), 6) AS overall_mean FROM mm GROUP BY model"
+_OM = "om AS (SELECT model, avg(mean_score) AS overall_mean FROM mm GROUP BY model)"
+SQL["overall_winner"] = f"""WITH {V_SCORES}, {_MEANS}, {_OM}
+SELECT model, round_even(overall_mean, 6) AS overall_mean FROM om ORDER BY round_even(overall_mean, 9) DESC, model ASC LIMIT 1"""
+SQL["prompt_winners"] = f"""WITH {V_SCORES},
+pm AS (SELECT sno, model, avg(m) AS prompt_mean FROM
+        (SELECT sno, model, metric, avg(score) AS m FROM scores WHERE score IS NOT NULL GROUP BY ALL) GROUP BY sno, model),
+rk AS (SELECT *, row_number() OVER (PARTITION BY sno ORDER BY round_even(prompt_mean, 9) DESC, model ASC) AS r FROM pm)
+SELECT sno, model, round_even(prompt_mean, 6) AS prompt_mean FROM rk WHERE r = 1"""
+SQL["winner_profile"] = f"""WITH {V_SCORES}, {_MEANS}, {_OM},
+win AS (SELECT model FROM om ORDER BY round_even(overall_mean, 9) DESC, model ASC LIMIT 1),
+prof AS (SELECT mm.* FROM mm JOIN win USING (model)),
+pts AS (SELECT model, metric, mean_score, row_number() OVER (PARTITION BY model ORDER BY metric) AS point_no FROM prof),
+n AS (SELECT model, count(*) AS n_points, max(mean_score) AS vmax FROM prof GROUP BY model)
+SELECT p.model, coalesce(p.point_no, n.n_points + 1)::INTEGER AS point_no, p.metric, round_even(p.mean_score, 6) AS value,
+       round_even(greatest(1.0, n.vmax * 1.1), 6) AS axis_max
+FROM (SELECT * FROM pts UNION ALL SELECT model, metric, mean_score, NULL FROM pts WHERE point_no = 1) p
+JOIN n USING (model)
+"""
+SQL["distinct_metrics"] = f"WITH {V_SCORES} SELECT DISTINCT metric FROM scores"
+SQL["distinct_prompts"] = f"WITH {V_SCORES} SELECT DISTINCT s.sno, p.prompt FROM scores s JOIN prompts p USING (sno)"
+SQL["prompt_labels"] = "SELECT doc_id AS sno, substring(text, 1, 70) || '...' AS label FROM documents"
+SQL["label_index"] = "SELECT substring(text, 1, 70) || '...' AS label, max(doc_id) AS sno FROM documents GROUP BY 1"
+SQL["prompt_text"] = f"WITH {V_SCORES} SELECT s.sno, min(p.prompt) AS prompt FROM (SELECT DISTINCT sno FROM scores) s JOIN prompts p USING (sno) GROUP BY s.sno"
+SQL["prompt_positions"] = f"WITH {V_SCORES} SELECT sno, (row_number() OVER (ORDER BY sno) - 1)::BIGINT AS position FROM (SELECT DISTINCT sno FROM scores)"
