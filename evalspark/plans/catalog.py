@@ -265,3 +265,103 @@ def q_prompt_positions(spark, sf):
     from evalspark.operators import report
 
     return report.prompt_positions(scores_long(spark, sf))
+
+
+# --- requests family ------------------------------------------------------------------------------
+
+def _validated(spark, sf):
+    from evalspark.operators import requests as rq
+
+    return rq.validate_requests(rq.parse_requests(views.request_bodies(spark, sf), "body", ["batch_id"]))
+
+
+def _initiated(spark, sf):
+    from evalspark.operators import requests as rq
+
+    return rq.initiate(rq.valid_requests(_validated(spark, sf)), ["batch_id"])
+
+
+@register("parse_requests")
+def q_parse_requests(spark, sf):
+    from evalspark.operators import requests as rq
+
+    p = rq.parse_requests(views.request_bodies(spark, sf), "body", ["batch_id"])
+    return p.select("batch_id", "item_index", "prompt", "reference_answer", "context")
+
+
+@register("validate_requests")
+def q_validate_requests(spark, sf):
+    from pyspark.sql import functions as F
+
+    return _validated(spark, sf).select("batch_id", "item_index", F.col("error").isNull().alias("is_valid"), "error")
+
+
+@register("request_errors")
+def q_request_errors(spark, sf):
+    from evalspark.operators import requests as rq
+
+    return rq.request_errors(_validated(spark, sf), ["batch_id"])
+
+
+@register("initiate_evaluations")
+def q_initiate(spark, sf):
+    from pyspark.sql import functions as F
+
+    e = _initiated(spark, sf)
+    return e.select(
+        "evaluation_id",
+        "batch_id",
+        "item_index",
+        "status",
+        F.array_join("requested_models", ",").alias("requested"),
+        F.size(F.map_filter("responses_received", lambda k, v: v == "PENDING")).alias("n_pending"),
+    )
+
+
+@register("fan_out")
+def q_fan_out(spark, sf):
+    from evalspark.operators import requests as rq
+
+    return rq.fan_out(_initiated(spark, sf)).select("evaluation_id", "model")
+
+
+@register("format_prompt")
+def q_format_prompt(spark, sf):
+    from evalspark.operators import requests as rq
+
+    return rq.with_prompt(rq.valid_requests(_validated(spark, sf))).select("batch_id", "item_index", "formatted_prompt")
+
+
+@register("response_key")
+def q_response_key(spark, sf):
+    from evalspark.operators import requests as rq
+
+    return rq.with_response_key(rq.fan_out(_initiated(spark, sf))).select("evaluation_id", "model", "response_key")
+
+
+@register("batch_summary")
+def q_batch_summary(spark, sf):
+    from evalspark.operators import requests as rq
+
+    return rq.batch_summary(_validated(spark, sf), ["batch_id"])
+
+
+@register("requested_only")
+def q_requested_only(spark, sf):
+    from evalspark.operators import requests as rq
+
+    ev = views.status_events(spark, sf).select("evaluation_id", "model", "event_seq")
+    return rq.requested_only(ev, views.evaluations(spark, sf))
+
+
+@register("parse_model_list")
+def q_parse_model_list(spark, sf):
+    from pyspark.sql import functions as F
+
+    from evalspark.functions.scalar import parse_model_list
+    from evalspark.sources.tables import table
+
+    ev = table(spark, sf, "events")
+    csv = F.concat(F.col("event_type"), F.lit(" ,\t"), F.upper("event_type"), F.lit(",, "), F.col("props"))
+    lst = parse_model_list(csv)
+    return ev.select("event_id", F.array_join(lst, "|").alias("models"), F.size(lst).alias("n_models"))

@@ -274,3 +274,118 @@ SQL["prompt_labels"] = "SELECT doc_id AS sno, substring(text, 1, 70) || '...' AS
 SQL["label_index"] = "SELECT substring(text, 1, 70) || '...' AS label, max(doc_id) AS sno FROM documents GROUP BY 1"
 SQL["prompt_text"] = f"WITH {V_SCORES} SELECT s.sno, min(p.prompt) AS prompt FROM (SELECT DISTINCT sno FROM scores) s JOIN prompts p USING (sno) GROUP BY s.sno"
 SQL["prompt_positions"] = f"WITH {V_SCORES} SELECT sno, (row_number() OVER (ORDER BY sno) - 1)::BIGINT AS position FROM (SELECT DISTINCT sno FROM scores)"
+
+
+# --- requests family ------------------------------------------------------------------------------
+
+from evalspark.functions.prompt import INDENT, TEMPLATE_QUESTION_ONLY, TEMPLATE_WITH_CONTEXT  # noqa: E402
+from evalspark.functions.scalar import PY_WHITESPACE_CLASS  # noqa: E402
+from evalspark.operators.requests import DEFAULT_MODELS  # noqa: E402
+
+V_REQUESTS = """
+conv_w AS (
+  SELECT conv_id, turn, role, text,
+    lead(role) OVER w AS next_role, lead(text) OVER w AS next_text,
+    lag(role) OVER w AS prev_role, lag(text) OVER w AS prev_text
+  FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)
+),
+requests AS (
+  SELECT conv_id, turn, text AS prompt,
+    CASE WHEN next_role = 'assistant' THEN next_text END AS reference_answer,
+    CASE WHEN prev_role = 'assistant' THEN prev_text END AS context,
+    CAST(conv_id AS VARCHAR) || '-' || CAST(turn // 8 AS VARCHAR) AS batch_id,
+    (row_number() OVER (PARTITION BY conv_id, turn // 8 ORDER BY turn) - 1)::INTEGER AS item_index
+  FROM conv_w WHERE role = 'user'
+),
+evals AS (
+  SELECT sha256(batch_id || '|' || CAST(item_index AS VARCHAR)) AS evaluation_id, * FROM requests
+  WHERE prompt IS NOT NULL AND prompt <> ''
+)"""
+
+_MODELS_SQL = "[" + ", ".join("'" + m + "'" for m in DEFAULT_MODELS) + "]"
+
+
+def _sql_lit(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def _fill_sql(template: list[str], values: dict[str, str]) -> str:
+    parts = []
+    last = len(template) - 1
+    for i, line in enumerate(template):
+        indent = INDENT if (line or i == last) and i != 0 else ""
+        if line.startswith("{") and line.endswith("}"):
+            parts.append(_sql_lit(indent) + " || coalesce(" + values[line[1:-1]] + ", 'None')")
+        else:
+            parts.append(_sql_lit(indent + line))
+        if i != last:
+            parts.append("chr(10)")
+    return " || ".join(parts)
+
+
+_VISIBLE = f"(context IS NOT NULL AND length(regexp_replace(context, '{PY_WHITESPACE_CLASS}', '', 'g')) > 0)"
+_RAW = (
+    f"CASE WHEN {_VISIBLE} THEN {_fill_sql(TEMPLATE_WITH_CONTEXT, {'question': 'prompt', 'context': 'context'})} "
+    f"ELSE {_fill_sql(TEMPLATE_QUESTION_ONLY, {'question': 'prompt'})} END"
+)
+
+SQL["parse_requests"] = f"WITH {V_REQUESTS} SELECT batch_id, item_index, prompt, reference_answer, context FROM requests"
+SQL["validate_requests"] = f"""WITH {V_REQUESTS}
+SELECT batch_id, item_index, (prompt IS NOT NULL AND prompt <> '') AS is_valid,
+  CASE WHEN prompt IS NULL OR prompt = '' THEN 'Error processing item ' || item_index || ': Prompt is required for item ' || item_index || '.' END AS error
+FROM requests"""
+SQL["request_errors"] = f"""WITH {V_REQUESTS}
+SELECT batch_id, item_index, 'Error processing item ' || item_index || ': Prompt is required for item ' || item_index || '.' AS error,
+       NULL::VARCHAR AS input
+FROM requests WHERE prompt IS NULL OR prompt = ''"""
+SQL["initiate_evaluations"] = f"""WITH {V_REQUESTS}
+SELECT evaluation_id, batch_id, item_index, 'INITIATED' AS status,
+       array_to_string({_MODELS_SQL}, ',') AS requested, len(list_distinct({_MODELS_SQL}))::INTEGER AS n_pending
+FROM evals"""
+SQL["fan_out"] = f"WITH {V_REQUESTS} SELECT evaluation_id, unnest(list_distinct({_MODELS_SQL})) AS model FROM evals"
+SQL["response_key"] = f"""WITH {V_REQUESTS}
+SELECT evaluation_id, model, evaluation_id || '/' || replace(lower(model), ' ', '_') || '_response.json' AS response_key
+FROM (SELECT evaluation_id, unnest(list_distinct({_MODELS_SQL})) AS model FROM evals)"""
+SQL["format_prompt"] = f"""WITH {V_REQUESTS},
+raw AS (SELECT batch_id, item_index, {_RAW} AS raw FROM evals),
+ls AS (SELECT batch_id, item_index,
+         list_transform(string_split(raw, chr(10)),
+           lambda x: CASE WHEN length(regexp_replace(x, '[ \t]', '', 'g')) = 0 THEN '' ELSE x END) AS ls FROM raw),
+kk AS (SELECT *, coalesce(list_min(list_transform(list_filter(ls, lambda x: x <> ''),
+                                   lambda x: length(x) - length(ltrim(x, ' ')))), 0) AS k FROM ls)
+SELECT batch_id, item_index,
+  array_to_string(list_transform(ls, lambda x: CASE WHEN x = '' THEN '' ELSE substring(x, k + 1) END), chr(10)) AS formatted_prompt
+FROM kk"""
+SQL["batch_summary"] = f"""WITH {V_REQUESTS}
+SELECT batch_id, count(*) AS total_items_received,
+  count(*) FILTER (WHERE prompt IS NOT NULL AND prompt <> '') AS items_initiated_successfully,
+  count(*) FILTER (WHERE prompt IS NULL OR prompt = '') AS n_errors,
+  CASE WHEN count(*) FILTER (WHERE prompt IS NULL OR prompt = '') = 0 THEN 200 ELSE 207 END AS status_code
+FROM requests GROUP BY batch_id"""
+
+# --- status world views ---------------------------------------------------------------------------
+
+V_STATUS = """
+status_events AS (
+  SELECT CAST(user_id AS VARCHAR) AS evaluation_id, event_type AS model,
+    CASE WHEN event_id % 10 = 0 THEN 'LLMResponseFailed' ELSE 'LLMResponseReceived' END AS detail_type,
+    CASE WHEN event_id % 10 = 0 THEN NULL ELSE 'RECEIVED' END AS status,
+    CASE WHEN event_id % 10 = 0 THEN 'error ' || props END AS error,
+    ts AS event_time, event_id AS event_seq
+  FROM events
+),
+evaluations AS (
+  SELECT CAST(user_id AS VARCHAR) AS evaluation_id,
+    (['click', 'error', 'purchase', 'signup', 'view'])[1:(user_id % 3) + 3] AS requested_models,
+    (['INITIATED', 'PROCESSING', 'COMPLETED', 'FAILED'])[(user_id % 4) + 1] AS status
+  FROM (SELECT DISTINCT user_id FROM events)
+)"""
+
+SQL["requested_only"] = f"""WITH {V_STATUS}
+SELECT s.evaluation_id, s.model, s.event_seq FROM status_events s JOIN evaluations e USING (evaluation_id)
+WHERE list_contains(e.requested_models, s.model)"""
+SQL["parse_model_list"] = f"""
+SELECT event_id, array_to_string(l, '|') AS models, len(l)::INTEGER AS n_models FROM (
+  SELECT event_id, list_transform(string_split(event_type || ' ,' || chr(9) || upper(event_type) || ',, ' || props, ','),
+     lambda s: regexp_replace(s, '^{PY_WHITESPACE_CLASS}+|{PY_WHITESPACE_CLASS}+$', '', 'g')) AS l
+  FROM events)"""

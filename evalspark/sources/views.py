@@ -154,3 +154,16 @@ def vector_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = emb.join(anchor, "label")
     b = emb.select(F.col("vec_id").alias("anchor_id"), F.col("embedding").alias("anchor_embedding"))
     return a.join(b, "anchor_id").select("vec_id", "label", "anchor_id", "embedding", "anchor_embedding")
+
+
+def request_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Request bodies as JSON text: the user turns of each block of 8 turns of a conversation form
+    one array body (at most 4 items, so the collected group is bounded)."""
+    req = requests(spark, sf_dir)
+    blk = F.floor(F.col("turn") / 8).cast("long")
+    items = F.array_sort(F.collect_list(F.struct("turn", "prompt", "reference_answer", "context")))
+    return (
+        req.groupBy("conv_id", blk.alias("blk"))
+        .agg(F.to_json(F.transform(items, lambda s: s.dropFields("turn"))).alias("body"))
+        .select(F.concat_ws("-", F.col("conv_id").cast("string"), F.col("blk").cast("string")).alias("batch_id"), "body")
+    )
