@@ -365,3 +365,194 @@ def q_parse_model_list(spark, sf):
     csv = F.concat(F.col("event_type"), F.lit(" ,\t"), F.upper("event_type"), F.lit(",, "), F.col("props"))
     lst = parse_model_list(csv)
     return ev.select("event_id", F.array_join(lst, "|").alias("models"), F.size(lst).alias("n_models"))
+
+
+# --- status family --------------------------------------------------------------------------------
+
+AS_OF = "2024-02-15 00:00:00"
+TIMEOUT_SECONDS = 20 * 24 * 3600
+
+
+def _withmap(spark, sf):
+    from evalspark.operators import status as st
+
+    evals = views.evaluations(spark, sf)
+    return st.status_map(evals, st.latest_status(views.status_events(spark, sf)))
+
+
+@register("parse_events")
+def q_parse_events(spark, sf):
+    from pyspark.sql import functions as F
+
+    from evalspark.operators import status as st
+
+    p = st.parse_events(st.to_envelopes(views.status_events(spark, sf)))
+    return p.select(
+        "evaluation_id", "model", "detail_type", "status", "error",
+        F.unix_micros("event_time").alias("event_us"), "event_seq",
+    )
+
+
+@register("latest_status")
+def q_latest_status(spark, sf):
+    from evalspark.operators import status as st
+
+    return st.latest_status(views.status_events(spark, sf)).select("evaluation_id", "model", "status")
+
+
+@register("status_map")
+def q_status_map(spark, sf):
+    from pyspark.sql import functions as F
+
+    m = _withmap(spark, sf)
+    entries = F.transform(F.map_entries("responses_received"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    return m.select("evaluation_id", F.array_join(entries, ";").alias("entries"), F.size("responses_received").alias("n_entries"))
+
+
+@register("open_evaluations")
+def q_open_evaluations(spark, sf):
+    from evalspark.operators import status as st
+
+    return st.open_evaluations(views.evaluations(spark, sf)).select("evaluation_id", "status")
+
+
+@register("received_count")
+def q_received_count(spark, sf):
+    from evalspark.operators import status as st
+
+    return st.received_count(_withmap(spark, sf)).select("evaluation_id", "n_requested", "n_received")
+
+
+@register("ready_evaluations")
+def q_ready_evaluations(spark, sf):
+    from evalspark.operators import status as st
+
+    return st.ready_evaluations(_withmap(spark, sf)).select("evaluation_id", "new_status")
+
+
+@register("evaluation_progress")
+def q_evaluation_progress(spark, sf):
+    from pyspark.sql import functions as F
+
+    from evalspark.operators import status as st
+
+    return st.progress(_withmap(spark, sf)).select("evaluation_id", F.array_join("missing", ",").alias("missing"), "progress")
+
+
+@register("timed_out")
+def q_timed_out(spark, sf):
+    from evalspark.operators import status as st
+
+    return st.timed_out(_withmap(spark, sf), AS_OF, TIMEOUT_SECONDS)
+
+
+@register("lookup_evaluations")
+def q_lookup_evaluations(spark, sf):
+    from pyspark.sql import functions as F
+
+    from evalspark.operators import status as st
+    from evalspark.sources.tables import table
+
+    ids = table(spark, sf, "conversations").select(F.col("conv_id").cast("string").alias("evaluation_id")).distinct()
+    return st.lookup(ids, views.evaluations(spark, sf)).select("evaluation_id", "found", "status")
+
+
+@register("accepted_events")
+def q_accepted_events(spark, sf):
+    from evalspark.operators import status as st
+
+    return st.accepted_events(views.status_events(spark, sf), views.evaluations(spark, sf)).select("evaluation_id", "model", "event_seq")
+
+
+@register("rejected_events")
+def q_rejected_events(spark, sf):
+    from evalspark.operators import status as st
+
+    return st.rejected_events(views.status_events(spark, sf), views.evaluations(spark, sf)).select("evaluation_id", "model", "event_seq")
+
+
+@register("evaluation_states")
+def q_evaluation_states(spark, sf):
+    from pyspark.sql import functions as F
+
+    from evalspark.operators import status as st
+
+    wm = _withmap(spark, sf)
+    ready = st.ready_evaluations(wm)
+    t1, t2 = F.lit(AS_OF).cast("timestamp"), (F.lit(AS_OF).cast("timestamp") + F.expr("INTERVAL 1 HOUR"))
+    rows = (
+        wm.select("evaluation_id", "status", F.lit(None).cast("string").alias("final_key"), F.col("created_at").alias("state_time"))
+        .unionByName(ready.select("evaluation_id", F.col("new_status").alias("status"), F.lit(None).cast("string").alias("final_key"), t1.alias("state_time")))
+        .unionByName(st.completion_rows(ready).select("evaluation_id", "status", "final_key", t2.alias("state_time")))
+    )
+    return st.current_state(rows)
+
+
+# --- outcomes and judge -----------------------------------------------------------------------------
+
+@register("classify_outcomes")
+def q_classify_outcomes(spark, sf):
+    from pyspark.sql import functions as F
+
+    from evalspark.operators.outcomes import classify_outcomes
+
+    o = classify_outcomes(_withmap(spark, sf), views.responses(spark, sf))
+    return o.select("evaluation_id", "model", "outcome", F.col("response").isNotNull().alias("has_response"))
+
+
+@register("final_metrics_doc")
+def q_final_metrics_doc(spark, sf):
+    from pyspark.sql import functions as F
+
+    from evalspark.operators.outcomes import COMPLETED, flatten_final_metrics, to_final_metrics
+
+    sc = scores_long(spark, sf).withColumn("evaluation_id", F.col("sno").cast("string"))
+    outcomes = sc.select("evaluation_id", "model").distinct().select(
+        "evaluation_id", "model", F.lit(COMPLETED).alias("outcome"), F.lit(None).cast("string").alias("message"),
+        F.lit(None).cast("string").alias("response"),
+    )
+    doc = to_final_metrics(outcomes, sc.select("evaluation_id", "model", "metric", "score"))
+    return flatten_final_metrics(doc)
+
+
+@register("verdict_ratio")
+def q_verdict_ratio(spark, sf):
+    from evalspark.operators.judge import verdict_ratio
+
+    v = verdict_ratio(views.verdicts(spark, sf))
+    return v.select("evaluation_id", "model", "criterion", _r6("score").alias("score"), "n_verdicts")
+
+
+@register("rubric_score")
+def q_rubric_score(spark, sf):
+    from pyspark.sql import functions as F
+
+    from evalspark.operators.judge import rubric_score
+    from evalspark.sources.tables import table
+
+    lab = table(spark, sf, "labels").join(table(spark, sf, "documents").select("doc_id", "lang", "source"), "doc_id")
+    ratings = lab.select(
+        F.col("lang").alias("evaluation_id"), F.col("source").alias("model"), F.lit("coherence").alias("criterion"),
+        (F.col("quality") * 2 + (1 - F.col("toxic"))).alias("rating"),
+    )
+    r = rubric_score(ratings, 3)
+    return r.select("evaluation_id", "model", "criterion", _r6("score").alias("score"))
+
+
+@register("metric_pass")
+def q_metric_pass(spark, sf):
+    from evalspark.operators.judge import thresholds_table, verdict_ratio, with_pass
+
+    v = verdict_ratio(views.verdicts(spark, sf))
+    p = with_pass(v, thresholds_table(spark))
+    return p.select("evaluation_id", "model", "criterion", _r6("score").alias("score"), "passed")
+
+
+@register("label_rate")
+def q_label_rate(spark, sf):
+    from evalspark.operators.judge import label_rate
+    from evalspark.sources.tables import table
+
+    lab = table(spark, sf, "labels").join(table(spark, sf, "documents").select("doc_id", "source"), "doc_id")
+    r = label_rate(lab.withColumnRenamed("source", "model"), "toxic")
+    return r.select("model", _r6("rate").alias("rate"), "n_units")

@@ -389,3 +389,107 @@ SELECT event_id, array_to_string(l, '|') AS models, len(l)::INTEGER AS n_models
   SELECT event_id, list_transform(string_split(event_type || ' ,' || chr(9) || upper(event_type) || ',, ' || props, ','),
      lambda s: regexp_replace(s, '^{PY_WHITESPACE_CLASS}+|{PY_WHITESPACE_CLASS}+$', '', 'g')) AS l
   FROM events)"""
+
+
+# --- status, outcomes, judge ---------------------------------------------------------------------
+
+V_STATUS2 = V_STATUS.replace(
+    "FROM (SELECT DISTINCT user_id FROM events)",
+    "FROM (SELECT user_id, min(ts) AS created_at FROM events GROUP BY user_id)",
+).replace("AS status\n  FROM (SELECT user_id", "AS status, created_at\n  FROM (SELECT user_id") + """,
+latest AS (
+  SELECT evaluation_id, model,
+    coalesce(status, CASE WHEN detail_type = 'LLMResponseFailed' THEN 'FAILED' ELSE 'RECEIVED' END) AS status
+  FROM (SELECT *, row_number() OVER (PARTITION BY evaluation_id, model ORDER BY event_time DESC, event_seq DESC) AS rn
+        FROM status_events) WHERE rn = 1
+),
+req AS (SELECT evaluation_id, unnest(list_distinct(requested_models)) AS model FROM evaluations),
+cur AS (
+  SELECT l.evaluation_id, l.model, l.status FROM latest l WHERE l.evaluation_id IN (SELECT evaluation_id FROM evaluations)
+  UNION ALL
+  SELECT r.evaluation_id, r.model, 'PENDING' FROM req r
+  WHERE NOT EXISTS (SELECT 1 FROM latest l WHERE l.evaluation_id = r.evaluation_id AND l.model = r.model)
+),
+wm AS (
+  SELECT e.*, (SELECT count(*) FROM req r JOIN cur c USING (evaluation_id, model) WHERE r.evaluation_id = e.evaluation_id AND c.status = 'RECEIVED') AS n_received,
+         (SELECT count(*) FROM req r JOIN cur c USING (evaluation_id, model) WHERE r.evaluation_id = e.evaluation_id AND c.status IN ('RECEIVED', 'FAILED')) AS n_done,
+         len(list_distinct(e.requested_models)) AS n_requested
+  FROM evaluations e
+)"""
+
+SQL["parse_events"] = f"""WITH {V_STATUS}
+SELECT evaluation_id, model, detail_type, status, error, epoch_us(event_time) AS event_us, event_seq FROM status_events"""
+SQL["latest_status"] = f"WITH {V_STATUS2} SELECT evaluation_id, model, status FROM latest"
+SQL["status_map"] = f"""WITH {V_STATUS2}
+SELECT e.evaluation_id, coalesce(string_agg(c.model || '=' || c.status, ';' ORDER BY c.model), '') AS entries,
+       count(c.model)::INTEGER AS n_entries
+FROM evaluations e LEFT JOIN cur c USING (evaluation_id) GROUP BY e.evaluation_id"""
+SQL["open_evaluations"] = f"WITH {V_STATUS} SELECT evaluation_id, status FROM evaluations WHERE status IN ('INITIATED', 'PROCESSING')"
+SQL["received_count"] = f"WITH {V_STATUS2} SELECT evaluation_id, n_requested::INTEGER AS n_requested, n_received::INTEGER AS n_received FROM wm"
+SQL["ready_evaluations"] = f"""WITH {V_STATUS2}
+SELECT evaluation_id, 'PROCESSING' AS new_status FROM wm
+WHERE status IN ('INITIATED', 'PROCESSING') AND n_requested > 0 AND n_done = n_requested"""
+SQL["evaluation_progress"] = f"""WITH {V_STATUS2}
+SELECT w.evaluation_id,
+  coalesce((SELECT string_agg(r.model, ',' ORDER BY r.model) FROM req r JOIN cur c USING (evaluation_id, model)
+            WHERE r.evaluation_id = w.evaluation_id AND c.status <> 'RECEIVED'), '') AS missing,
+  CAST(n_received AS VARCHAR) || '/' || CAST(n_requested AS VARCHAR) AS progress
+FROM wm w WHERE status IN ('INITIATED', 'PROCESSING')"""
+SQL["timed_out"] = f"""WITH {V_STATUS2}
+SELECT evaluation_id, 'FAILED' AS new_status,
+  (epoch(TIMESTAMP '2024-02-15 00:00:00') - floor(epoch(created_at)))::BIGINT AS age_seconds
+FROM wm WHERE status IN ('INITIATED', 'PROCESSING') AND NOT (n_requested > 0 AND n_done = n_requested)
+  AND (epoch(TIMESTAMP '2024-02-15 00:00:00') - floor(epoch(created_at))) > {20 * 24 * 3600}"""
+SQL["lookup_evaluations"] = f"""WITH {V_STATUS}
+SELECT i.evaluation_id, e.evaluation_id IS NOT NULL AS found, e.status
+FROM (SELECT DISTINCT CAST(conv_id AS VARCHAR) AS evaluation_id FROM conversations) i
+LEFT JOIN evaluations e USING (evaluation_id)"""
+SQL["accepted_events"] = f"""WITH {V_STATUS}
+SELECT evaluation_id, model, event_seq FROM status_events WHERE evaluation_id IN (SELECT evaluation_id FROM evaluations)"""
+SQL["rejected_events"] = f"""WITH {V_STATUS}
+SELECT evaluation_id, model, event_seq FROM status_events WHERE evaluation_id NOT IN (SELECT evaluation_id FROM evaluations)"""
+SQL["evaluation_states"] = f"""WITH {V_STATUS2},
+ready AS (SELECT evaluation_id FROM wm WHERE status IN ('INITIATED', 'PROCESSING') AND n_requested > 0 AND n_done = n_requested)
+SELECT e.evaluation_id,
+  CASE WHEN r.evaluation_id IS NOT NULL THEN 'COMPLETED' ELSE e.status END AS status,
+  CASE WHEN r.evaluation_id IS NOT NULL THEN e.evaluation_id || '/final_metrics.json' END AS final_key
+FROM evaluations e LEFT JOIN ready r USING (evaluation_id)"""
+SQL["classify_outcomes"] = f"""WITH {V_STATUS2},
+resp AS (
+  SELECT l.evaluation_id, l.model, d.text AS response FROM
+    (SELECT evaluation_id, model, max(event_seq) AS doc_id FROM status_events WHERE status = 'RECEIVED' GROUP BY ALL) l
+  JOIN documents d USING (doc_id)
+)
+SELECT r.evaluation_id, r.model,
+  CASE WHEN coalesce(c.status, '') <> 'RECEIVED' THEN 'SKIPPED_NOT_RECEIVED'
+       WHEN x.evaluation_id IS NULL THEN 'ERROR_PROCESSING_S3_RESPONSE'
+       WHEN x.response IS NULL OR x.response = '' THEN 'EMPTY_RESPONSE' ELSE 'COMPLETED' END AS outcome,
+  (coalesce(c.status, '') = 'RECEIVED' AND x.evaluation_id IS NOT NULL AND coalesce(x.response, '') <> '') AS has_response
+FROM req r LEFT JOIN cur c USING (evaluation_id, model) LEFT JOIN resp x USING (evaluation_id, model)"""
+SQL["final_metrics_doc"] = f"""WITH {V_SCORES}
+SELECT CAST(sno AS VARCHAR) AS evaluation_id, model, 'COMPLETED' AS status, metric, score FROM scores"""
+
+V_VERDICTS = """
+verdicts AS (
+  SELECT d.lang AS evaluation_id, d.source AS model, 'faithfulness' AS criterion, l.doc_id AS unit_no, l.quality = 1 AS verdict
+  FROM labels l JOIN documents d USING (doc_id)
+  UNION ALL
+  SELECT d.lang, d.source, 'toxicity', l.doc_id, l.toxic = 1 FROM labels l JOIN documents d USING (doc_id)
+),
+ratio AS (SELECT evaluation_id, model, criterion, avg(verdict::DOUBLE) AS score, count(verdict) AS n_verdicts FROM verdicts GROUP BY ALL)"""
+SQL["verdict_ratio"] = f"WITH {V_VERDICTS} SELECT evaluation_id, model, criterion, round_even(score, 6) AS score, n_verdicts FROM ratio"
+SQL["rubric_score"] = """
+SELECT d.lang AS evaluation_id, d.source AS model, 'coherence' AS criterion,
+       round_even(avg(l.quality * 2 + (1 - l.toxic)) / 3.0, 6) AS score
+FROM labels l JOIN documents d USING (doc_id) GROUP BY ALL"""
+SQL["metric_pass"] = f"""WITH {V_VERDICTS},
+th AS (SELECT * FROM (VALUES ('hallucination', 0.5, true), ('answer_relevancy', 0.5, false), ('faithfulness', 0.5, false),
+   ('contextual_relevancy', 0.7, false), ('contextual_recall', 0.7, false), ('toxicity', 0.5, true), ('bias', 0.5, true))
+   t(criterion, threshold, lower_is_better))
+SELECT r.evaluation_id, r.model, r.criterion, round_even(r.score, 6) AS score,
+  CASE WHEN th.threshold IS NULL OR r.score IS NULL THEN NULL
+       WHEN th.lower_is_better THEN r.score <= th.threshold ELSE r.score >= th.threshold END AS passed
+FROM ratio r LEFT JOIN th USING (criterion)"""
+SQL["label_rate"] = """
+SELECT d.source AS model, round_even(avg(l.toxic::DOUBLE), 6) AS rate, count(*) AS n_units
+FROM labels l JOIN documents d USING (doc_id) GROUP BY d.source"""

@@ -9,7 +9,8 @@ requests       user turns of conversations with the next assistant turn as refer
 status_events  events as model-response events of evaluation = user, model = event type
 evaluations    one per user: requested models (3-5 event types), status by user
 responses      response objects: the document whose id is the latest received event of (user, type)
-verdicts       labels as judge verdicts (quality → faithfulness, toxic → toxicity)
+verdicts       labels as judge verdicts (quality → faithfulness, toxic → toxicity); evaluation = lang,
+               model = source
 vector_pairs   each embedding against the lowest-id embedding of its label
 """
 
@@ -113,12 +114,13 @@ def requested_for_user(user_id):
 
 
 def evaluations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    users = table(spark, sf_dir, "events").select("user_id").distinct()
+    users = table(spark, sf_dir, "events").groupBy("user_id").agg(F.min("ts").cast("timestamp").alias("created_at"))
     status = F.element_at(F.array(*[F.lit(s) for s in STATUS_BY_USER]), (F.pmod(F.col("user_id"), F.lit(4)) + 1).cast("int"))
     return users.select(
         F.col("user_id").cast("string").alias("evaluation_id"),
         requested_for_user(F.col("user_id")).alias("requested_models"),
         status.alias("status"),
+        "created_at",
     )
 
 
@@ -135,7 +137,7 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     lab = table(spark, sf_dir, "labels")
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang")
     j = lab.join(docs, "doc_id")
     rows = F.explode(
         F.array(
@@ -143,9 +145,9 @@ def verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.struct(F.lit("toxicity").alias("criterion"), (F.col("toxic") == 1).alias("verdict")),
         )
     )
-    return j.select(F.col("source").alias("model"), F.col("doc_id").alias("unit_no"), rows.alias("v")).select(
-        "model", "v.criterion", "unit_no", "v.verdict"
-    )
+    return j.select(
+        F.col("lang").alias("evaluation_id"), F.col("source").alias("model"), F.col("doc_id").alias("unit_no"), rows.alias("v")
+    ).select("evaluation_id", "model", "v.criterion", "unit_no", "v.verdict")
 
 
 def vector_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
