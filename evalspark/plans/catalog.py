@@ -556,3 +556,10 @@ def q_label_rate(spark, sf):
     lab = table(spark, sf, "labels").join(table(spark, sf, "documents").select("doc_id", "source"), "doc_id")
     r = label_rate(lab.withColumnRenamed("source", "model"), "toxic")
     return r.select("model", _r6("rate").alias("rate"), "n_units")
+
+
+@register("meteor")
+def q_meteor(spark, sf):
+    from evalspark.operators.meteor import meteor
+
+    return meteor(views.pairs_edit(spark, sf), key=PAIR_KEYS, stem=True)
