@@ -27,6 +27,7 @@ ITEM_SCHEMA = StructType(
 )
 
 NOT_OBJECT = "item is not a JSON object"
+BAD_JSON = "item is not valid JSON"
 BAD_BODY = "request body must be a JSON array of evaluation objects or a single evaluation object"
 
 
@@ -65,7 +66,9 @@ def parse_requests(df: DataFrame, body_col: str = "body", keys: Sequence[str] =
         F.col("it.reference_answer").alias("reference_answer"),
         F.col("it.context").alias("context"),
         "_raw",
-        F.when(F.col("it").isNull(), F.lit(NOT_OBJECT)).alias("parse_error"),
+        F.when(F.col("it").isNull(), F.lit(NOT_OBJECT))
+        .when(F.get_json_object("_raw", "$").isNull(), F.lit(BAD_JSON))
+        .alias("parse_error"),
     )
     return good.unionByName(bad)
 
