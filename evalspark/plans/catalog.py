@@ -81,7 +81,7 @@ def q_cosine(spark, sf):
 def _r6(c):
     from pyspark.sql import functions as F
 
-    return F.bround(c, 6)
+    return F.bround(c, 9)
 
 
 def scores_long(spark, sf):

@@ -227,7 +227,7 @@ METRICS = ["ROUGE-1_F1", "ROUGE-2_F1", "BLEU", "METEOR"]
 
 
 def _pivot_cols(metric_list: list[str]) -> str:
-    return ", ".join(f"round_even(avg(score) FILTER (WHERE metric = '{m}'), 6) AS \"{m}\"" for m in metric_list)
+    return ", ".join(f"round_even(avg(score) FILTER (WHERE metric = '{m}'), 9) AS \"{m}\"" for m in metric_list)
 
 
 SQL["scores"] = f"WITH {V_SCORES} SELECT sno, model, metric, score FROM scores"
@@ -245,26 +245,26 @@ SELECT event_id,
 FROM events"""
 SQL["filter_scores"] = f"WITH {V_SCORES} SELECT sno, model, metric, score FROM scores WHERE score IS NOT NULL AND metric <> 'generated_text'"
 SQL["prompt_scores"] = f"WITH {V_SCORES} SELECT sno, model, metric, score FROM scores WHERE score IS NOT NULL"
-SQL["mean_scores"] = f"WITH {V_SCORES} SELECT model, metric, round_even(avg(score), 6) AS mean_score FROM scores WHERE score IS NOT NULL GROUP BY ALL"
+SQL["mean_scores"] = f"WITH {V_SCORES} SELECT model, metric, round_even(avg(score), 9) AS mean_score FROM scores WHERE score IS NOT NULL GROUP BY ALL"
 SQL["score_matrix"] = f"WITH {V_SCORES} SELECT model, {_pivot_cols(METRICS)} FROM scores WHERE score IS NOT NULL GROUP BY model"
 SQL["prompt_matrix"] = f"WITH {V_SCORES} SELECT sno, model, {_pivot_cols(METRICS)} FROM scores WHERE score IS NOT NULL GROUP BY sno, model"
 _MEANS = "mm AS (SELECT model, metric, avg(score) AS mean_score FROM scores WHERE score IS NOT NULL GROUP BY ALL)"
-SQL["overall_mean"] = f"WITH {V_SCORES}, {_MEANS} SELECT model, round_even(avg(mean_score), 6) AS overall_mean FROM mm GROUP BY model"
+SQL["overall_mean"] = f"WITH {V_SCORES}, {_MEANS} SELECT model, round_even(avg(mean_score), 9) AS overall_mean FROM mm GROUP BY model"
 _OM = "om AS (SELECT model, avg(mean_score) AS overall_mean FROM mm GROUP BY model)"
 SQL["overall_winner"] = f"""WITH {V_SCORES}, {_MEANS}, {_OM}
-SELECT model, round_even(overall_mean, 6) AS overall_mean FROM om ORDER BY round_even(overall_mean, 9) DESC, model ASC LIMIT 1"""
+SELECT model, round_even(overall_mean, 9) AS overall_mean FROM om ORDER BY round_even(overall_mean, 9) DESC, model ASC LIMIT 1"""
 SQL["prompt_winners"] = f"""WITH {V_SCORES},
 pm AS (SELECT sno, model, avg(m) AS prompt_mean FROM
         (SELECT sno, model, metric, avg(score) AS m FROM scores WHERE score IS NOT NULL GROUP BY ALL) GROUP BY sno, model),
 rk AS (SELECT *, row_number() OVER (PARTITION BY sno ORDER BY round_even(prompt_mean, 9) DESC, model ASC) AS r FROM pm)
-SELECT sno, model, round_even(prompt_mean, 6) AS prompt_mean FROM rk WHERE r = 1"""
+SELECT sno, model, round_even(prompt_mean, 9) AS prompt_mean FROM rk WHERE r = 1"""
 SQL["winner_profile"] = f"""WITH {V_SCORES}, {_MEANS}, {_OM},
 win AS (SELECT model FROM om ORDER BY round_even(overall_mean, 9) DESC, model ASC LIMIT 1),
 prof AS (SELECT mm.* FROM mm JOIN win USING (model)),
 pts AS (SELECT model, metric, mean_score, row_number() OVER (PARTITION BY model ORDER BY metric) AS point_no FROM prof),
 n AS (SELECT model, count(*) AS n_points, max(mean_score) AS vmax FROM prof GROUP BY model)
-SELECT p.model, coalesce(p.point_no, n.n_points + 1)::INTEGER AS point_no, p.metric, round_even(p.mean_score, 6) AS value,
-       round_even(greatest(1.0, n.vmax * 1.1), 6) AS axis_max
+SELECT p.model, coalesce(p.point_no, n.n_points + 1)::INTEGER AS point_no, p.metric, round_even(p.mean_score, 9) AS value,
+       round_even(greatest(1.0, n.vmax * 1.1), 9) AS axis_max
 FROM (SELECT * FROM pts UNION ALL SELECT model, metric, mean_score, NULL FROM pts WHERE point_no = 1) p
 JOIN n USING (model)
 """
@@ -477,19 +477,19 @@ verdicts AS (
   SELECT d.lang, d.source, 'toxicity', l.doc_id, l.toxic = 1 FROM labels l JOIN documents d USING (doc_id)
 ),
 ratio AS (SELECT evaluation_id, model, criterion, avg(verdict::DOUBLE) AS score, count(verdict) AS n_verdicts FROM verdicts GROUP BY ALL)"""
-SQL["verdict_ratio"] = f"WITH {V_VERDICTS} SELECT evaluation_id, model, criterion, round_even(score, 6) AS score, n_verdicts FROM ratio"
+SQL["verdict_ratio"] = f"WITH {V_VERDICTS} SELECT evaluation_id, model, criterion, round_even(score, 9) AS score, n_verdicts FROM ratio"
 SQL["rubric_score"] = """
 SELECT d.lang AS evaluation_id, d.source AS model, 'coherence' AS criterion,
-       round_even(avg(l.quality * 2 + (1 - l.toxic)) / 3.0, 6) AS score
+       round_even(avg(l.quality * 2 + (1 - l.toxic)) / 3.0, 9) AS score
 FROM labels l JOIN documents d USING (doc_id) GROUP BY ALL"""
 SQL["metric_pass"] = f"""WITH {V_VERDICTS},
 th AS (SELECT * FROM (VALUES ('hallucination', 0.5, true), ('answer_relevancy', 0.5, false), ('faithfulness', 0.5, false),
    ('contextual_relevancy', 0.7, false), ('contextual_recall', 0.7, false), ('toxicity', 0.5, true), ('bias', 0.5, true))
    t(criterion, threshold, lower_is_better))
-SELECT r.evaluation_id, r.model, r.criterion, round_even(r.score, 6) AS score,
+SELECT r.evaluation_id, r.model, r.criterion, round_even(r.score, 9) AS score,
   CASE WHEN th.threshold IS NULL OR r.score IS NULL THEN NULL
        WHEN th.lower_is_better THEN r.score <= th.threshold ELSE r.score >= th.threshold END AS passed
 FROM ratio r LEFT JOIN th USING (criterion)"""
 SQL["label_rate"] = """
-SELECT d.source AS model, round_even(avg(l.toxic::DOUBLE), 6) AS rate, count(*) AS n_units
+SELECT d.source AS model, round_even(avg(l.toxic::DOUBLE), 9) AS rate, count(*) AS n_units
 FROM labels l JOIN documents d USING (doc_id) GROUP BY d.source"""
