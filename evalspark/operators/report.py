@@ -116,8 +116,9 @@ def mean_scores(df: DataFrame) -> DataFrame:
 
 
 def score_matrix(df: DataFrame, metrics: Sequence[str]) -> DataFrame:
-    """model × metric matrix of means (G5).  The metric list is passed, so no extra job runs."""
-    return df.groupBy("model").pivot("metric", list(metrics)).agg(F.avg("score"))
+    """model × metric matrix of means, rows by model (G5, F4).  The metric list is passed, so no
+    extra job runs; the sort is over one row per model."""
+    return df.groupBy("model").pivot("metric", list(metrics)).agg(F.avg("score")).orderBy("model")
 
 
 def prompt_matrix(df: DataFrame, metrics: Sequence[str], sno=None) -> DataFrame:

@@ -53,12 +53,19 @@ READY_SCHEMA = "evaluation_id string, detail_type string, n_models int"
 STATE_SCHEMA = "statuses string, emitted boolean"
 
 
-def _ready_fn(count_failed: bool):
+TIMED_OUT_TYPE = "EvaluationTimedOut"
+
+
+def _ready_fn(count_failed: bool, timeout_ms: int | None = None):
     done = {st.RECEIVED, st.FAILED} if count_failed else {st.RECEIVED}
 
     def fn(key, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
+            raw, emitted = state.get
             state.remove()
+            if not emitted:  # incomplete when the event-time deadline passed (J6)
+                req = json.loads(raw).get("_requested", [])
+                yield pd.DataFrame({"evaluation_id": [key[0]], "detail_type": [TIMED_OUT_TYPE], "n_models": [len(req)]})
             return
         statuses: dict[str, list] = {}
         emitted = False
@@ -66,7 +73,11 @@ def _ready_fn(count_failed: bool):
             raw, emitted = state.get
             statuses = json.loads(raw)
         requested: list[str] = []
+        first_us = None
         for pdf in pdfs:
+            if len(pdf):
+                lo = int(pdf["event_us"].min())
+                first_us = lo if first_us is None else min(first_us, lo)
             if requested == [] and len(pdf):
                 requested = list(dict.fromkeys(pdf["requested_models"].iloc[0]))
             for m, s, t, q in zip(pdf["model"], pdf["eff_status"], pdf["event_us"], pdf["event_seq"]):
@@ -77,21 +88,31 @@ def _ready_fn(count_failed: bool):
             requested = statuses["_requested"]
         statuses["_requested"] = requested
         complete = len(requested) > 0 and all(statuses.get(m, [None])[0] in done for m in requested)
+        if timeout_ms is not None and not state.exists and first_us is not None:
+            statuses["_deadline_ms"] = first_us // 1000 + timeout_ms
         if complete and not emitted:
             state.update((json.dumps(statuses), True))
             yield pd.DataFrame({"evaluation_id": [key[0]], "detail_type": [st.READY_TYPE], "n_models": [len(requested)]})
         else:
             state.update((json.dumps(statuses), emitted))
+        if timeout_ms is not None and "_deadline_ms" in statuses and not (complete or emitted):
+            state.setTimeoutTimestamp(int(statuses["_deadline_ms"]))
 
     return fn
 
 
-def stream_ready(events: DataFrame, evals: DataFrame, count_failed: bool = True) -> DataFrame:
+def stream_ready(
+    events: DataFrame, evals: DataFrame, count_failed: bool = True, timeout: str | None = None, delay: str = "1 hour"
+) -> DataFrame:
     """Emit one AllLLMResponsesReady row per open evaluation once all requested models answered.
 
     ``evals`` is the (static) evaluation table; events of unknown or closed evaluations are dropped
     by the stream-static join.  State per evaluation: model → (status, time, seq) and an emitted
     flag, so each evaluation fires exactly once even across restarts.
+
+    ``timeout`` (e.g. ``"30 minutes"``) adds an event-time deadline after the first event of an
+    evaluation: if it is still incomplete when the watermark (``delay``) passes the deadline, one
+    ``EvaluationTimedOut`` row is emitted (J6).
     """
     open_e = st.open_evaluations(evals).select("evaluation_id", "requested_models")
     enriched = events.join(open_e, "evaluation_id").select(
@@ -102,6 +123,21 @@ def stream_ready(events: DataFrame, evals: DataFrame, count_failed: bool = True)
         "event_seq",
         "requested_models",
     )
-    return enriched.groupBy("evaluation_id").applyInPandasWithState(
-        _ready_fn(count_failed), READY_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout
+    if timeout is None:
+        return enriched.groupBy("evaluation_id").applyInPandasWithState(
+            _ready_fn(count_failed), READY_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout
+        )
+    timeout_ms = _interval_ms(timeout)
+    watermarked = events.withWatermark("event_time", delay).join(open_e, "evaluation_id").select(
+        "evaluation_id", "model", st.effective_status().alias("eff_status"),
+        F.unix_micros(F.col("event_time").cast("timestamp")).alias("event_us"), "event_seq", "requested_models", "event_time",
     )
+    return watermarked.groupBy("evaluation_id").applyInPandasWithState(
+        _ready_fn(count_failed, timeout_ms), READY_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout
+    )
+
+
+def _interval_ms(text: str) -> int:
+    n, unit = text.split()
+    scale = {"second": 1000, "minute": 60_000, "hour": 3_600_000, "day": 86_400_000}
+    return int(float(n) * scale[unit.rstrip("s")])

@@ -65,3 +65,27 @@ def test_dedup_events(spark, tmpdir_path):
     q = d.writeStream.format("memory").queryName("dedup_out").option("checkpointLocation", os.path.join(tmpdir_path, "ckd")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.sql("SELECT count(*) AS n FROM dedup_out").collect()[0].n == 50
+
+
+def test_ready_stream_timeout(spark, tmpdir_path):
+    import datetime as dt
+
+    src = os.path.join(tmpdir_path, "tev")
+    t0 = dt.datetime(2024, 1, 1)
+    evals = spark.createDataFrame(
+        [("e1", ["A", "B"], "INITIATED"), ("e2", ["A"], "INITIATED")], "evaluation_id string, requested_models array<string>, status string"
+    )
+    schema = "evaluation_id string, model string, detail_type string, status string, error string, event_time timestamp, event_seq long"
+    batches = [
+        [("e1", "A", "LLMResponseReceived", "RECEIVED", None, t0, 1)],
+        [("e2", "A", "LLMResponseReceived", "RECEIVED", None, t0 + dt.timedelta(hours=3), 2)],
+        [("e2", "A", "LLMResponseReceived", "RECEIVED", None, t0 + dt.timedelta(hours=4), 3)],
+    ]
+    for i, rows in enumerate(batches):
+        st.to_envelopes(spark.createDataFrame(rows, schema)).coalesce(1).write.text(os.path.join(src, f"s{i}"))
+    ready = sst.stream_ready(_stream(spark, src), evals, timeout="30 minutes", delay="1 hour")
+    q = ready.writeStream.format("memory").queryName("timeout_out").outputMode("append").option(
+        "checkpointLocation", os.path.join(tmpdir_path, "ckt")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    got = {(r.evaluation_id, r.detail_type) for r in spark.sql("SELECT * FROM timeout_out").collect()}
+    assert ("e2", "AllLLMResponsesReady") in got and ("e1", "EvaluationTimedOut") in got
