@@ -19,7 +19,7 @@ def read_request_bodies(spark: SparkSession, path: str) -> DataFrame:
 
     ``wholetext`` keeps each file's text intact; parse it with ``operators.requests.parse_requests``.
     """
-    df = spark.read.option("wholetext", True).text(path)
+    df = spark.read.text(path, wholetext=True)
     return df.select(F.col("_metadata.file_path").alias("batch_id"), F.col("value").alias("body"))
 
 

@@ -151,11 +151,15 @@ def verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vector_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Anchors first (one row per label: min id, then its vector), then every embedding joins that
+    table on label.  It has one row per label, so AQE broadcasts it when small; beyond the threshold
+    a label holding a third of the rows is split by AQE's skew join against its single anchor row."""
     emb = table(spark, sf_dir, "embeddings")
     anchor = emb.groupBy("label").agg(F.min("vec_id").alias("anchor_id"))
-    a = emb.join(anchor, "label")
-    b = emb.select(F.col("vec_id").alias("anchor_id"), F.col("embedding").alias("anchor_embedding"))
-    return a.join(b, "anchor_id").select("vec_id", "label", "anchor_id", "embedding", "anchor_embedding")
+    anchor_vec = anchor.join(
+        emb.select(F.col("vec_id").alias("anchor_id"), F.col("embedding").alias("anchor_embedding")), "anchor_id"
+    )
+    return emb.join(anchor_vec, "label").select("vec_id", "label", "anchor_id", "embedding", "anchor_embedding")
 
 
 def request_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
