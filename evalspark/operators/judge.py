@@ -82,3 +82,15 @@ def judge(
                 )
 
     return requests.mapInPandas(run, schema)
+
+
+def criteria_requests(pairs: DataFrame, criteria: list[tuple[str, str, list[str]]]) -> DataFrame:
+    """One judge request per (pair, criterion) (K3).  ``criteria`` = [(name, criteria text, inputs
+    used)], a handful of entries, so it is an ``explode`` of a literal array — no join."""
+    arr = F.array(
+        *[
+            F.struct(F.lit(n).alias("criterion"), F.lit(t).alias("criteria_text"), F.array(*[F.lit(p) for p in params]).alias("inputs"))
+            for n, t, params in criteria
+        ]
+    )
+    return pairs.select("*", F.explode(arr).alias("_c")).select("*", "_c.*").drop("_c")

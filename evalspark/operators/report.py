@@ -219,3 +219,13 @@ def prompt_position(df: DataFrame, chosen: DataFrame) -> DataFrame:
     """Position of chosen sno values, 0 when not present."""
     pos = prompt_positions(df)
     return chosen.join(pos, "sno", "left").select("sno", F.coalesce("position", F.lit(0)).alias("position"))
+
+
+def distinct_models(df: DataFrame) -> DataFrame:
+    """Model names with their first position in the report (G8): the smallest sno they appear in."""
+    return df.groupBy("model").agg(F.min("sno").alias("first_sno"))
+
+
+def display_metrics(df: DataFrame) -> DataFrame:
+    """Metrics shown in a prompt's table (U4): present with at least one score, minus generated_text."""
+    return df.where(F.col("score").isNotNull() & default_metrics_filter()).select("metric").distinct()

@@ -563,3 +563,17 @@ def q_meteor(spark, sf):
     from evalspark.operators.meteor import meteor
 
     return meteor(views.pairs_edit(spark, sf), key=PAIR_KEYS, stem=True)
+
+
+@register("distinct_models")
+def q_distinct_models(spark, sf):
+    from evalspark.operators import report
+
+    return report.distinct_models(scores_long(spark, sf))
+
+
+@register("display_metrics")
+def q_display_metrics(spark, sf):
+    from evalspark.operators import report
+
+    return report.display_metrics(scores_long(spark, sf))

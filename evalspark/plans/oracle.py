@@ -493,3 +493,6 @@ FROM ratio r LEFT JOIN th USING (criterion)"""
 SQL["label_rate"] = """
 SELECT d.source AS model, round_even(avg(l.toxic::DOUBLE), 9) AS rate, count(*) AS n_units
 FROM labels l JOIN documents d USING (doc_id) GROUP BY d.source"""
+
+SQL["distinct_models"] = f"WITH {V_SCORES} SELECT model, min(sno) AS first_sno FROM scores GROUP BY model"
+SQL["display_metrics"] = f"WITH {V_SCORES} SELECT DISTINCT metric FROM scores WHERE score IS NOT NULL AND metric <> 'generated_text'"

@@ -89,3 +89,12 @@ def test_score_stream_writes_documents(spark, tmpdir_path):
     doc = score_batch(ready, wm, resp).collect()[0].model_comparisons
     assert doc["A"].status == "COMPLETED" and 0 < doc["A"].metrics["ROUGE-1_F1"] < 1
     assert doc["B"].status == "SKIPPED_NOT_RECEIVED"
+
+
+def test_criteria_requests(spark):
+    from evalspark.operators.judge import criteria_requests
+
+    pairs = spark.createDataFrame([("p1", "a"), ("p2", "b")], "pair_id string, candidate string")
+    crit = [("coherence", "collective quality of all sentences", ["actual_output"]), ("faithfulness", "claims supported", ["actual_output", "context"])]
+    rows = criteria_requests(pairs, crit).collect()
+    assert len(rows) == 4 and {r.criterion for r in rows} == {"coherence", "faithfulness"}
