@@ -443,7 +443,8 @@ def q_evaluation_progress(spark, sf):
 def q_timed_out(spark, sf):
     from evalspark.operators import status as st
 
-    return st.timed_out(_withmap(spark, sf), AS_OF, TIMEOUT_SECONDS)
+    # the reference's completion rule (only RECEIVED counts): evaluations with a failed model stay open
+    return st.timed_out(_withmap(spark, sf), AS_OF, TIMEOUT_SECONDS, count_failed=False)
 
 
 @register("lookup_evaluations")

@@ -438,7 +438,7 @@ FROM wm w WHERE status IN ('INITIATED', 'PROCESSING')"""
 SQL["timed_out"] = f"""WITH {V_STATUS2}
 SELECT evaluation_id, 'FAILED' AS new_status,
   (epoch(TIMESTAMP '2024-02-15 00:00:00') - floor(epoch(created_at)))::BIGINT AS age_seconds
-FROM wm WHERE status IN ('INITIATED', 'PROCESSING') AND NOT (n_requested > 0 AND n_done = n_requested)
+FROM wm WHERE status IN ('INITIATED', 'PROCESSING') AND NOT (n_requested > 0 AND n_received = n_requested)
   AND (epoch(TIMESTAMP '2024-02-15 00:00:00') - floor(epoch(created_at))) > {20 * 24 * 3600}"""
 SQL["lookup_evaluations"] = f"""WITH {V_STATUS}
 SELECT i.evaluation_id, e.evaluation_id IS NOT NULL AS found, e.status
