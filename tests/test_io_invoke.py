@@ -98,3 +98,30 @@ def test_criteria_requests(spark):
     crit = [("coherence", "collective quality of all sentences", ["actual_output"]), ("faithfulness", "claims supported", ["actual_output", "context"])]
     rows = criteria_requests(pairs, crit).collect()
     assert len(rows) == 4 and {r.criterion for r in rows} == {"coherence", "faithfulness"}
+
+
+def test_materialize_keeps_random_ids(spark):
+    from evalspark.session import materialize
+
+    df = spark.createDataFrame([(f"b{i}", json.dumps({"prompt": f"q{i}"})) for i in range(20)], "batch_id string, body string")
+    ev = rq.initiate(rq.valid_requests(rq.validate_requests(rq.parse_requests(df))), random_ids=True)
+    fixed = materialize(ev)
+    a = sorted(r.evaluation_id for r in fixed.collect())
+    b = sorted(r.evaluation_id for r in fixed.collect())
+    assert a == b and len(set(a)) == 20
+
+
+def test_final_documents_rewrite_is_idempotent(spark, tmpdir_path):
+    from evalspark.operators.outcomes import to_final_metrics, write_final_metrics
+
+    out = spark.createDataFrame(
+        [("e1", "A", "COMPLETED", None, "t"), ("e2", "A", "COMPLETED", None, "u")],
+        "evaluation_id string, model string, outcome string, message string, response string",
+    )
+    sc = spark.createDataFrame([("e1", "A", "BLEU", 0.5), ("e2", "A", "BLEU", 0.7)], "evaluation_id string, model string, metric string, score double")
+    path = os.path.join(tmpdir_path, "final")
+    write_final_metrics(to_final_metrics(out, sc), path)
+    write_final_metrics(to_final_metrics(out.where("evaluation_id = 'e1'"), sc), path)  # replay of one evaluation
+    docs = spark.read.text(path).collect()
+    assert len(docs) == 2
+    assert sorted(json.loads(r.value)["evaluation_id"] for r in docs) == ["e1", "e2"]
