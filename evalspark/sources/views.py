@@ -70,6 +70,31 @@ def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """User turns with the next / previous assistant turn, as equi-joins on (conv_id, turn ± 1).
+
+    Turns are numbered densely from 0 in the driver tables, so ``turn + 1`` is the next turn.  The
+    join keys include the turn, so a conversation holding a third of all turns is spread over many
+    partitions (a per-conversation window would sort it in one task).  ``requests_windowed`` gives
+    the same rows with ``lead``/``lag`` for sparse turn numbers.
+    """
+    conv = table(spark, sf_dir, "conversations")
+    users = conv.where(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("prompt"))
+    assistant = conv.where(F.col("role") == "assistant")
+    nxt = assistant.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("reference_answer"))
+    prv = assistant.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("context"))
+    j = users.join(nxt, ["conv_id", "turn"], "left").join(prv, ["conv_id", "turn"], "left")
+    return j.select(
+        F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("evaluation_id"),
+        "conv_id",
+        "turn",
+        "prompt",
+        "reference_answer",
+        "context",
+    )
+
+
+def requests_windowed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``requests`` with ``lead``/``lag`` per conversation (any turn numbering; one task per conversation)."""
     conv = table(spark, sf_dir, "conversations")
     w = Window.partitionBy("conv_id").orderBy("turn")
     t = conv.select(

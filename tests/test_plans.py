@@ -44,3 +44,9 @@ def test_status_filter_reaches_parquet(spark, tmpdir_path):
     evals.write.parquet(path)
     plan = _plan(st.open_evaluations(spark.read.parquet(path)))
     assert "PushedFilters: [In(status" in plan or "PushedFilters: [IsNotNull(status), In(status" in plan, plan
+
+
+def test_requests_join_form_equals_window_form(spark):
+    a = sorted(tuple(r) for r in views.requests(spark, SF_SMALL).collect())
+    b = sorted(tuple(r) for r in views.requests_windowed(spark, SF_SMALL).collect())
+    assert a == b and len(a) > 0
