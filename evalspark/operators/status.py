@@ -112,7 +112,8 @@ def status_map(evals: DataFrame, latest: DataFrame) -> DataFrame:
     )
     cur = pending.unionByName(seen).groupBy("evaluation_id", "model").agg(F.max_by("status", "prio").alias("status"))
     m = cur.groupBy("evaluation_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("model", "status")))).alias("responses_received"))
-    return evals.join(m, "evaluation_id", "left").withColumn(
+    base = evals.drop("responses_received")  # a stored map (e.g. from ``initiate``) is replaced
+    return base.join(m, "evaluation_id", "left").withColumn(
         "responses_received", F.coalesce("responses_received", F.create_map().cast("map<string,string>"))
     )
 
