@@ -30,7 +30,14 @@ def score_batch(ready: DataFrame, withmap: DataFrame, responses: DataFrame) -> D
     return to_final_metrics(out, long.select("evaluation_id", "model", "metric", "score"))
 
 
-def score_stream(ready_stream: DataFrame, withmap: DataFrame, responses: DataFrame, out_path: str, checkpoint: str, trigger: dict | None = None):
+def score_stream(
+    ready_stream: DataFrame, withmap: DataFrame, responses: DataFrame, out_path: str, checkpoint: str | None = None, trigger: dict | None = None
+):
+    """Start the scoring stream; ``checkpoint`` defaults to ``<spark.checkpoint.dir>/streams/score_stream``."""
+    from evalspark.session import stream_checkpoint
+
+    checkpoint = checkpoint or stream_checkpoint(ready_stream.sparkSession, "score_stream")
+
     def sink(df: DataFrame, batch_id: int) -> None:
         write_final_metrics(score_batch(df, withmap, responses), out_path)
 

@@ -31,9 +31,13 @@ def status_updates(events: DataFrame, legacy_default: bool = False) -> DataFrame
     ).select("evaluation_id", "model", "status", F.col("_last.event_time").alias("updated_at"), F.col("_last.event_seq").alias("updated_seq"))
 
 
-def write_status_updates(updates: DataFrame, path: str, checkpoint: str, trigger: dict | None = None):
+def write_status_updates(updates: DataFrame, path: str, checkpoint: str | None = None, trigger: dict | None = None):
     """Start the upsert stream: every micro-batch's changed keys go to ``path/batch_id=<id>``
-    (overwritten on replay); the current map is ``current_status(spark, path)``."""
+    (overwritten on replay); the current map is ``current_status(spark, path)``.  ``checkpoint``
+    defaults to ``<spark.checkpoint.dir>/streams/status_updates``."""
+    from evalspark.session import stream_checkpoint
+
+    checkpoint = checkpoint or stream_checkpoint(updates.sparkSession, "status_updates")
 
     def sink(df: DataFrame, batch_id: int) -> None:
         df.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")

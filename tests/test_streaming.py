@@ -40,6 +40,21 @@ def test_status_stream_equals_batch(spark, tmpdir_path):
     assert len(os.listdir(out)) == n_dirs
 
 
+def test_status_stream_default_checkpoint_is_shared_folder(spark, tmpdir_path):
+    from evalspark.session import checkpoint_dir, stream_checkpoint
+
+    src = os.path.join(tmpdir_path, "events")
+    _write_event_files(spark, src, parts=2)
+    out = os.path.join(tmpdir_path, "status")
+    ck = stream_checkpoint(spark, "status_updates")
+    assert ck.startswith(checkpoint_dir(spark).rstrip("/") + "/")
+    sst.write_status_updates(sst.status_updates(_stream(spark, src)), out).awaitTermination()
+    assert os.path.isdir(os.path.join(ck.replace("file:", ""), "offsets"))
+    n_dirs = len(os.listdir(out))
+    sst.write_status_updates(sst.status_updates(_stream(spark, src)), out).awaitTermination()  # restart
+    assert len(os.listdir(out)) == n_dirs
+
+
 def test_ready_stream_emits_once_and_equals_batch(spark, tmpdir_path):
     src = os.path.join(tmpdir_path, "events")
     ev = _write_event_files(spark, src)
