@@ -31,6 +31,16 @@ def test_all_text_metrics_share_the_pair_partitioning(spark):
     assert keys and all(k.split("#")[0] == "pair_id" for k in keys), keys
 
 
+def test_rouge_l_spreads_pairs_before_the_udf(spark):
+    from evalspark.operators.lcs import rouge_l
+
+    plan = _plan(rouge_l(views.pairs_edit(spark, SF_SMALL)))
+    keys = _hash_keys(plan)
+    assert len(keys) == 1 and keys[0].split("#")[0] == "pair_id", keys  # one exchange of pair texts
+    wide = _plan(score_pairs(views.pairs_edit(spark, SF_SMALL), "pair_id"))
+    assert all(k.split("#")[0] == "pair_id" for k in _hash_keys(wide))  # no second exchange inside score_pairs
+
+
 def test_scan_reads_only_needed_columns(spark):
     plan = _plan(bleu(views.pairs_edit(spark, SF_SMALL)))
     schemas = re.findall(r"ReadSchema: (struct<[^>]*>)", plan) or re.findall(r"ReadSchema: ([^,\]]*>)", plan)
