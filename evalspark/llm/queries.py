@@ -54,3 +54,11 @@ def op9_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"), "hilbert",
     )
+
+
+@register("op7_simhash")
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from evalspark.llm.simhash import near_duplicates
+
+    d = near_duplicates(read_table(spark, sf_dir, "documents"))
+    return d.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
