@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evalspark.llm.common import P, cut, running_totals
+from evalspark.llm.common import P, cut
 
 #: Fixed value: source weights in code-point order of the sources, repeating, the null source last.
 WEIGHTS = (5, 2, 1)
@@ -25,30 +25,29 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epo
     ``sizes`` has (source, size).  Water-filling: with sources in order of cap / weight, a source is
     clamped at its cap iff the water level left after clamping all before it reaches cap / weight; what
     they leave is shared by weight among the rest.  This is where the rounds "clamp, reshare the
-    excess, again" end, by running totals instead of one pass per round.  Caps above the total words
-    leave nothing clamped; if all are clamped, the mix is smaller than the total.
+    excess, again" end, in one pass.  If all sources are clamped, the mix is smaller than the total.
+    The windows see the pre-aggregated table of one row per source, never documents.
     """
     per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    order = [F.col("source").isNull().asc(), F.col("source").asc()]
-    ranked = running_totals(per, order, {"r": F.lit(1)})
-    weight = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.col("r_before") % len(weights) + 1).cast("int"))
-    w = ranked.select("source", "source_size", weight.alias("w"), (F.col("source_size") * F.lit(float(max_epochs))).alias("cap"))
-    level = running_totals(
-        w, [(F.col("cap") / F.col("w")).asc(), *order], {"cap": F.col("cap"), "w": F.col("w"), "s": F.col("source_size")}
-    )
-    left = F.col("s_all") - F.col("cap_before")
-    clamped = left * F.col("w") >= F.col("cap") * (F.col("w_all") - F.col("w_before"))
-    # clamped sources are a prefix of this order, so the first free one sees the final level
-    marked = cut(level.withColumns({f"{P}clamped": clamped, f"{P}left": left, f"{P}free": F.col("w_all") - F.col("w_before")}))
-    # two numbers reach the driver
-    water, weight = marked.where(~F.col(f"{P}clamped")).agg(F.max(f"{P}left"), F.max(f"{P}free")).first()
-    level_target = F.lit(water).cast("double") * F.col("w") / F.lit(weight).cast("double")
-    target = F.when(F.col(f"{P}clamped"), F.col("cap")).otherwise(level_target)
+    named = [F.col("source").isNull().asc(), F.col("source").asc()]
+    rank = F.row_number().over(Window.orderBy(*named)) - 1
+    weight = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), rank % len(weights) + 1)
+    w = per.withColumns({"w": weight, "cap": F.col("source_size") * F.lit(float(max_epochs))})
+    earlier = Window.orderBy((F.col("cap") / F.col("w")).asc(), *named).rowsBetween(Window.unboundedPreceding, -1)
+    all_rows = Window.partitionBy()
+    left = F.sum("source_size").over(all_rows) - F.coalesce(F.sum("cap").over(earlier), F.lit(0.0))
+    free = F.sum("w").over(all_rows) - F.coalesce(F.sum("w").over(earlier), F.lit(0.0))
+    level = w.withColumns({"left": left, "free": free})
+    marked = level.withColumn("clamped", F.col("left") * F.col("w") >= F.col("cap") * F.col("free"))
+    # clamped sources come first in that order, so the first free one sees the final level
+    water = F.max(F.when(~F.col("clamped"), F.col("left"))).over(all_rows)
+    shared = F.max(F.when(~F.col("clamped"), F.col("free"))).over(all_rows)
+    target = F.when(F.col("clamped"), F.col("cap")).otherwise(water * F.col("w") / shared)
     return marked.select("source", "source_size", target.alias("target"))
 
 
 def copies(
-    rows: DataFrame, seed: int = 42, weights: tuple[int, ...] = WEIGHTS, max_epochs: float = 3.0, fill_rounds: int = 3
+    rows: DataFrame, seed: int = 42, weights: tuple[int, ...] = WEIGHTS, max_epochs: float = 3.0, fill_rounds: int = 2
 ) -> DataFrame:
     """``rows`` (doc_id, source, size) plus source_size, target and n_copies.
 
@@ -59,6 +58,7 @@ def copies(
     The result depends on the rows alone.  Empty documents are kept at the whole number of copies;
     a source without any word has target 0 and no copies.
     """
+    rows = cut(rows)  # texts are read once
     targets = source_targets(rows.select("source", "size"), weights, max_epochs)
     t = targets.select(F.col("source").alias(f"{P}src"), "source_size", "target")
     j = rows.join(t, rows["source"].eqNullSafe(t[f"{P}src"])).drop(f"{P}src")
@@ -67,54 +67,50 @@ def copies(
     token = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     state = j.withColumns({f"{P}whole": whole, f"{P}gap": gap, f"{P}token": token, f"{P}extra": F.lit(0), f"{P}open": F.col("size") > 0})
     order = [F.col(c).asc() for c in ("source", f"{P}token", "doc_id", "size")]
-    state = running_totals(state, order, {f"{P}n": F.lit(1)}).drop(f"{P}n_all").withColumnRenamed(f"{P}n_before", f"{P}at")
+    # range partitions are the blocks of the running sizes: a source with a third of all rows is many blocks
+    state = cut(state.repartitionByRange(*order).withColumn(f"{P}block", F.spark_partition_id()))
     for k in range(fill_rounds):
-        state = _fill(state, last=k == fill_rounds - 1)
+        state = _fill(state if k == 0 else cut(state), order, last=k == fill_rounds - 1)
     n = F.col(f"{P}whole") + F.col(f"{P}extra")
     return state.withColumn("n_copies", n.cast("long")).select(*rows.columns, "source_size", "target", "n_copies")
 
 
-def _fill(state: DataFrame, last: bool) -> DataFrame:
+def _fill(state: DataFrame, order: list[Column], last: bool) -> DataFrame:
     """Take the open documents of each source, in order, while their running size fits the gap.
 
-    The running size needs two levels, so that a source that holds a third of all rows is no single
-    task: totals per block of ranks, then ranks within a block.  A document that doesn't fit closes
-    everything before it; those behind it that are not larger than the new gap stay open.
+    Running sizes have two levels: totals per (source, block), then the order within a block.  The
+    first document that doesn't fit closes the source up to it; documents behind it that are not
+    larger than the new gap stay open for another round.
     """
-    block = F.floor(F.col(f"{P}at") / F.lit(20_000)).alias(f"{P}block")
-    s = cut(state.withColumn(f"{P}block", block))
+    s, key = state, ["source", f"{P}block"]
     open_size = F.when(F.col(f"{P}open"), F.col("size")).otherwise(0)
-    key = ["source", f"{P}block"]
     blocks = s.groupBy(*key).agg(F.sum(open_size).alias(f"{P}total"))
+    before = Window.partitionBy("source").orderBy(f"{P}block").rowsBetween(Window.unboundedPreceding, -1)
     ahead = blocks.select(
         F.col("source").alias(f"{P}s"),
         F.col(f"{P}block").alias(f"{P}b"),
-        F.coalesce(
-            F.sum(f"{P}total").over(Window.partitionBy("source").orderBy(f"{P}block").rowsBetween(Window.unboundedPreceding, -1)),
-            F.lit(0),
-        ).alias(f"{P}ahead"),
+        F.coalesce(F.sum(f"{P}total").over(before), F.lit(0)).alias(f"{P}ahead"),
     )
     j = s.join(ahead, s["source"].eqNullSafe(ahead[f"{P}s"]) & (s[f"{P}block"] == ahead[f"{P}b"])).drop(f"{P}s", f"{P}b")
-    within = Window.partitionBy(*key).orderBy(f"{P}at").rowsBetween(Window.unboundedPreceding, 0)
+    within = Window.partitionBy(*key).orderBy(*order[1:]).rowsBetween(Window.unboundedPreceding, 0)
     run = F.col(f"{P}ahead") + F.sum(open_size).over(within)
-    over = run - F.col(f"{P}gap")  # words beyond the gap after this document
-    if last:
-        fits = F.col(f"{P}open") & ((over <= 0) | (2 * over < F.col("size")))
-    else:
-        fits = F.col(f"{P}open") & (over <= 0)
-    got = j.withColumns({f"{P}run": run, f"{P}fits": fits, f"{P}extra": F.col(f"{P}extra") + fits.cast("int")}).drop(f"{P}ahead")
+    over = F.col(f"{P}run") - F.col(f"{P}gap")  # words beyond the gap after this document
+    near = (over <= 0) | (2 * over < F.col("size")) if last else over <= 0
+    fits = F.col(f"{P}open") & near
+    got = j.withColumn(f"{P}run", run).withColumn(f"{P}fits", fits).drop(f"{P}ahead")
+    got = got.withColumn(f"{P}extra", F.col(f"{P}extra") + F.col(f"{P}fits").cast("int"))
     if last:
         return got.drop(f"{P}run", f"{P}fits", f"{P}block")
+    missed = F.when(F.col(f"{P}open") & ~F.col(f"{P}fits"), F.col(f"{P}run"))
     taken = got.groupBy("source").agg(
-        F.sum(F.when(F.col(f"{P}fits"), F.col("size"))).alias(f"{P}got"),
-        F.min(F.when(F.col(f"{P}open") & ~F.col(f"{P}fits"), F.col(f"{P}at"))).alias(f"{P}stop"),
+        F.sum(F.when(F.col(f"{P}fits"), F.col("size"))).alias(f"{P}got"), F.min(missed).alias(f"{P}stop")
     )
     t = taken.select(F.col("source").alias(f"{P}s"), f"{P}got", f"{P}stop")
     k = got.join(t, got["source"].eqNullSafe(t[f"{P}s"]))
     gap = F.col(f"{P}gap") - F.coalesce(F.col(f"{P}got"), F.lit(0))
-    still = F.col(f"{P}open") & (F.col(f"{P}at") > F.col(f"{P}stop")) & (F.col("size") <= gap)
-    return k.withColumns({f"{P}gap": gap, f"{P}open": F.coalesce(still, F.lit(False))}).drop(
-        f"{P}s", f"{P}got", f"{P}stop", f"{P}run", f"{P}fits", f"{P}block"
+    still = F.col(f"{P}open") & (F.col(f"{P}run") > F.col(f"{P}stop")) & (F.col("size") <= gap)
+    return k.withColumns({f"{P}open": F.coalesce(still, F.lit(False)), f"{P}gap": gap}).drop(
+        f"{P}s", f"{P}got", f"{P}stop", f"{P}run", f"{P}fits"
     )
 
 

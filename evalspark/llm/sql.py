@@ -56,11 +56,11 @@ run{k} AS (
 ), fit{k} AS (
   SELECT *, open AND ({fits}) AS fits FROM run{k}
 ), src{k} AS (
-  SELECT source AS s, coalesce(sum(size) FILTER (WHERE fits), 0) AS got, min(seq) FILTER (WHERE open AND NOT fits) AS stop
+  SELECT source AS s, coalesce(sum(size) FILTER (WHERE fits), 0) AS got, min(run) FILTER (WHERE open AND NOT fits) AS stop
   FROM fit{k} GROUP BY source
 ), state{k + 1} AS (
   SELECT doc_id, source, size, source_size, target, whole, seq, gap - got AS gap,
-         extra + fits::INT AS extra, coalesce(open AND seq > stop AND size <= gap - got, false) AS open
+         extra + fits::INT AS extra, coalesce(open AND run > stop AND size <= gap - got, false) AS open
   FROM fit{k} JOIN src{k} ON source IS NOT DISTINCT FROM s
 )"""
 
@@ -86,9 +86,9 @@ WITH d AS (
          round(target - CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END * source_size)::BIGINT AS gap,
          0 AS extra, size > 0 AS open
   FROM d JOIN t ON source IS NOT DISTINCT FROM s
-), {_fill_sql(0, False)}, {_fill_sql(1, False)}, {_fill_sql(2, True)}
+), {_fill_sql(0, False)}, {_fill_sql(1, True)}
 SELECT doc_id, size, source_size, target, size * (whole + extra) AS taken, source, whole + extra AS n_copies
-FROM state3
+FROM state2
 """
 
 
