@@ -10,19 +10,33 @@ from pyspark.sql import functions as F
 from evalspark.llm.common import P, cut, running_totals
 
 
-def quantise(rows: DataFrame, name: str, bits: int, to: str) -> DataFrame:
-    """``rows`` plus ``to``: the 0 .. 2^bits - 1 quantile cell of column ``name`` (null is the largest
-    value).  Equal values share a cell, and cells keep the column's order.
+def quantise(rows: DataFrame, dims: list[str], bits: int, cells: list[str]) -> DataFrame:
+    """``rows`` plus one column of ``cells`` per dimension: its 0 .. 2^bits - 1 quantile cell (null is
+    the largest value).  Equal values share a cell, and cells keep the column's order.
 
-    The distinct values with their counts (one pre-aggregated row each) are summed in order, so a value
-    that holds a third of the rows is one row here; AQE broadcasts the cells or splits the hot value.
+    The distinct values of all dimensions with their counts (one pre-aggregated row each) are summed in
+    one ordered pass, so a value that holds a third of the rows is one row here; AQE broadcasts the
+    cells or splits the hot value's rows.  Whole numbers are ordered as zero-padded text.
     """
-    counts = rows.groupBy(F.col(name).alias(f"{P}v")).agg(F.count("*").alias(f"{P}c"))
-    order = [F.col(f"{P}v").isNull().asc(), F.col(f"{P}v").asc()]
+    kinds = dict(rows.dtypes)
+
+    def sortable(d: str) -> Column:
+        if kinds[d] == "string":
+            return F.col(d)
+        x = F.col(d).cast("decimal(20,0)") + F.lit(str(1 << 63)).cast("decimal(20,0)")
+        return F.lpad(x.cast("decimal(20,0)").cast("string"), 20, "0")
+
+    pairs = F.explode(F.array(*[F.struct(F.lit(i).alias("d"), sortable(d).alias("v")) for i, d in enumerate(dims)]))
+    counts = rows.select(pairs.alias("x")).groupBy(F.col("x.d").alias(f"{P}d"), F.col("x.v").alias(f"{P}v")).agg(F.count("*").alias(f"{P}c"))
+    order = [F.col(f"{P}d").asc(), F.col(f"{P}v").isNull().asc(), F.col(f"{P}v").asc()]
     summed = running_totals(counts, order, {f"{P}t": F.col(f"{P}c")})
-    cell = F.floor(F.col(f"{P}t_before") * (1 << bits) / F.col(f"{P}t_all")).cast("long")
-    cells = summed.select(f"{P}v", cell.alias(to))
-    return rows.join(cells, rows[name].eqNullSafe(cells[f"{P}v"])).drop(f"{P}v")
+    # every row is counted once per dimension: dimension d starts after d times all rows
+    cell = F.expr(f"(({P}t_before - {P}d * ({P}t_all div {len(dims)})) * {1 << bits}) div ({P}t_all div {len(dims)})")
+    table = summed.select(f"{P}d", f"{P}v", cell.cast("long").alias(f"{P}cell"))
+    for i, (d, c) in enumerate(zip(dims, cells, strict=True)):
+        own = table.where(F.col(f"{P}d") == i).select(F.col(f"{P}v").alias(f"{P}v{i}"), F.col(f"{P}cell").alias(c))
+        rows = rows.join(own, sortable(d).eqNullSafe(own[f"{P}v{i}"])).drop(f"{P}v{i}")
+    return rows
 
 
 def hilbert_index(axes: list[Column], bits: int) -> Column:
@@ -68,8 +82,7 @@ def hilbert_index(axes: list[Column], bits: int) -> Column:
 def hilbert_order(rows: DataFrame, dims: list[str], bits: int = 4) -> DataFrame:
     """``rows`` plus ``hilbert``, the curve position of the row's quantised ``dims``."""
     cells = [f"{P}cell{i}" for i in range(len(dims))]
-    for d, c in zip(dims, cells, strict=True):
-        rows = quantise(rows, d, bits, c)
+    rows = quantise(rows, dims, bits, cells)
     # the index is a large expression: kept apart from the joins and computed once per distinct cell
     grid = rows.select(*cells).distinct()
     index = grid.select(*[F.col(c).alias(c + "g") for c in cells], hilbert_index([F.col(c) for c in cells], bits).alias("hilbert"))
@@ -86,26 +99,24 @@ def cut_runs(rows: DataFrame, n_shards: int, law: str, tie: list[str], size: str
     """
     order = [F.col("hilbert").asc(), *[F.col(c).asc() for c in tie]]
     r = running_totals(rows, order, {f"{P}n": F.lit(1), f"{P}z": F.col(size)})
-    before, total = (F.col(f"{P}n_before"), F.col(f"{P}n_all")) if law == "rows" else (F.col(f"{P}z_before"), F.col(f"{P}z_all"))
-    # whole numbers: the first row of shard s is the least with before * n_shards >= s * total
-    shard = F.when(total > 0, F.least(F.expr(f"({_sql(law)}_before * {n_shards}) div greatest({_sql(law)}_all, 1)"), F.lit(n_shards - 1))).otherwise(0)
-    placed = cut(r.withColumn("shard", shard.cast("int")))
+    x = f"{P}n" if law == "rows" else f"{P}z"
+    shard = F.expr(f"least(({x}_before * {n_shards}) div greatest({x}_all, 1), {n_shards - 1})").cast("int")
+    placed = r.withColumn("shard", shard)
+    names = [f"{P}{a}_{b}" for a in "nz" for b in ("before", "all")]
+    if law == "rows":  # shard s starts at row ceil(s * n / n_shards)
+        first = F.expr(f"(shard * {P}n_all + {n_shards - 1}) div {n_shards}")
+        return placed.withColumn("slot", (F.col(f"{P}n_before") - first).cast("long")).drop(*names)
     first = placed.groupBy("shard").agg(F.min(f"{P}n_before").alias(f"{P}first"))
     j = placed.join(F.broadcast(first), "shard")  # one row per shard
-    names = [f"{P}{a}_{b}" for a in "nz" for b in ("before", "all")]
     return j.withColumn("slot", (F.col(f"{P}n_before") - F.col(f"{P}first")).cast("long")).drop(f"{P}first", *names)
 
 
-def _sql(law: str) -> str:
-    return f"{P}n" if law == "rows" else f"{P}z"
-
-
 def shard_rows(
     rows: DataFrame, dims: list[str], n_shards: int = 40, law: str = "rows", tie: tuple[str, ...] = ("doc_id",), bits: int = 4
 ) -> DataFrame:
     """``rows`` (narrow; with a ``size``) plus hilbert, shard and slot.  An empty table gives no rows;
     with fewer rows than shards some shards stay empty; repeated rows get slots of their own."""
-    return cut_runs(hilbert_order(rows, dims, bits), n_shards, law, list(tie))
+    return cut_runs(hilbert_order(cut(rows), dims, bits), n_shards, law, list(tie))
 
 
 def payload_size(text: Column) -> Column:

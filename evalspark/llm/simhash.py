@@ -252,7 +252,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, max_bits: int = 4, key: s
     """
     rows = docs.select(F.col(key).alias("doc_id"), F.xxhash64(F.col(text)).alias("text_hash"), F.col(text).alias("text"))
     prints = cut(fingerprints(rows, shingle))
-    per_fp = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    per_fp = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
     comp = components(near_links(per_fp.select("fp"), max_bits)).select(F.col("node").alias("fp"), F.col("component").alias("c"))
     labelled = per_fp.join(comp, "fp", "left").withColumn("c", F.coalesce("c", "fp"))
     least = labelled.groupBy("c").agg(F.min("least").alias("component_id"))
