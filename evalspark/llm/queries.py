@@ -62,3 +62,15 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     d = near_duplicates(read_table(spark, sf_dir, "documents"))
     return d.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@register("op10_warc")
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from uuid import uuid4
+
+    from evalspark.llm.common import shared_folder
+    from evalspark.llm.warc import round_trip
+
+    path = f"{shared_folder(spark).rstrip('/')}/warc-{uuid4().hex}"
+    records = round_trip(read_table(spark, sf_dir, "pages"), path)
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "error")

@@ -154,3 +154,14 @@ s AS (SELECT *, least(b * 40 // n, 39)::INT AS shard FROM r)
 SELECT doc_id, size, text_crc32, 'rows' AS law, shard, (b - min(b) OVER (PARTITION BY shard))::BIGINT AS slot,
        NULL::INT AS grown_shard, hilbert FROM s
 """
+
+SQL["op10_warc"] = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, ''))::BIGINT AS payload_bytes FROM pages
+), m AS (
+  SELECT *, min(page_id) OVER (PARTITION BY html) AS first FROM p
+), r AS (SELECT *, payload_bytes >= 100 AND page_id > first AS revisit FROM m)
+SELECT page_id, payload_bytes, sha256(html) AS payload_digest, CASE WHEN revisit THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN revisit THEN first END AS refers_to, NULL::VARCHAR AS error
+FROM r
+"""
