@@ -74,3 +74,10 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_folder(spark).rstrip('/')}/warc-{uuid4().hex}"
     records = round_trip(read_table(spark, sf_dir, "pages"), path)
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "error")
+
+
+@register("op2_decontaminate")
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from evalspark.llm.decontam import leaks
+
+    return leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
