@@ -100,11 +100,10 @@ class Index:
         return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def window_edits(item: bytes, doc: bytes, low: int, high: int, w: int, e: int) -> tuple[int, int, int]:
-    """(edits, start, end) of the best of all w-byte windows of ``item`` against ``doc`` from diagonals
+def window_edits(item: bytes, doc: bytes, windows: np.ndarray, low: int, high: int, w: int, e: int) -> tuple[int, int, int]:
+    """(edits, start, end) of the best of the w-byte ``windows`` (offsets in ``item``) against ``doc`` from diagonals
     [low, high): banded edit distance, free to start on any of them and to drift by e."""
     k = np.arange(low - e, high + e)
-    windows = np.arange(len(item) - w + 1)
     text = np.frombuffer(doc, dtype=np.uint8)
     own = np.frombuffer(item, dtype=np.uint8)
     far = 10 * (w + 1)
@@ -176,8 +175,15 @@ def _verify(index: Index, doc: bytes, i: int, band: int, diagonals: np.ndarray,
             s, t = int(longest[0]), int(longest[-1]) + q
             if doc[x + s : x + t] == item[s:t]:
                 return 0, int(x) + s, int(x) + t
+    # the bound holds for each window by itself: only windows with enough shared q-grams are aligned
+    own = np.unique(offsets)
+    a = np.arange(len(item) - w + 1)
+    count = np.searchsorted(own, a + w - q, side="right") - np.searchsorted(own, a)
+    a = a[count >= index.need[i]]
+    if not len(a):
+        return None
     low = band * width
-    edits, s, t = window_edits(item, doc, low, low + 2 * width, w, e)
+    edits, s, t = window_edits(item, doc, a, low, low + 2 * width, w, e)
     return (edits, s, t) if edits <= e else None
 
 
