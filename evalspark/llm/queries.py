@@ -81,3 +81,10 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from evalspark.llm.decontam import leaks
 
     return leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+@register("op5_quality_crf")
+def op5_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from evalspark.llm.quality_crf import classify
+
+    return classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
