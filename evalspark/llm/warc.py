@@ -15,7 +15,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalspark.llm.common import P, cut
+from evalspark.llm.common import P, cut, hashed_sample
 
 #: Fixed values of the archive format: magic of the dictionary's skippable frame, and of dictionary and frame.
 DICT_MAGIC = b"\x5d\x2a\x4d\x18"
@@ -49,10 +49,11 @@ def classify(pages: DataFrame) -> DataFrame:
 
 
 def train_dictionary(pages: DataFrame, samples: int = 256, max_bytes: int = 32_768, size: int = 32_768) -> bytes:
-    """Dictionary from the ``samples`` pages with the least hash of page_id among those of at most
-    ``max_bytes`` (bounded: 8 MB reach the driver).  Too few pages: their bytes as they are."""
+    """Dictionary from about ``samples`` pages of at most ``max_bytes``, chosen by a hash of page_id
+    (about 8 MB at most reach the driver).  Too few pages: their bytes as they are."""
     few = pages.where(F.octet_length("html").between(1, max_bytes)).select("page_id", "html")
-    rows = few.orderBy(F.xxhash64("page_id"), F.xxhash64("html")).limit(samples).collect()
+    rows = hashed_sample(few, ["page_id"], samples, few.select("page_id").count()).limit(2 * samples).collect()
+    rows.sort(key=lambda r: (r.page_id is None, r.page_id, r.html))
     texts = [r.html.encode() for r in rows]
     if len(texts) >= 32:
         try:
@@ -91,14 +92,15 @@ def build_record(page_id: int | None, url: str | None, payload: bytes, refers_to
     return "\r\n".join(head).encode("utf-8") + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def write_archives(pages: DataFrame, path: str, target_bytes: int = 32 << 20, date: str = "2000-01-01T00:00:00Z", level: int = 3) -> None:
+def write_archives(pages: DataFrame, path: str, date: str = "2000-01-01T00:00:00Z", level: int = 3) -> None:
     """Write ``pages`` (page_id, url, html; other columns are ignored) as archives under ``path``.
 
-    Archives hold about ``target_bytes`` of payload each, so a file is bounded; a very long page is one
-    record in any case.  An empty table writes archives without records.
+    One archive per partition of the pages joined with their winners: the session's partition sizes
+    (``spark.sql.files.maxPartitionBytes``, AQE's advisory size) bound an archive, and payloads cross at
+    most one shuffle (none if the winners are broadcast).  A very long page is one record in any case.
+    An empty table writes archives without records.
     """
     rows = classify(pages.select("page_id", "url", "html"))
-    total = pages.select(F.sum(F.octet_length("html"))).first()[0] or 0
     dictionary = train_dictionary(pages)
     frame_of, encode = skippable, build_record
 
@@ -123,9 +125,7 @@ def write_archives(pages: DataFrame, path: str, target_bytes: int = 32 << 20, da
         if first:
             yield pa.RecordBatch.from_arrays([pa.array(first, pa.binary())], names=["frame"])
 
-    parts = max(1, -(-total // target_bytes))
-    dealt = rows.repartition(parts, F.xxhash64("page_id", "payload_digest"))
-    frames = dealt.mapInArrow(run, "frame binary").select(F.col("frame").cast("string").alias("value"))
+    frames = rows.mapInArrow(run, "frame binary").select(F.col("frame").cast("string").alias("value"))
     frames.write.mode("overwrite").option("lineSep", SEPARATOR).option("compression", "none").text(path)
 
 
