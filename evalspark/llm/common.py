@@ -67,3 +67,13 @@ def running_totals(df: DataFrame, order: list[Column], sums: dict[str, Column])
         {n + "_before": F.col(ahead + n) + F.coalesce(F.sum(c).over(within), F.lit(0)) for n, c in sums.items()}
     )
     return out.drop(part, *[ahead + n for n in sums])
+
+
+def hashed_sample(df: DataFrame, keys: list[str], n: int, count: int | None = None) -> DataFrame:
+    """About ``n`` rows of ``df`` (all, if it has no more), chosen by a hash of ``keys``: rows with equal
+    keys go together and a rerun picks the same.  What a driver collects of it doesn't grow with the tasks."""
+    count = df.count() if count is None else count
+    if count <= n:
+        return df
+    steps = 1 << 40
+    return df.where(F.pmod(F.xxhash64(*keys), F.lit(steps)) < int(steps * n / count))

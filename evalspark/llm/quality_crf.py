@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evalspark.llm.common import hashed_sample
+
 #: Classes of bytes counted in a line.
 UPPER = bytes(range(65, 91))
 LETTERS = bytes([*range(65, 91), *range(97, 123), *range(128, 256)])
@@ -167,14 +169,16 @@ def held_out_column(key: str) -> Column:
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, how: Sampling) -> list:
-    """The ``how.documents`` labelled rows outside the held-out fold with the least hash of doc_id.
+    """About ``how.documents`` labelled rows outside the held-out fold, chosen by a hash of doc_id.
 
     A doc_id with several labels counts as good if any of them says so; null labels are left out.
     """
     lab = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out_column("doc_id"))
-    picked = lab.groupBy("doc_id").agg(F.max("quality").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(how.documents)
+    per_doc = lab.groupBy("doc_id").agg(F.max("quality").alias("y"))
+    picked = hashed_sample(per_doc, ["doc_id"], how.documents).limit(2 * how.documents)
     d = docs.select("doc_id", "text").where(F.octet_length("text") <= how.max_bytes)
-    return d.join(F.broadcast(picked), "doc_id").orderBy("doc_id", F.xxhash64("text")).limit(2 * how.documents).collect()
+    rows = d.join(F.broadcast(picked), "doc_id").limit(4 * how.documents).collect()
+    return sorted(rows, key=lambda r: (r.doc_id, r.text))
 
 
 def train(docs: DataFrame, labels: DataFrame, how: Sampling = Sampling()) -> dict:

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from evalspark.llm.common import P, cut
+from evalspark.llm.common import P, cut, hashed_sample
 from evalspark.llm.graph import components
 
 #: Bounds of what the driver sees and of one group's work.
@@ -199,8 +199,9 @@ def near_links(distinct: DataFrame, max_bits: int = 4, blocks: int | None = None
         mask_list, radius = masks(max_bits, blocks), max_bits // blocks
     else:
         mask_list, radius = sub_metrics(max_bits, n)
-    # bounded: the SAMPLE fingerprints with the least hashes, only to choose vantage points and medians
-    sample = np.array([r.fp for r in distinct.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()], dtype=np.int64)
+    # bounded: about SAMPLE fingerprints chosen by hash, only to choose vantage points and medians
+    few = hashed_sample(distinct.select("fp"), ["fp"], SAMPLE, n).limit(2 * SAMPLE)
+    sample = np.array(sorted(r.fp for r in few.collect()), dtype=np.int64)
     per_leaf = max(1, int(LEAF * len(sample) / max(n, 1)))
     trees = spark.sparkContext.broadcast(
         [vantage_tree(sample.view(np.uint64), m, per_leaf, i) for i, m in enumerate(mask_list)]
