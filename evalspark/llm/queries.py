@@ -88,3 +88,11 @@ def op5_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     from evalspark.llm.quality_crf import classify
 
     return classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+@register("op6_language_id")
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from evalspark.llm.langid import identify
+
+    found = identify(read_table(spark, sf_dir, "pages"), read_table(spark, sf_dir, "documents"))
+    return found.select("page_id", "host", "domain", "address", "declared", "lang", "confidence", "text_lang")
