@@ -96,3 +96,12 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     found = identify(read_table(spark, sf_dir, "pages"), read_table(spark, sf_dir, "documents"))
     return found.select("page_id", "host", "domain", "address", "declared", "lang", "confidence", "text_lang")
+
+
+@register("op3_line_dedup")
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from evalspark.llm.linededup import dedup_lines
+
+    d = dedup_lines(read_table(spark, sf_dir, "documents"))
+    kept = F.sha2(F.coalesce("kept", F.lit("")), 256).alias("kept_sha256")
+    return d.select("doc_id", "n_lines", "n_removed", "n_runs", "longest_run", kept)

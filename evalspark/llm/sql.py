@@ -165,3 +165,30 @@ SELECT page_id, payload_bytes, sha256(html) AS payload_digest, CASE WHEN revisit
        CASE WHEN revisit THEN first END AS refers_to, NULL::VARCHAR AS error
 FROM r
 """
+
+SQL["op3_line_dedup"] = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS l FROM documents
+), w AS (
+  SELECT doc_id, l, unnest(generate_series(1, len(l) - 2)) AS p FROM d WHERE len(l) >= 3
+), k AS (
+  SELECT doc_id, p, l[p:p + 2] AS run FROM w
+  WHERE regexp_matches(l[p], '[^\x20\x09-\x0D]') AND regexp_matches(l[p + 1], '[^\x20\x09-\x0D]') AND regexp_matches(l[p + 2], '[^\x20\x09-\x0D]')
+), f AS (
+  SELECT doc_id, p, row_number() OVER (PARTITION BY run ORDER BY doc_id, p) AS nth FROM k
+), r AS (
+  SELECT doc_id, list_sort(list(DISTINCT q)) AS g FROM (SELECT doc_id, unnest([p, p + 1, p + 2]) AS q FROM f WHERE nth > 1) GROUP BY doc_id
+), i AS (
+  SELECT doc_id, max(c) AS longest, count(*) AS runs FROM (
+    SELECT doc_id, q - rn AS s, count(*) AS c FROM (
+      SELECT doc_id, q, row_number() OVER (PARTITION BY doc_id ORDER BY q) AS rn FROM (SELECT doc_id, unnest(g) AS q FROM r)) GROUP BY ALL)
+  GROUP BY doc_id
+), o AS (
+  SELECT doc_id, string_agg(x, chr(10) ORDER BY p) AS kept FROM (
+    SELECT doc_id, unnest(l) AS x, unnest(generate_series(1, len(l))) AS p FROM d) a
+  WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.doc_id = a.doc_id AND list_contains(g, p)) GROUP BY doc_id
+)
+SELECT d.doc_id, len(l)::BIGINT AS n_lines, coalesce(len(g), 0)::BIGINT AS n_removed, coalesce(runs, 0)::BIGINT AS n_runs,
+       coalesce(longest, 0)::BIGINT AS longest_run, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN r USING (doc_id) LEFT JOIN i USING (doc_id) LEFT JOIN o USING (doc_id)
+"""
