@@ -76,9 +76,9 @@ def language_model(docs: DataFrame, text: str = "text", lang: str = "lang") -> t
                 [pa.array([name] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(c[at])], names=["lang", "bucket", "n"]
             )
 
-    counts = rows.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    counts = cut(rows.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")))
     top = counts.groupBy("lang").agg(F.sum("n").alias("all")).orderBy(F.desc("all"), "lang").limit(MAX_LANGUAGES)
-    got = cut(counts).join(F.broadcast(top.select("lang")), "lang").collect()
+    got = counts.join(F.broadcast(top.select("lang")), "lang").collect()
     names = sorted({r.lang for r in got})
     table = np.full((len(names), BUCKETS), 0.5)
     index = {x: i for i, x in enumerate(names)}
