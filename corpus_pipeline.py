@@ -1,40 +1,63 @@
-"""The corpus pipeline: quality rules, SimHash near-dedup, benchmark decontamination, mixing, sharding."""
+"""The corpus pipeline: quality rules, SimHash near-dedup, benchmark decontamination, mixing, sharding.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of
+``documents``.  A caller may write each stage's result as Parquet and read it again as the next one's
+``docs``; ``run`` does so in the shared folder, so a lost executor costs one stage at most.
+"""
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import DataFrame, SparkSession
 
-from evalspark.llm import hilbert, hostrules, mixing
-from evalspark.llm.common import read_table
+from evalspark.llm import decontam, hilbert, hostrules, mixing, simhash
+from evalspark.llm.common import read_table, shared_folder
 
-#: Near-duplicate groups, decontamination and mixing have no SQL form together; tested against brute force.
+#: Near-duplicate groups and approximate benchmark matches have no SQL form; tested against brute force.
 ORACLE_SQL = None
 
 
-def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Quality rules by host: documents that the rules reject go."""
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules reject go."""
     return hostrules.keep_clean(docs)
 
 
-def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays (4-word shingles, 4 bits)."""
+    return simhash.keep_first(docs, shingle=4, max_bits=4)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return decontam.drop_leaks(docs, read_table(spark, sf_dir, "benchmark"))
+
+
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix of the sources takes it."""
     return mixing.mix(docs)
 
 
-def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in 40 shards along the Hilbert curve."""
+def hilbert_sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in 40 shards along a Hilbert curve over language, source and size."""
     return hilbert.shard_documents(docs, 40)
 
 
 STAGES = [
-    ("quality_rules", quality),
-    ("mixing", mixing_stage),
-    ("sharding", sharding),
+    ("quality_rules", quality_rules),
+    ("simhash_near_dedup", simhash_near_dedup),
+    ("benchmark_decontamination", benchmark_decontamination),
+    ("source_mixing", source_mixing),
+    ("hilbert_sharding", hilbert_sharding),
 ]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
+    base = f"{shared_folder(spark).rstrip('/')}/pipeline-{uuid4().hex}"
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs.write.parquet(f"{base}/{k}")
+            docs = spark.read.parquet(f"{base}/{k}")
     return docs

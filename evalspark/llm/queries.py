@@ -105,3 +105,11 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = dedup_lines(read_table(spark, sf_dir, "documents"))
     kept = F.sha2(F.coalesce("kept", F.lit("")), 256).alias("kept_sha256")
     return d.select("doc_id", "n_lines", "n_removed", "n_runs", "longest_run", kept)
+
+
+@register("op4_substring_dedup")
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from evalspark.llm.substrdedup import dedup_substrings
+
+    d = dedup_substrings(read_table(spark, sf_dir, "documents"), texts_out=False)
+    return d.select("doc_id", "n_words", "n_removed", F.col("kept").alias("kept_sha256"))

@@ -192,3 +192,25 @@ SELECT d.doc_id, len(l)::BIGINT AS n_lines, coalesce(len(g), 0)::BIGINT AS n_rem
        coalesce(longest, 0)::BIGINT AS longest_run, sha256(coalesce(kept, '')) AS kept_sha256
 FROM d LEFT JOIN r USING (doc_id) LEFT JOIN i USING (doc_id) LEFT JOIN o USING (doc_id)
 """
+
+SQL["op4_substring_dedup"] = rf"""
+WITH d AS (
+  SELECT doc_id, {_WORDS} AS w FROM documents
+), p AS (
+  SELECT doc_id, w, unnest(generate_series(1, len(w) - 49)) AS p FROM d WHERE len(w) >= 50
+), k AS (
+  SELECT doc_id, p, md5(array_to_string(w[p:p + 49], ' ')) AS run FROM p
+), f AS (
+  SELECT doc_id, p FROM (SELECT doc_id, p, min(doc_id) OVER (PARTITION BY run) AS least FROM k) WHERE doc_id > least
+), g AS (
+  SELECT DISTINCT doc_id, unnest(generate_series(p, p + 49)) AS q FROM f
+), words AS (
+  SELECT doc_id, unnest(w) AS x, unnest(generate_series(1, len(w))) AS q FROM d
+), o AS (
+  SELECT doc_id, string_agg(x, ' ' ORDER BY q) AS kept FROM words ANTI JOIN g USING (doc_id, q) GROUP BY doc_id
+), c AS (
+  SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN c USING (doc_id) LEFT JOIN o USING (doc_id)
+"""
