@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -77,3 +78,22 @@ def hashed_sample(df: DataFrame, keys: list[str], n: int, count: int | None = No
         return df
     steps = 1 << 40
     return df.where(F.pmod(F.xxhash64(*keys), F.lit(steps)) < int(steps * n / count))
+
+
+def scratch_folder(spark: SparkSession) -> str:
+    """This session's own folder for written intermediate tables, inside the shared folder."""
+    return f"{shared_folder(spark).rstrip('/')}/scratch-{spark.sparkContext.applicationId}"
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written as a compressed Parquet table in the scratch folder and read again; for large
+    intermediate tables, where a checkpoint's plain rows would be several times larger."""
+    path = f"{scratch_folder(df.sparkSession)}/{uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete the session's scratch folder, once the results that read it are written."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from evalspark.llm.common import cut
+from evalspark.llm.common import cut, stored
 
 WINDOW = 50
 GRAM = 25
@@ -39,20 +39,14 @@ NO_ID = (1 << 63) - 1
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
-class WordHashes(dict):
-    """XXH64 of words, remembered up to a bounded number."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word)
-        return h
-
-
 def split_words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").split()  # bytes split at the six ASCII blanks only
 
 
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), dtype=np.uint64, count=len(words))
+
+
 def mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     h = a * M1 + (b ^ (b >> np.uint64(29))) * M2
     return h ^ (h >> np.uint64(32))
@@ -66,12 +60,13 @@ def gram_hashes(h: np.ndarray, k: int) -> np.ndarray:
     return mix(cur[:n], cur[k - size : k - size + n]) if size < k else cur[:n]
 
 
-def window_anchors(h: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
-    """(anchor hash, anchor place) of each window of words."""
-    g = gram_hashes(h, gram)
-    per = window - gram + 1
-    place = np.lib.stride_tricks.sliding_window_view(g, per).argmin(axis=1) + np.arange(len(h) - window + 1)
-    return g[place], place
+def window_anchors(h: np.ndarray, window: int, gram: int) -> np.ndarray:
+    """Anchor of each window of words: the least hash of its word grams (a sliding minimum by doubling)."""
+    least, size, per = gram_hashes(h, gram), 1, window - gram + 1
+    n = len(least) - per + 1
+    while 2 * size <= per:
+        least, size = np.minimum(least[:-size], least[size:]), 2 * size
+    return np.minimum(least[:n], least[per - size : per - size + n])
 
 
 def build_automaton(words: list[bytes]) -> tuple[list[dict], list[int], list[int]]:
@@ -167,18 +162,17 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 def _anchors(texts: DataFrame, window: int, gram: int) -> DataFrame:
     """(a, th): the distinct anchors of each text."""
-    split, places, table = split_words, window_anchors, WordHashes
+    split, anchors_of, hashes = split_words, window_anchors, word_hashes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = table()
         for b in batches:
             found, owner = [], []
             for th, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 w = split(t.as_py())
                 if len(w) < window:
                     continue
-                h = np.fromiter(map(known.__getitem__, w), dtype=np.uint64, count=len(w))
-                a = np.unique(places(h, window, gram)[0])
+                h = hashes(w)
+                a = np.unique(anchors_of(h, window, gram))
                 found.append(a)
                 owner.append(np.full(len(a), th, dtype=np.int64))
             if found:
@@ -190,10 +184,9 @@ def _anchors(texts: DataFrame, window: int, gram: int) -> DataFrame:
 
 def _window_rows(texts: DataFrame, window: int, gram: int) -> DataFrame:
     """(a, doc, th, start, wins): neighbouring windows with one anchor, their hashes as packed 8-byte words."""
-    split, places, table, grams = split_words, window_anchors, WordHashes, gram_hashes
+    split, anchors_of, hashes, grams = split_words, window_anchors, word_hashes, gram_hashes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = table()
         names = ["a", "doc", "th", "start", "wins"]
         for b in batches:
             out: list[list] = [[], [], [], [], []]
@@ -201,10 +194,10 @@ def _window_rows(texts: DataFrame, window: int, gram: int) -> DataFrame:
                 w = split(t.as_py())
                 if len(w) < window:
                     continue
-                h = np.fromiter(map(known.__getitem__, w), dtype=np.uint64, count=len(w))
-                a, place = places(h, window, gram)
+                h = hashes(w)
+                a = anchors_of(h, window, gram)
                 raw = grams(h, window).tobytes()
-                cuts = np.concatenate([[0], np.nonzero(np.diff(place))[0] + 1, [len(place)]])
+                cuts = np.concatenate([[0], np.nonzero(a[1:] != a[:-1])[0] + 1, [len(a)]])
                 out[0] += a[cuts[:-1]].view(np.int64).tolist()
                 out[1] += [doc] * (len(cuts) - 1)
                 out[2] += [th] * (len(cuts) - 1)
@@ -232,10 +225,14 @@ def _hot_runs(rows: DataFrame) -> DataFrame:
     return runs.select("doc", "th", "start", "n", "ref", "rth", "rstart")
 
 
+def _small(rows: DataFrame) -> DataFrame:
+    """``rows`` marked for broadcast if their count is within the bound; else AQE joins them by shuffle."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
+
 def _marked(texts: DataFrame, marks: DataFrame) -> DataFrame:
     """``texts`` left-joined with ``marks`` (doc, th, kind); broadcast only up to a checked number of rows."""
-    m = F.broadcast(marks) if marks.count() <= BROADCAST_ROWS else marks
-    return texts.join(m, ["doc", "th"], "left")
+    return texts.join(_small(marks), ["doc", "th"], "left")
 
 
 def _verified(need: DataFrame, runs: DataFrame, window: int) -> DataFrame:
@@ -257,11 +254,11 @@ def _verified(need: DataFrame, runs: DataFrame, window: int) -> DataFrame:
             kinds = [pa.int64()] * 4 + [pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["doc", "th", "start", "n", "words"])
 
-    cut_out = need.dropDuplicates(["doc", "th"]).select("doc", "th", "text").join(wanted, ["doc", "th"]).mapInArrow(
+    cut_out = need.select("doc", "th", "text").join(wanted, ["doc", "th"]).mapInArrow(
         passages, "doc long, th long, start long, n long, words binary"
     )
-    parts = cut(cut_out)
     keys = ["doc", "th", "start", "n"]
+    parts = stored(cut_out).dropDuplicates(keys)
     q = parts.withColumnRenamed("words", "q")
     r = parts.select(F.col("doc").alias("ref"), F.col("th").alias("rth"), F.col("start").alias("rstart"), "n", F.col("words").alias("r"))
     pairs = runs.join(q, keys).join(r, ["ref", "rth", "rstart", "n"]).select("doc", "th", "start", "q", "r")
@@ -300,7 +297,7 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, te
     texts = _texts(docs)
     first = texts.groupBy("th", "th2").agg(F.min("doc").alias("least"), F.max("doc").alias("most"))
     firsts = cut(first)
-    anchors = cut(_anchors(texts, window, gram))
+    anchors = stored(_anchors(texts, window, gram))
     shared = cut(
         anchors.groupBy("a").agg(F.min("th").alias("lo"), F.max("th").alias("hi"), F.count("*").alias("c")).where("lo < hi").select("a", "c")
     )
@@ -311,16 +308,20 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, te
     copies = narrow.join(several, ["th", "th2"]).where(F.col("doc") > F.col("least")).select("doc", "th", F.lit("copy").alias("kind")).distinct()
     marked = _marked(texts, cut(copies.unionByName(need.distinct())))
     compare = marked.where(F.col("kind") == "compare")
-    rows = cut(_window_rows(compare, window, gram))
+    rows = _window_rows(compare, window, gram)
     hot = shared.where(F.col("c") > HOT_ANCHOR).select("a")
-    groups = max(1, rows.count() // 20_000)
-    light = rows.join(hot, "a", "left_anti").withColumn("g", F.pmod(F.xxhash64("a"), F.lit(groups)))
+    groups = max(1, anchors.count() // 20_000)
     work = first_windows
 
     def by_bucket(g: pd.DataFrame) -> pd.DataFrame:
         return work(g)
 
-    runs = light.groupBy("g").applyInPandas(by_bucket, RUN).unionByName(_hot_runs(rows.join(hot, "a", "left_semi")))
+    bucket = F.pmod(F.xxhash64("a"), F.lit(groups))
+    if hot.isEmpty():
+        runs = rows.groupBy(bucket).applyInPandas(by_bucket, RUN)
+    else:
+        light = rows.join(_small(hot), "a", "left_anti")
+        runs = light.groupBy(bucket).applyInPandas(by_bucket, RUN).unionByName(_hot_runs(rows.join(_small(hot), "a", "left_semi")))
     spans = _verified(compare, cut(runs), window)
     split = split_words
 
