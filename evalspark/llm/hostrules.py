@@ -146,6 +146,9 @@ def keep_clean(docs: DataFrame, host: str = "source", rules: HostRules = HostRul
     mine = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias(f"{P}row"), F.col(host).alias(f"{P}src"), "text")
     stats = document_stats(mine)
     v = host_verdicts(cut(stats.select(f"{P}src", "n_lines", *STATS)), f"{P}src", rules)
+    # a generator in between: the optimizer would copy the counts' expressions into a filter pushed below them
+    counts = F.explode(F.array(F.struct("n_lines", *STATS))).alias(f"{P}c")
+    held = stats.select(f"{P}row", f"{P}src", counts).select(f"{P}row", f"{P}src", f"{P}c.*")
     bad = base_failed() | (F.col("host_verdict") == "rejected") | ((F.col("host_verdict") == "watched") & rule_failed(rules))
-    j = stats.join(v, stats[f"{P}src"].eqNullSafe(v[f"{P}host"]), "left")
+    j = held.join(v, held[f"{P}src"].eqNullSafe(v[f"{P}host"]), "left")
     return j.where(~bad).select(*[F.col(f"{P}row")[c].alias(c) for c in docs.columns])
