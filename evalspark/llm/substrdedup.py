@@ -118,6 +118,13 @@ def matching_spans(words: list[bytes], automaton: tuple, window: int) -> list[tu
     return [(a, b) for a, b in spans]
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of at most ``rows`` rows, so that what a task holds of whole texts is bounded."""
+    for b in batches:
+        for at in range(0, max(b.num_rows, 1), rows):
+            yield b.slice(at, rows)
+
+
 def first_windows(g: pd.DataFrame) -> pd.DataFrame:
     """Runs of windows (one anchor bucket) whose first document is another, smaller one."""
     sizes = g["wins"].map(len).to_numpy() // 8
@@ -162,10 +169,10 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 def _anchors(texts: DataFrame, window: int, gram: int) -> DataFrame:
     """(a, th): the distinct anchors of each text."""
-    split, anchors_of, hashes = split_words, window_anchors, word_hashes
+    split, anchors_of, hashes, pieces = split_words, window_anchors, word_hashes, slices
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches):
             found, owner = [], []
             for th, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 w = split(t.as_py())
@@ -184,11 +191,11 @@ def _anchors(texts: DataFrame, window: int, gram: int) -> DataFrame:
 
 def _window_rows(texts: DataFrame, window: int, gram: int) -> DataFrame:
     """(a, doc, th, start, wins): neighbouring windows with one anchor, their hashes as packed 8-byte words."""
-    split, anchors_of, hashes, grams = split_words, window_anchors, word_hashes, gram_hashes
+    split, anchors_of, hashes, grams, pieces = split_words, window_anchors, word_hashes, gram_hashes, slices
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["a", "doc", "th", "start", "wins"]
-        for b in batches:
+        for b in pieces(batches):
             out: list[list] = [[], [], [], [], []]
             for doc, th, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
                 w = split(t.as_py())
@@ -240,10 +247,10 @@ def _verified(need: DataFrame, runs: DataFrame, window: int) -> DataFrame:
     as_query = runs.select("doc", "th", "start", "n")
     as_reference = runs.select(F.col("ref").alias("doc"), F.col("rth").alias("th"), F.col("rstart").alias("start"), "n")
     wanted = as_query.unionByName(as_reference).groupBy("doc", "th").agg(F.collect_set(F.struct("start", "n")).alias("cuts"))
-    split = split_words
+    split, pieces = split_words, slices
 
     def passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches):
             out: list[list] = [[], [], [], [], []]
             for doc, th, t, cuts in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
                 w = split(t)
@@ -266,7 +273,7 @@ def _verified(need: DataFrame, runs: DataFrame, window: int) -> DataFrame:
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         built: dict[bytes, tuple] = {}
-        for b in batches:
+        for b in pieces(batches):
             out: list[list] = [[], [], [], []]
             for doc, th, start, words, ref in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
                 if ref not in built:
@@ -323,10 +330,10 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, te
         light = rows.join(_small(hot), "a", "left_anti")
         runs = light.groupBy(bucket).applyInPandas(by_bucket, RUN).unionByName(_hot_runs(rows.join(_small(hot), "a", "left_semi")))
     spans = _verified(compare, cut(runs), window)
-    split = split_words
+    split, pieces = split_words, slices
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches):
             out: list[list] = [[], [], [], [], []]
             for doc, kind, t, cuts in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
                 w = split(t)
