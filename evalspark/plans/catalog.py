@@ -92,6 +92,14 @@ def scores_long(spark, sf):
     return to_long(wide, ["sno", "model"], TEXT_METRICS).drop("note")
 
 
+def flagship(spark, sf):
+    """The overall winner under the text metrics of ``pairs_edit``."""
+    from evalspark.operators import report
+
+    w = report.overall_winner(report.filter_scores(scores_long(spark, sf)))
+    return w.select("model", _r6("overall_mean").alias("overall_mean"))
+
+
 @register("score_all")
 def q_score_all(spark, sf):
     from evalspark.operators.scoring import score_all
@@ -104,10 +112,18 @@ def q_scores(spark, sf):
     return scores_long(spark, sf)
 
 
+def _unique_scores(spark, sf):
+    """One row per (sno, model, metric): duplicates averaged, rounded so that a sum's order can't show."""
+    from pyspark.sql import functions as F
+
+    per = views.report_scores(spark, sf).groupBy("sno", "model", "metric")
+    return per.agg(F.bround(F.avg("score"), 9).alias("score"))
+
+
 def _report(spark, sf):
     from evalspark.operators import report
 
-    return report.assemble_report(scores_long(spark, sf), views.prompts(spark, sf))
+    return report.assemble_report(_unique_scores(spark, sf), views.prompts(spark, sf))
 
 
 @register("assemble_report")
@@ -147,35 +163,33 @@ def q_coerce_score(spark, sf):
 def q_filter_scores(spark, sf):
     from evalspark.operators import report
 
-    return report.filter_scores(scores_long(spark, sf))
+    return report.filter_scores(views.report_scores(spark, sf), models=["click", "view", "error"], metrics=["BLEU", "METEOR"])
 
 
 @register("prompt_scores")
 def q_prompt_scores(spark, sf):
     from evalspark.operators import report
 
-    return report.prompt_scores(scores_long(spark, sf))
+    return report.prompt_scores(views.report_scores(spark, sf), sno=7)
 
 
 @register("mean_scores")
 def q_mean_scores(spark, sf):
     from evalspark.operators import report
 
-    m = report.mean_scores(report.filter_scores(scores_long(spark, sf), metrics=None))
+    m = report.mean_scores(report.filter_scores(views.report_scores(spark, sf), metrics=None))
     return m.select("model", "metric", _r6("mean_score").alias("mean_score"))
 
 
 def _metrics():
-    from evalspark.operators.scoring import TEXT_METRICS
-
-    return TEXT_METRICS
+    return views.REPORT_METRICS
 
 
 @register("score_matrix")
 def q_score_matrix(spark, sf):
     from evalspark.operators import report
 
-    mx = report.score_matrix(report.filter_scores(scores_long(spark, sf)), _metrics())
+    mx = report.score_matrix(report.filter_scores(views.report_scores(spark, sf)), _metrics())
     return mx.select("model", *[_r6(f"`{m}`").alias(m) for m in _metrics()])
 
 
@@ -183,7 +197,7 @@ def q_score_matrix(spark, sf):
 def q_prompt_matrix(spark, sf):
     from evalspark.operators import report
 
-    mx = report.prompt_matrix(scores_long(spark, sf), _metrics())
+    mx = report.prompt_matrix(views.report_scores(spark, sf), _metrics())
     return mx.select("sno", "model", *[_r6(f"`{m}`").alias(m) for m in _metrics()])
 
 
@@ -191,7 +205,7 @@ def q_prompt_matrix(spark, sf):
 def q_overall_mean(spark, sf):
     from evalspark.operators import report
 
-    om = report.overall_mean(report.filter_scores(scores_long(spark, sf)))
+    om = report.overall_mean(report.filter_scores(views.report_scores(spark, sf)))
     return om.select("model", _r6("overall_mean").alias("overall_mean"))
 
 
@@ -199,7 +213,7 @@ def q_overall_mean(spark, sf):
 def q_overall_winner(spark, sf):
     from evalspark.operators import report
 
-    w = report.overall_winner(report.filter_scores(scores_long(spark, sf)))
+    w = report.overall_winner(report.filter_scores(views.report_scores(spark, sf)))
     return w.select("model", _r6("overall_mean").alias("overall_mean"))
 
 
@@ -207,7 +221,7 @@ def q_overall_winner(spark, sf):
 def q_prompt_winners(spark, sf):
     from evalspark.operators import report
 
-    w = report.prompt_winners(scores_long(spark, sf))
+    w = report.prompt_winners(views.report_scores(spark, sf))
     return w.select("sno", "model", _r6("prompt_mean").alias("prompt_mean"))
 
 
@@ -215,7 +229,7 @@ def q_prompt_winners(spark, sf):
 def q_winner_profile(spark, sf):
     from evalspark.operators import report
 
-    p = report.winner_profile(report.filter_scores(scores_long(spark, sf)))
+    p = report.winner_profile(report.filter_scores(views.report_scores(spark, sf)))
     return p.select("model", "point_no", "metric", _r6("value").alias("value"), _r6("axis_max").alias("axis_max"))
 
 
@@ -223,18 +237,14 @@ def q_winner_profile(spark, sf):
 def q_distinct_metrics(spark, sf):
     from evalspark.operators import report
 
-    return report.distinct_metrics(scores_long(spark, sf))
-
-
-def _scores_with_prompt(spark, sf):
-    return scores_long(spark, sf).join(views.prompts(spark, sf), "sno")
+    return report.distinct_metrics(views.report_scores(spark, sf))
 
 
 @register("distinct_prompts")
 def q_distinct_prompts(spark, sf):
     from evalspark.operators import report
 
-    s = scores_long(spark, sf).select("sno").distinct().join(views.prompts(spark, sf), "sno")
+    s = views.report_scores(spark, sf).select("sno").distinct().join(views.prompts(spark, sf), "sno")
     return report.distinct_prompts(s)
 
 
@@ -256,7 +266,7 @@ def q_label_index(spark, sf):
 def q_prompt_text(spark, sf):
     from evalspark.operators import report
 
-    s = scores_long(spark, sf).select("sno").distinct().join(views.prompts(spark, sf), "sno")
+    s = views.report_scores(spark, sf).select("sno").distinct().join(views.prompts(spark, sf), "sno")
     return report.prompt_text(s)
 
 
@@ -264,7 +274,7 @@ def q_prompt_text(spark, sf):
 def q_prompt_positions(spark, sf):
     from evalspark.operators import report
 
-    return report.prompt_positions(scores_long(spark, sf))
+    return report.prompt_positions(views.report_scores(spark, sf))
 
 
 # --- requests family ------------------------------------------------------------------------------
@@ -507,7 +517,7 @@ def q_final_metrics_doc(spark, sf):
 
     from evalspark.operators.outcomes import COMPLETED, flatten_final_metrics, to_final_metrics
 
-    sc = scores_long(spark, sf).withColumn("evaluation_id", F.col("sno").cast("string"))
+    sc = _unique_scores(spark, sf).withColumn("evaluation_id", F.col("sno").cast("string"))
     outcomes = sc.select("evaluation_id", "model").distinct().select(
         "evaluation_id", "model", F.lit(COMPLETED).alias("outcome"), F.lit(None).cast("string").alias("message"),
         F.lit(None).cast("string").alias("response"),
@@ -570,11 +580,11 @@ def q_meteor(spark, sf):
 def q_distinct_models(spark, sf):
     from evalspark.operators import report
 
-    return report.distinct_models(scores_long(spark, sf))
+    return report.distinct_models(views.report_scores(spark, sf))
 
 
 @register("display_metrics")
 def q_display_metrics(spark, sf):
     from evalspark.operators import report
 
-    return report.display_metrics(scores_long(spark, sf))
+    return report.display_metrics(views.report_scores(spark, sf))

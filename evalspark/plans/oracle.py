@@ -223,7 +223,17 @@ scores AS (
 ),
 prompts AS (SELECT doc_id AS sno, text AS prompt FROM documents)"""
 
-METRICS = ["ROUGE-1_F1", "ROUGE-2_F1", "BLEU", "METEOR"]
+METRICS = [
+    "ROUGE-1_F1", "ROUGE-2_F1", "ROUGE-L_F1", "BLEU", "METEOR", "Cosine_Similarity_Score",
+    "Coherence_Score", "Hallucination_Score", "Relevance_Score", "Faithfulness_Score",
+]
+V_REPORT = f"""
+scores AS (
+  SELECT user_id AS sno, event_type AS model, {[*METRICS, "generated_text"]}[event_id % 11 + 1] AS metric,
+         CASE WHEN event_id % 11 <> 10 AND event_id % 13 <> 0 THEN (event_id * 37 % 101)::DOUBLE / 100 END AS score
+  FROM events WHERE NOT (event_type = 'signup' AND event_id % 11 = 3)
+),
+prompts AS (SELECT doc_id AS sno, text AS prompt FROM documents)"""
 
 
 def _pivot_cols(metric_list: list[str]) -> str:
@@ -231,34 +241,34 @@ def _pivot_cols(metric_list: list[str]) -> str:
 
 
 SQL["scores"] = f"WITH {V_SCORES} SELECT sno, model, metric, score FROM scores"
-SQL["assemble_report"] = f"""WITH {V_SCORES},
+SQL["assemble_report"] = f"""WITH {V_REPORT},
 per AS (SELECT sno, model, count(*) AS k FROM (SELECT DISTINCT sno, model, metric FROM scores) GROUP BY ALL)
 SELECT p.sno AS SNO, substring(pr.prompt, 1, 70) || '...' AS label,
        count(*)::INTEGER AS n_models, sum(k)::INTEGER AS n_scores
 FROM per p LEFT JOIN prompts pr USING (sno) GROUP BY p.sno, pr.prompt"""
-SQL["flatten_report"] = f"WITH {V_SCORES} SELECT sno, model, metric, score FROM scores"
+SQL["flatten_report"] = f"WITH {V_REPORT} SELECT sno, model, metric, round_even(avg(score), 9) AS score FROM scores GROUP BY ALL"
 SQL["coerce_score"] = """
 SELECT event_id,
   CASE WHEN isnan(TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE)) THEN NULL
        ELSE TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE) END AS k_score,
   CASE WHEN isnan(TRY_CAST(props AS DOUBLE)) THEN NULL ELSE TRY_CAST(props AS DOUBLE) END AS props_score
 FROM events"""
-SQL["filter_scores"] = f"WITH {V_SCORES} SELECT sno, model, metric, score FROM scores WHERE score IS NOT NULL AND metric <> 'generated_text'"
-SQL["prompt_scores"] = f"WITH {V_SCORES} SELECT sno, model, metric, score FROM scores WHERE score IS NOT NULL"
-SQL["mean_scores"] = f"WITH {V_SCORES} SELECT model, metric, round_even(avg(score), 9) AS mean_score FROM scores WHERE score IS NOT NULL GROUP BY ALL"
-SQL["score_matrix"] = f"WITH {V_SCORES} SELECT model, {_pivot_cols(METRICS)} FROM scores WHERE score IS NOT NULL GROUP BY model"
-SQL["prompt_matrix"] = f"WITH {V_SCORES} SELECT sno, model, {_pivot_cols(METRICS)} FROM scores WHERE score IS NOT NULL GROUP BY sno, model"
+SQL["filter_scores"] = f"WITH {V_REPORT} SELECT sno, model, metric, score FROM scores WHERE score IS NOT NULL AND metric IN ('BLEU', 'METEOR') AND model IN ('click', 'view', 'error')"
+SQL["prompt_scores"] = f"WITH {V_REPORT} SELECT sno, model, metric, score FROM scores WHERE score IS NOT NULL AND sno = 7"
+SQL["mean_scores"] = f"WITH {V_REPORT} SELECT model, metric, round_even(avg(score), 9) AS mean_score FROM scores WHERE score IS NOT NULL GROUP BY ALL"
+SQL["score_matrix"] = f"WITH {V_REPORT} SELECT model, {_pivot_cols(METRICS)} FROM scores WHERE score IS NOT NULL GROUP BY model"
+SQL["prompt_matrix"] = f"WITH {V_REPORT} SELECT sno, model, {_pivot_cols(METRICS)} FROM scores WHERE score IS NOT NULL GROUP BY sno, model"
 _MEANS = "mm AS (SELECT model, metric, avg(score) AS mean_score FROM scores WHERE score IS NOT NULL GROUP BY ALL)"
-SQL["overall_mean"] = f"WITH {V_SCORES}, {_MEANS} SELECT model, round_even(avg(mean_score), 9) AS overall_mean FROM mm GROUP BY model"
+SQL["overall_mean"] = f"WITH {V_REPORT}, {_MEANS} SELECT model, round_even(avg(mean_score), 9) AS overall_mean FROM mm GROUP BY model"
 _OM = "om AS (SELECT model, avg(mean_score) AS overall_mean FROM mm GROUP BY model)"
-SQL["overall_winner"] = f"""WITH {V_SCORES}, {_MEANS}, {_OM}
+SQL["overall_winner"] = f"""WITH {V_REPORT}, {_MEANS}, {_OM}
 SELECT model, round_even(overall_mean, 9) AS overall_mean FROM om ORDER BY round_even(overall_mean, 9) DESC, model ASC LIMIT 1"""
-SQL["prompt_winners"] = f"""WITH {V_SCORES},
+SQL["prompt_winners"] = f"""WITH {V_REPORT},
 pm AS (SELECT sno, model, avg(m) AS prompt_mean FROM
         (SELECT sno, model, metric, avg(score) AS m FROM scores WHERE score IS NOT NULL GROUP BY ALL) GROUP BY sno, model),
 rk AS (SELECT *, row_number() OVER (PARTITION BY sno ORDER BY round_even(prompt_mean, 9) DESC, model ASC) AS r FROM pm)
 SELECT sno, model, round_even(prompt_mean, 9) AS prompt_mean FROM rk WHERE r = 1"""
-SQL["winner_profile"] = f"""WITH {V_SCORES}, {_MEANS}, {_OM},
+SQL["winner_profile"] = f"""WITH {V_REPORT}, {_MEANS}, {_OM},
 win AS (SELECT model FROM om ORDER BY round_even(overall_mean, 9) DESC, model ASC LIMIT 1),
 prof AS (SELECT mm.* FROM mm JOIN win USING (model)),
 pts AS (SELECT model, metric, mean_score, row_number() OVER (PARTITION BY model ORDER BY metric) AS point_no FROM prof),
@@ -268,12 +278,12 @@ SELECT p.model, coalesce(p.point_no, n.n_points + 1)::INTEGER AS point_no, p.met
 FROM (SELECT * FROM pts UNION ALL SELECT model, metric, mean_score, NULL FROM pts WHERE point_no = 1) p
 JOIN n USING (model)
 """
-SQL["distinct_metrics"] = f"WITH {V_SCORES} SELECT DISTINCT metric FROM scores"
-SQL["distinct_prompts"] = f"WITH {V_SCORES} SELECT DISTINCT s.sno, p.prompt FROM scores s JOIN prompts p USING (sno)"
+SQL["distinct_metrics"] = f"WITH {V_REPORT} SELECT DISTINCT metric FROM scores"
+SQL["distinct_prompts"] = f"WITH {V_REPORT} SELECT DISTINCT s.sno, p.prompt FROM scores s JOIN prompts p USING (sno)"
 SQL["prompt_labels"] = "SELECT doc_id AS sno, substring(text, 1, 70) || '...' AS label FROM documents"
 SQL["label_index"] = "SELECT substring(text, 1, 70) || '...' AS label, max(doc_id) AS sno FROM documents GROUP BY 1"
-SQL["prompt_text"] = f"WITH {V_SCORES} SELECT s.sno, min(p.prompt) AS prompt FROM (SELECT DISTINCT sno FROM scores) s JOIN prompts p USING (sno) GROUP BY s.sno"
-SQL["prompt_positions"] = f"WITH {V_SCORES} SELECT sno, (row_number() OVER (ORDER BY sno) - 1)::BIGINT AS position FROM (SELECT DISTINCT sno FROM scores)"
+SQL["prompt_text"] = f"WITH {V_REPORT} SELECT s.sno, min(p.prompt) AS prompt FROM (SELECT DISTINCT sno FROM scores) s JOIN prompts p USING (sno) GROUP BY s.sno"
+SQL["prompt_positions"] = f"WITH {V_REPORT} SELECT sno, (row_number() OVER (ORDER BY sno) - 1)::BIGINT AS position FROM (SELECT DISTINCT sno FROM scores)"
 
 
 # --- requests family ------------------------------------------------------------------------------
@@ -466,8 +476,9 @@ SELECT r.evaluation_id, r.model,
        WHEN x.response IS NULL OR x.response = '' THEN 'EMPTY_RESPONSE' ELSE 'COMPLETED' END AS outcome,
   (coalesce(c.status, '') = 'RECEIVED' AND x.evaluation_id IS NOT NULL AND coalesce(x.response, '') <> '') AS has_response
 FROM req r LEFT JOIN cur c USING (evaluation_id, model) LEFT JOIN resp x USING (evaluation_id, model)"""
-SQL["final_metrics_doc"] = f"""WITH {V_SCORES}
-SELECT CAST(sno AS VARCHAR) AS evaluation_id, model, 'COMPLETED' AS status, metric, score FROM scores"""
+SQL["final_metrics_doc"] = f"""WITH {V_REPORT}
+SELECT CAST(sno AS VARCHAR) AS evaluation_id, model, 'COMPLETED' AS status, metric, round_even(avg(score), 9) AS score
+FROM scores GROUP BY ALL"""
 
 V_VERDICTS = """
 verdicts AS (
@@ -494,5 +505,5 @@ SQL["label_rate"] = """
 SELECT d.source AS model, round_even(avg(l.toxic::DOUBLE), 9) AS rate, count(*) AS n_units
 FROM labels l JOIN documents d USING (doc_id) GROUP BY d.source"""
 
-SQL["distinct_models"] = f"WITH {V_SCORES} SELECT model, min(sno) AS first_sno FROM scores GROUP BY model"
-SQL["display_metrics"] = f"WITH {V_SCORES} SELECT DISTINCT metric FROM scores WHERE score IS NOT NULL AND metric <> 'generated_text'"
+SQL["distinct_models"] = f"WITH {V_REPORT} SELECT model, min(sno) AS first_sno FROM scores GROUP BY model"
+SQL["display_metrics"] = f"WITH {V_REPORT} SELECT DISTINCT metric FROM scores WHERE score IS NOT NULL AND metric <> 'generated_text'"

@@ -3,6 +3,8 @@
 pairs          documents vs benchmark items: sno = doc_id mod (number of items), 5 models per item
 pairs_edit     each whole document (word tokens) is the reference; three deterministic edits of it
                are the candidates of models ``m_drop2``, ``m_drop7`` and ``m_swap``
+report_scores  events as score rows of a result report: prompt = user, model = event type, ten metrics and
+               ``generated_text``; with null scores, ties, duplicates and a metric that one model lacks
 prompts        (sno, prompt) for ``pairs_edit``: the document text
 requests       user turns of conversations with the next assistant turn as reference answer and the
                previous assistant turn as context
@@ -24,6 +26,11 @@ from evalspark.functions.text import tokenize
 from evalspark.sources.tables import table
 
 N_PAIR_MODELS = 5
+# The ten metric names of a result report.
+REPORT_METRICS = [
+    "ROUGE-1_F1", "ROUGE-2_F1", "ROUGE-L_F1", "BLEU", "METEOR", "Cosine_Similarity_Score",
+    "Coherence_Score", "Hallucination_Score", "Relevance_Score", "Faithfulness_Score",
+]
 # The event types, in the order used to build requested-model lists.
 EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
 STATUS_BY_USER = ["INITIATED", "PROCESSING", "COMPLETED", "FAILED"]
@@ -65,6 +72,20 @@ def pairs_edit(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def report_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(sno, model, metric, score): a report's long scores, one per event, without scoring any text."""
+    ev = table(spark, sf_dir, "events")
+    names = [*REPORT_METRICS, "generated_text"]
+    at = F.pmod(F.col("event_id"), F.lit(len(names)))
+    metric = F.element_at(F.array(*[F.lit(m) for m in names]), (at + 1).cast("int"))
+    missing = (at == len(names) - 1) | (F.pmod(F.col("event_id"), F.lit(13)) == 0)
+    score = F.when(~missing, F.pmod(F.col("event_id") * 37, F.lit(101)) / F.lit(100.0))
+    uneven = (F.col("event_type") == "signup") & (at == 3)
+    return ev.where(~uneven).select(
+        F.col("user_id").alias("sno"), F.col("event_type").alias("model"), metric.alias("metric"), score.cast("double").alias("score")
+    )
+
+
 def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("sno"), F.col("text").alias("prompt"))
 
