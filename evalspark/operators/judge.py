@@ -62,14 +62,18 @@ def judge(
 ) -> DataFrame:
     """Run a caller-supplied judge over verdict requests (K2).
 
-    ``judge_fn`` receives a pandas batch and returns verdict rows; an exception in a batch turns its
-    rows into null verdicts with the error as ``note`` (never an answer-like text).
+    ``judge_fn`` receives a pandas batch and returns verdict rows.  If it fails on a batch, it is called
+    again row by row, and only the rows that fail alone become null verdicts with the error as ``note``
+    (never an answer-like text).
     """
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            try:
-                yield judge_fn(b)
-            except Exception as exc:  # the batch goes on with null verdicts
+    def one(b: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        try:
+            yield judge_fn(b)
+        except Exception as exc:  # the caller's function may raise anything
+            if len(b) > 1:
+                for i in range(len(b)):
+                    yield from one(b.iloc[i : i + 1])
+            else:
                 yield pd.DataFrame(
                     {
                         "evaluation_id": b.get("evaluation_id"),
@@ -81,6 +85,10 @@ def judge(
                     }
                 )
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield from one(b)
+
     return requests.mapInPandas(run, schema)
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, MapType, StringType, StructField, StructType
@@ -32,11 +33,14 @@ REPORT_SCHEMA = StructType(
 def read_report(spark, path: str) -> DataFrame:
     """Report file(s): a JSON array of {SNO, prompt, models{model{metric: score}}} (A2).
 
-    Scores are read as text (they may be text); a missing or unreadable file gives an empty table.
+    Scores are read as text (they may be text); a missing path gives an empty table, as the dashboard
+    shows "no data"; any other failure is raised, and records that are no JSON are dropped.
     """
     try:
-        return spark.read.schema(REPORT_SCHEMA).option("multiLine", True).option("mode", "PERMISSIVE").json(path)
-    except Exception:  # missing path: empty result, as the dashboard shows "no data"
+        return spark.read.schema(REPORT_SCHEMA).option("multiLine", True).option("mode", "DROPMALFORMED").json(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], REPORT_SCHEMA)
 
 
