@@ -261,11 +261,14 @@ def _verified(need: DataFrame, runs: DataFrame, window: int) -> DataFrame:
             kinds = [pa.int64()] * 4 + [pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["doc", "th", "start", "n", "words"])
 
-    cut_out = need.select("doc", "th", "text").join(wanted, ["doc", "th"]).mapInArrow(
+    # repeated rows once; this deals the texts as the join does
+    nth = F.row_number().over(Window.partitionBy("doc", "th").orderBy("th"))
+    once = need.select("doc", "th", "text", nth.alias("nth")).where("nth = 1").drop("nth")
+    cut_out = once.join(wanted, ["doc", "th"]).mapInArrow(
         passages, "doc long, th long, start long, n long, words binary"
     )
     keys = ["doc", "th", "start", "n"]
-    parts = stored(cut_out).dropDuplicates(keys)
+    parts = stored(cut_out)
     q = parts.withColumnRenamed("words", "q")
     r = parts.select(F.col("doc").alias("ref"), F.col("th").alias("rth"), F.col("start").alias("rstart"), "n", F.col("words").alias("r"))
     pairs = runs.join(q, keys).join(r, ["ref", "rth", "rstart", "n"]).select("doc", "th", "start", "q", "r")
