@@ -56,17 +56,14 @@ def meteor_exact(ct, rt, alpha=0.9, beta=3.0, gamma=0.5):
 
 
 def meteor_staged(ct, rt, stages, alpha=0.9, beta=3.0, gamma=0.5):
-    """Exact stage, then each ``stages`` function (word -> class or None) on the leftovers."""
+    """Exact stage, then each ``stages`` function (word -> set of classes; a shared one matches) on the leftovers."""
     hyp = list(enumerate(ct))
     ref = list(enumerate(rt))
     matches = []
-    for key in [lambda w: w] + list(stages):
+    for key in [lambda w: {w}] + list(stages):
         for i in range(len(hyp))[::-1]:
-            ki = key(hyp[i][1])
-            if ki is None:
-                continue
             for j in range(len(ref))[::-1]:
-                if key(ref[j][1]) == ki:
+                if key(hyp[i][1]) & key(ref[j][1]):
                     matches.append((hyp[i][0], ref[j][0]))
                     hyp.pop(i)
                     ref.pop(j)
