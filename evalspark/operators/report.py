@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, MapType, StringType, StructField, StructType
 
 from evalspark.functions.scalar import coerce_score, prompt_label
+from evalspark.session import materialize
 
 # Fixed value: the metric the dashboard leaves out by default.
 GENERATED_TEXT = "generated_text"
@@ -139,9 +140,24 @@ def overall_mean(df: DataFrame) -> DataFrame:
 TIE_DIGITS = 9
 
 
-def overall_winner(df: DataFrame) -> DataFrame:
-    """Top-1 model by overall mean; ties go to the first model name in sorted order."""
-    om = overall_mean(df)
+def higher_is_better(df: DataFrame, lower_is_better: Sequence[str]) -> DataFrame:
+    """Scores in [0, 1] of the named metrics turned round to 1 − score, so that higher is better."""
+    flip = F.col("metric").isin(list(lower_is_better))
+    return df.withColumn("score", F.when(flip, F.lit(1.0) - F.col("score")).otherwise(F.col("score")))
+
+
+def with_aliases(df: DataFrame, aliases: DataFrame) -> DataFrame:
+    """Model names replaced through an alias table (alias, model); unknown names stay (D12).  Of an alias
+    listed twice the least model counts."""
+    names = aliases.groupBy(F.col("alias").alias("_alias")).agg(F.min("model").alias("_model"))
+    joined = df.join(names, df.model == names._alias, "left")
+    return joined.withColumn("model", F.coalesce("_model", "model")).select(*df.columns)
+
+
+def overall_winner(df: DataFrame, lower_is_better: Sequence[str] = ()) -> DataFrame:
+    """Top-1 model by overall mean; ties go to the first model name in sorted order.
+    ``lower_is_better``: metrics that count as 1 − score."""
+    om = overall_mean(higher_is_better(df, lower_is_better) if lower_is_better else df)
     return om.orderBy(F.bround("overall_mean", TIE_DIGITS).desc(), F.col("model").asc()).limit(1)
 
 
@@ -151,9 +167,9 @@ def prompt_means(df: DataFrame) -> DataFrame:
     return per.groupBy("sno", "model").agg(F.avg("m").alias("prompt_mean"))
 
 
-def prompt_winners(df: DataFrame) -> DataFrame:
-    """Winner of every prompt, same tie rule."""
-    pm = prompt_means(df)
+def prompt_winners(df: DataFrame, lower_is_better: Sequence[str] = ()) -> DataFrame:
+    """Winner of every prompt, same tie rule and ``lower_is_better``."""
+    pm = prompt_means(higher_is_better(df, lower_is_better) if lower_is_better else df)
     w = Window.partitionBy("sno").orderBy(F.bround("prompt_mean", TIE_DIGITS).desc(), F.col("model").asc())
     return pm.withColumn("rk", F.row_number().over(w)).where(F.col("rk") == 1).drop("rk")
 
@@ -194,20 +210,24 @@ def distinct_prompts(df: DataFrame) -> DataFrame:
     return df.select("sno", "prompt").dropDuplicates(["sno", "prompt"]).orderBy("sno")
 
 
-def prompt_text(df: DataFrame) -> DataFrame:
-    """First prompt text of each sno (F3): the least text when a sno carries several."""
-    return df.groupBy("sno").agg(F.min("prompt").alias("prompt"))
+def prompt_text(df: DataFrame, order_col: str | None = None) -> DataFrame:
+    """First prompt text of each sno (F3), in ``order_col`` order (the row's place in the report; ties by
+    text); without it rows have no order and the least text is taken."""
+    order = F.struct(order_col, "prompt") if order_col else F.col("prompt")
+    return df.groupBy("sno").agg(F.min_by("prompt", order).alias("prompt"))
 
 
 def global_position(df: DataFrame, order_col: str, name: str = "position") -> DataFrame:
     """0-based position of each row in ``order_col`` order, without a single-partition window.
 
     Range-partition and sort, number rows inside each partition, then add the row count of all
-    earlier partitions (a table of one row per partition, broadcast).  Order keys must be distinct.
+    earlier partitions (a table of one row per partition, broadcast).  The numbered rows are kept in the
+    checkpoint folder: range bounds are sampled, so a second run of them could cut elsewhere than the
+    one that was counted.  Order keys must be distinct.
     """
     ranged = df.repartitionByRange(order_col).sortWithinPartitions(order_col)
     tagged = ranged.select("*", F.spark_partition_id().alias("_pid"), F.monotonically_increasing_id().alias("_mid"))
-    tagged = tagged.withColumn("_idx", F.col("_mid") - F.shiftleft(F.col("_pid").cast("long"), 33))
+    tagged = materialize(tagged.withColumn("_idx", F.col("_mid") - F.shiftleft(F.col("_pid").cast("long"), 33)))
     counts = tagged.groupBy("_pid").agg(F.count("*").alias("_n"))
     offsets = counts.select("_pid", (F.sum("_n").over(Window.orderBy("_pid")) - F.col("_n")).alias("_off"))
     out = tagged.join(F.broadcast(offsets), "_pid").withColumn(name, F.col("_off") + F.col("_idx"))
@@ -225,9 +245,11 @@ def prompt_position(df: DataFrame, chosen: DataFrame) -> DataFrame:
     return chosen.join(pos, "sno", "left").select("sno", F.coalesce("position", F.lit(0)).alias("position"))
 
 
-def distinct_models(df: DataFrame) -> DataFrame:
-    """Model names with their first position in the report (G8): the smallest sno they appear in."""
-    return df.groupBy("model").agg(F.min("sno").alias("first_sno"))
+def distinct_models(df: DataFrame, order_col: str = "sno") -> DataFrame:
+    """Model names with the sno they are first seen in (G8), first by ``order_col`` (the row's place in the
+    report; ties by sno), and that place as ``first_seen``."""
+    first = F.min(F.struct(F.col(order_col).alias("at"), "sno")).alias("f")
+    return df.groupBy("model").agg(first).select("model", F.col("f.sno").alias("first_sno"), F.col("f.at").alias("first_seen"))
 
 
 def display_metrics(df: DataFrame) -> DataFrame:

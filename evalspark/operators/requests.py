@@ -42,35 +42,24 @@ def parse_requests(df: DataFrame, body_col: str = "body", keys: Sequence[str] =
     body = F.col(body_col)
     is_obj = body.rlike(r"^\s*\{")
     items = F.when(is_obj, F.array(body)).otherwise(F.from_json(body, "array<string>"))
-    staged = df.select(*keys, body.alias("_body"), items.alias("_items"))
-    bad = staged.where(F.col("_body").isNotNull() & F.col("_items").isNull()).select(
-        *keys,
-        F.lit(None).cast("int").alias("item_index"),
-        F.lit(None).cast("string").alias("prompt"),
-        F.lit(None).cast("string").alias("reference_answer"),
-        F.lit(None).cast("string").alias("context"),
-        F.col("_body").alias("_raw"),
-        F.lit(BAD_BODY).alias("parse_error"),
+    # a body that splits into nothing becomes one item without index; an empty array gives no item
+    split = F.when(items.isNull(), F.array(F.struct(F.lit(None).cast("int").alias("item_index"), body.alias("_raw")))).otherwise(
+        F.transform(items, lambda x, i: F.struct(i.cast("int").alias("item_index"), x.alias("_raw")))
     )
-    exploded = staged.where(F.col("_items").isNotNull()).select(*keys, F.posexplode("_items").alias("item_index", "_raw"))
-    item = F.from_json(F.col("_raw"), ITEM_SCHEMA)
-    good = exploded.select(
-        *keys,
-        F.col("item_index").cast("int").alias("item_index"),
-        F.when(F.col("_raw").rlike(r"^\s*\{"), item).alias("it"),
-        "_raw",
-    ).select(
+    rows = df.where(body.isNotNull()).select(*keys, F.inline(split))
+    item = F.when(F.col("_raw").rlike(r"^\s*\{") & F.col("item_index").isNotNull(), F.from_json(F.col("_raw"), ITEM_SCHEMA))
+    return rows.select(*keys, "item_index", item.alias("it"), "_raw").select(
         *keys,
         "item_index",
         F.col("it.prompt").alias("prompt"),
         F.col("it.reference_answer").alias("reference_answer"),
         F.col("it.context").alias("context"),
         "_raw",
-        F.when(F.col("it").isNull(), F.lit(NOT_OBJECT))
+        F.when(F.col("item_index").isNull(), F.lit(BAD_BODY))
+        .when(F.col("it").isNull(), F.lit(NOT_OBJECT))
         .when(F.get_json_object("_raw", "$").isNull(), F.lit(BAD_JSON))
         .alias("parse_error"),
     )
-    return good.unionByName(bad)
 
 
 def validate_requests(parsed: DataFrame, models: Column | None = None) -> DataFrame:

@@ -62,6 +62,34 @@ def to_envelopes(events: DataFrame) -> DataFrame:
     return events.select(F.to_json(env, JSON_OPTIONS).alias("value"))
 
 
+def initiated_envelopes(evals: DataFrame) -> DataFrame:
+    """Evaluation records → EvaluationInitiated envelopes, JSON text."""
+    detail = F.struct("evaluation_id", "prompt", "reference_answer", "context", F.col("requested_models").alias("selected_llms"))
+    env = F.struct(F.lit(INITIATED_TYPE).alias("detail-type"), F.col("created_at").alias("time"), detail.alias("detail"))
+    return evals.select(F.to_json(env, JSON_OPTIONS).alias("value"))
+
+
+def ready_envelopes(ready: DataFrame) -> DataFrame:
+    """Ready rows → AllLLMResponsesReady envelopes, JSON text."""
+    env = F.struct(F.lit(READY_TYPE).alias("detail-type"), F.struct("evaluation_id").alias("detail"))
+    return ready.select(F.to_json(env, JSON_OPTIONS).alias("value"))
+
+
+INITIATED_SCHEMA = (
+    "`detail-type` string, time timestamp, detail struct<evaluation_id: string, prompt: string, reference_answer: string, "
+    "context: string, selected_llms: array<string>>"
+)
+
+
+def parse_initiated(raw: DataFrame, col: str = "value") -> DataFrame:
+    """EvaluationInitiated envelopes → open evaluation records; the stream form of the evaluation table."""
+    e = raw.select(F.from_json(F.col(col), INITIATED_SCHEMA, JSON_OPTIONS).alias("e")).where(F.col("e.`detail-type`") == INITIATED_TYPE)
+    return e.select(
+        "e.detail.evaluation_id", "e.detail.prompt", "e.detail.reference_answer", "e.detail.context",
+        F.col("e.detail.selected_llms").alias("requested_models"), F.lit(INITIATED).alias("status"), F.col("e.time").alias("created_at"),
+    )
+
+
 def parse_events(raw: DataFrame, col: str = "value") -> DataFrame:
     """Envelope JSON text → flat status events (A6, J1).  Missing fields stay null."""
     e = raw.select(F.from_json(F.col(col), ENVELOPE_SCHEMA, JSON_OPTIONS).alias("e"))

@@ -86,10 +86,10 @@ def _r6(c):
 
 def scores_long(spark, sf):
     """scores(sno, model, metric, score): ROUGE-1/2, BLEU, METEOR over pairs_edit."""
-    from evalspark.operators.scoring import TEXT_METRICS, score_pairs, to_long
+    from evalspark.operators.scoring import NATIVE_METRICS, score_pairs, to_long
 
-    wide = score_pairs(views.pairs_edit(spark, sf), PAIR_KEYS)
-    return to_long(wide, ["sno", "model"], TEXT_METRICS).drop("note")
+    wide = score_pairs(views.pairs_edit(spark, sf), PAIR_KEYS, include_rouge_l=False)
+    return to_long(wide, ["sno", "model"], NATIVE_METRICS).drop("note")
 
 
 def flagship(spark, sf):
@@ -310,7 +310,11 @@ def q_validate_requests(spark, sf):
 def q_request_errors(spark, sf):
     from evalspark.operators import requests as rq
 
-    return rq.request_errors(_validated(spark, sf), ["batch_id"])
+    # an object is told by its error; other input is returned as it came
+    from pyspark.sql import functions as F
+
+    errors = rq.request_errors(_validated(spark, sf), ["batch_id"])
+    return errors.withColumn("input", F.when(~F.col("input").startswith("{"), F.col("input")))
 
 
 @register("initiate_evaluations")
@@ -472,14 +476,16 @@ def q_lookup_evaluations(spark, sf):
 def q_accepted_events(spark, sf):
     from evalspark.operators import status as st
 
-    return st.accepted_events(views.status_events(spark, sf), views.evaluations(spark, sf)).select("evaluation_id", "model", "event_seq")
+    known = st.open_evaluations(views.evaluations(spark, sf))  # closed evaluations take no events
+    return st.accepted_events(views.status_events(spark, sf), known).select("evaluation_id", "model", "event_seq")
 
 
 @register("rejected_events")
 def q_rejected_events(spark, sf):
     from evalspark.operators import status as st
 
-    return st.rejected_events(views.status_events(spark, sf), views.evaluations(spark, sf)).select("evaluation_id", "model", "event_seq")
+    known = st.open_evaluations(views.evaluations(spark, sf))
+    return st.rejected_events(views.status_events(spark, sf), known).select("evaluation_id", "model", "event_seq")
 
 
 @register("evaluation_states")
@@ -580,7 +586,7 @@ def q_meteor(spark, sf):
 def q_distinct_models(spark, sf):
     from evalspark.operators import report
 
-    return report.distinct_models(views.report_scores(spark, sf))
+    return report.distinct_models(views.report_scores(spark, sf, with_place=True), "place")
 
 
 @register("display_metrics")

@@ -52,7 +52,9 @@ def complete(evals: DataFrame, events: DataFrame, count_failed: bool = True) ->
     return {"with_map": withmap, "ready": st.ready_evaluations(withmap, count_failed)}
 
 
-def score(ready: DataFrame, withmap: DataFrame, responses: DataFrame) -> dict[str, DataFrame]:
+def score(ready: DataFrame, withmap: DataFrame, responses: DataFrame, extra_scores: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Outcomes, scores and documents of the ready evaluations.  ``extra_scores``: long rows
+    (evaluation_id, model, metric, score) of other metrics (judge, cosine) that go into the documents."""
     ev = withmap.join(ready.select("evaluation_id").distinct(), "evaluation_id")
     outcomes = oc.classify_outcomes(ev, responses)
     done = outcomes.where(F.col("outcome") == oc.COMPLETED).join(ev.select("evaluation_id", "reference_answer"), "evaluation_id")
@@ -64,7 +66,10 @@ def score(ready: DataFrame, withmap: DataFrame, responses: DataFrame) -> dict[st
         F.col("reference_answer").alias("reference"),
     )
     long = to_long(score_pairs(pairs, ["pair_id", "evaluation_id", "model"]), ["evaluation_id", "model"], TEXT_METRICS)
-    docs = oc.to_final_metrics(outcomes, long.select("evaluation_id", "model", "metric", "score"))
+    if extra_scores is not None:
+        extra = extra_scores.join(ev.select("evaluation_id"), "evaluation_id", "left_semi")
+        long = long.unionByName(extra.select("evaluation_id", "model", "metric", "score", F.lit(None).cast("string").alias("note")))
+    docs = oc.to_final_metrics(outcomes, long.select("evaluation_id", "model", "metric", "score"), ev)
     return {"outcomes": outcomes, "scores": long, "documents": docs, "states": st.completion_rows(ready)}
 
 

@@ -300,13 +300,28 @@ conv_w AS (
   FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)
 ),
 requests AS (
-  SELECT conv_id, turn, text AS prompt,
+  SELECT conv_id, turn,
+    CASE WHEN turn < 2 AND conv_id % 5 = 0 THEN NULL WHEN turn < 2 AND conv_id % 5 = 1 THEN '' ELSE text END AS prompt,
     CASE WHEN next_role = 'assistant' THEN next_text END AS reference_answer,
     CASE WHEN prev_role = 'assistant' THEN prev_text END AS context,
     CAST(conv_id AS VARCHAR) || '-' || CAST(turn // 8 AS VARCHAR) AS batch_id,
     (row_number() OVER (PARTITION BY conv_id, turn // 8 ORDER BY turn) - 1)::INTEGER AS item_index
   FROM conv_w WHERE role = 'user'
 ),
+extra AS (
+  SELECT CAST(conv_id AS VARCHAR) || '-' || b.name AS batch_id, b.item_index, b.input, b.error
+  FROM (SELECT DISTINCT conv_id FROM conversations WHERE conv_id % 7 = 3),
+    (VALUES ('items', 0, '17', 'item is not a JSON object'), ('items', 1, 'text', 'item is not a JSON object'),
+            ('broken', NULL, '[{"prompt": "no end"', 'request body must be a JSON array of evaluation objects or a single evaluation object'))
+    b(name, item_index, input, error)
+),
+errors AS (
+  SELECT batch_id, item_index, 'Error processing item ' || item_index || ': Prompt is required for item ' || item_index || '.' AS error,
+         NULL::VARCHAR AS input
+  FROM requests WHERE prompt IS NULL OR prompt = ''
+  UNION ALL
+  SELECT batch_id, item_index, 'Error processing item ' || coalesce(CAST(item_index AS VARCHAR), '?') || ': ' || error, input FROM extra
+),
 evals AS (
   SELECT sha256(batch_id || '|' || CAST(item_index AS VARCHAR)) AS evaluation_id, * FROM requests
   WHERE prompt IS NOT NULL AND prompt <> ''
@@ -339,15 +354,11 @@ _RAW = (
     f"ELSE {_fill_sql(TEMPLATE_QUESTION_ONLY, {'question': 'prompt'})} END"
 )
 
-SQL["parse_requests"] = f"WITH {V_REQUESTS} SELECT batch_id, item_index, prompt, reference_answer, context FROM requests"
+SQL["parse_requests"] = f"WITH {V_REQUESTS} SELECT batch_id, item_index, prompt, reference_answer, context FROM requests UNION ALL SELECT batch_id, item_index, NULL, NULL, NULL FROM extra"
 SQL["validate_requests"] = f"""WITH {V_REQUESTS}
-SELECT batch_id, item_index, (prompt IS NOT NULL AND prompt <> '') AS is_valid,
-  CASE WHEN prompt IS NULL OR prompt = '' THEN 'Error processing item ' || item_index || ': Prompt is required for item ' || item_index || '.' END AS error
-FROM requests"""
-SQL["request_errors"] = f"""WITH {V_REQUESTS}
-SELECT batch_id, item_index, 'Error processing item ' || item_index || ': Prompt is required for item ' || item_index || '.' AS error,
-       NULL::VARCHAR AS input
-FROM requests WHERE prompt IS NULL OR prompt = ''"""
+SELECT batch_id, item_index, true AS is_valid, NULL::VARCHAR AS error FROM evals
+UNION ALL SELECT batch_id, item_index, false, error FROM errors"""
+SQL["request_errors"] = f"WITH {V_REQUESTS} SELECT batch_id, item_index, error, input FROM errors"
 SQL["initiate_evaluations"] = f"""WITH {V_REQUESTS}
 SELECT evaluation_id, batch_id, item_index, 'INITIATED' AS status,
        array_to_string({_MODELS_SQL}, ',') AS requested, len(list_distinct({_MODELS_SQL}))::INTEGER AS n_pending
@@ -367,11 +378,10 @@ SELECT batch_id, item_index,
   array_to_string(list_transform(ls, lambda x: CASE WHEN x = '' THEN '' ELSE substring(x, k + 1) END), chr(10)) AS formatted_prompt
 FROM kk"""
 SQL["batch_summary"] = f"""WITH {V_REQUESTS}
-SELECT batch_id, count(*) AS total_items_received,
-  count(*) FILTER (WHERE prompt IS NOT NULL AND prompt <> '') AS items_initiated_successfully,
-  count(*) FILTER (WHERE prompt IS NULL OR prompt = '') AS n_errors,
-  CASE WHEN count(*) FILTER (WHERE prompt IS NULL OR prompt = '') = 0 THEN 200 ELSE 207 END AS status_code
-FROM requests GROUP BY batch_id"""
+SELECT batch_id, count(item_index) AS total_items_received, count(*) FILTER (WHERE ok) AS items_initiated_successfully,
+  count(*) FILTER (WHERE NOT ok) AS n_errors, CASE WHEN bool_and(ok) THEN 200 ELSE 207 END AS status_code
+FROM (SELECT batch_id, item_index, true AS ok FROM evals UNION ALL SELECT batch_id, item_index, false FROM errors)
+GROUP BY batch_id"""
 
 # --- status world views ---------------------------------------------------------------------------
 
@@ -455,9 +465,9 @@ SELECT i.evaluation_id, e.evaluation_id IS NOT NULL AS found, e.status
 FROM (SELECT DISTINCT CAST(conv_id AS VARCHAR) AS evaluation_id FROM conversations) i
 LEFT JOIN evaluations e USING (evaluation_id)"""
 SQL["accepted_events"] = f"""WITH {V_STATUS}
-SELECT evaluation_id, model, event_seq FROM status_events WHERE evaluation_id IN (SELECT evaluation_id FROM evaluations)"""
+SELECT evaluation_id, model, event_seq FROM status_events WHERE evaluation_id IN (SELECT evaluation_id FROM evaluations WHERE status IN ('INITIATED', 'PROCESSING'))"""
 SQL["rejected_events"] = f"""WITH {V_STATUS}
-SELECT evaluation_id, model, event_seq FROM status_events WHERE evaluation_id NOT IN (SELECT evaluation_id FROM evaluations)"""
+SELECT evaluation_id, model, event_seq FROM status_events WHERE evaluation_id NOT IN (SELECT evaluation_id FROM evaluations WHERE status IN ('INITIATED', 'PROCESSING'))"""
 SQL["evaluation_states"] = f"""WITH {V_STATUS2},
 ready AS (SELECT evaluation_id FROM wm WHERE status IN ('INITIATED', 'PROCESSING') AND n_requested > 0 AND n_done = n_requested)
 SELECT e.evaluation_id,
@@ -505,5 +515,7 @@ SQL["label_rate"] = """
 SELECT d.source AS model, round_even(avg(l.toxic::DOUBLE), 9) AS rate, count(*) AS n_units
 FROM labels l JOIN documents d USING (doc_id) GROUP BY d.source"""
 
-SQL["distinct_models"] = f"WITH {V_REPORT} SELECT model, min(sno) AS first_sno FROM scores GROUP BY model"
+SQL["distinct_models"] = """
+SELECT event_type AS model, arg_min(user_id, event_id) AS first_sno, min(event_id) AS first_seen
+FROM events WHERE NOT (event_type = 'signup' AND event_id % 11 = 3) GROUP BY 1"""
 SQL["display_metrics"] = f"WITH {V_REPORT} SELECT DISTINCT metric FROM scores WHERE score IS NOT NULL AND metric <> 'generated_text'"

@@ -33,6 +33,8 @@ REPORT_METRICS = [
 ]
 # The event types, in the order used to build requested-model lists.
 EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
+# Bad request bodies by the name of their batch.
+BAD_BODIES = {"items": '[17, "text"]', "broken": '[{"prompt": "no end"'}
 STATUS_BY_USER = ["INITIATED", "PROCESSING", "COMPLETED", "FAILED"]
 
 
@@ -72,8 +74,9 @@ def pairs_edit(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def report_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(sno, model, metric, score): a report's long scores, one per event, without scoring any text."""
+def report_scores(spark: SparkSession, sf_dir: str, with_place: bool = False) -> DataFrame:
+    """(sno, model, metric, score[, place]): a report's long scores, one per event, without scoring any
+    text; ``place`` (the event's id) is the row's place in the report."""
     ev = table(spark, sf_dir, "events")
     names = [*REPORT_METRICS, "generated_text"]
     at = F.pmod(F.col("event_id"), F.lit(len(names)))
@@ -82,7 +85,8 @@ def report_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     score = F.when(~missing, F.pmod(F.col("event_id") * 37, F.lit(101)) / F.lit(100.0))
     uneven = (F.col("event_type") == "signup") & (at == 3)
     return ev.where(~uneven).select(
-        F.col("user_id").alias("sno"), F.col("event_type").alias("model"), metric.alias("metric"), score.cast("double").alias("score")
+        F.col("user_id").alias("sno"), F.col("event_type").alias("model"), metric.alias("metric"), score.cast("double").alias("score"),
+        *([F.col("event_id").alias("place")] if with_place else []),
     )
 
 
@@ -210,12 +214,24 @@ def vector_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def request_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Request bodies as JSON text: the user turns of each block of 8 turns of a conversation form
-    one array body (at most 4 items, so the collected group is bounded)."""
+    one array body (at most 4 items, so the collected group is bounded).
+
+    Some are bad: in the first turns the prompt is missing (conv_id mod 5 = 0) or empty (mod 5 = 1), and
+    every seventh conversation sends two more bodies, an array of items that are no objects and broken JSON.
+    """
     req = requests(spark, sf_dir)
+    first, kind = F.col("turn") < 2, F.pmod(F.col("conv_id"), F.lit(5))
+    req = req.withColumn("prompt", F.when(first & (kind == 0), None).when(first & (kind == 1), F.lit("")).otherwise(F.col("prompt")))
+    extra = (
+        table(spark, sf_dir, "conversations").where(F.pmod(F.col("conv_id"), F.lit(7)) == 3).select("conv_id").distinct()
+        .select("conv_id", F.explode(F.create_map(*[F.lit(x) for kv in BAD_BODIES.items() for x in kv])).alias("name", "body"))
+        .select(F.concat_ws("-", F.col("conv_id").cast("string"), "name").alias("batch_id"), "body")
+    )
     blk = F.floor(F.col("turn") / 8).cast("long")
     items = F.array_sort(F.collect_list(F.struct("turn", "prompt", "reference_answer", "context")))
-    return (
+    bodies = (
         req.groupBy("conv_id", blk.alias("blk"))
         .agg(F.to_json(F.transform(items, lambda s: s.dropFields("turn"))).alias("body"))
         .select(F.concat_ws("-", F.col("conv_id").cast("string"), F.col("blk").cast("string")).alias("batch_id"), "body")
     )
+    return bodies.unionByName(extra)

@@ -1,45 +1,57 @@
 """Ready events → final metrics (J7): each micro-batch is scored with the batch operators.
 
-The sink rewrites the documents of the evaluations in the batch only (dynamic partition
-overwrite), so a replayed micro-batch gives the same files.
+The sink writes the documents of a micro-batch into a folder of its own and overwrites it on replay,
+so a restart gives the same files.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from collections.abc import Callable
 
-from evalspark.operators.outcomes import classify_outcomes, to_final_metrics, write_final_metrics
-from evalspark.operators.scoring import TEXT_METRICS, score_pairs, to_long
+from pyspark.sql import DataFrame, SparkSession
 
+from evalspark.operators.outcomes import write_final_metrics
+from evalspark.operators.status import READY_TYPE
+from evalspark.plans.flows import score
 
-def score_batch(ready: DataFrame, withmap: DataFrame, responses: DataFrame) -> DataFrame:
-    """Final documents for the evaluations in ``ready`` (batch function used by the stream)."""
-    ev = withmap.join(ready.select("evaluation_id").distinct(), "evaluation_id")
-    out = classify_outcomes(ev, responses)
-    done = out.where(F.col("outcome") == "COMPLETED").join(ev.select("evaluation_id", "reference_answer"), "evaluation_id")
-    pairs = done.select(
-        F.concat_ws("|", "evaluation_id", "model").alias("pair_id"),
-        "evaluation_id",
-        "model",
-        F.col("response").alias("candidate"),
-        F.col("reference_answer").alias("reference"),
-    )
-    wide = score_pairs(pairs, ["pair_id", "evaluation_id", "model"])
-    long = to_long(wide, ["evaluation_id", "model"], TEXT_METRICS)
-    return to_final_metrics(out, long.select("evaluation_id", "model", "metric", "score"))
+#: A table, or a function that reads it anew (a file table lists its files when it is made).
+Table = DataFrame | Callable[[SparkSession], DataFrame]
+
+
+def _now(t: Table, spark: SparkSession) -> DataFrame:
+    return t(spark) if callable(t) else t
+
+
+def score_batch(ready: DataFrame, withmap: DataFrame, responses: DataFrame, extra_scores: DataFrame | None = None) -> DataFrame:
+    """Final documents for the evaluations in ``ready`` (timeout rows are left out)."""
+    if "detail_type" in ready.columns:
+        ready = ready.where(ready.detail_type == READY_TYPE)
+    return score(ready, withmap, responses, extra_scores)["documents"]
 
 
 def score_stream(
-    ready_stream: DataFrame, withmap: DataFrame, responses: DataFrame, out_path: str, checkpoint: str | None = None, trigger: dict | None = None
+    ready_stream: DataFrame,
+    withmap: Table,
+    responses: Table,
+    out_path: str,
+    checkpoint: str | None = None,
+    trigger: dict | None = None,
+    extra_scores: Table | None = None,
 ):
-    """Start the scoring stream; ``checkpoint`` defaults to ``<spark.checkpoint.dir>/streams/score_stream``."""
+    """Start the scoring stream; ``checkpoint`` defaults to ``<spark.checkpoint.dir>/streams/score_stream``.
+
+    Pass ``withmap``, ``responses`` and ``extra_scores`` as functions ``spark → DataFrame`` when they are
+    file tables that grow: they are called in every micro-batch, so evaluations and responses stored
+    after the start are seen.  A plain DataFrame over files keeps the files it had when it was made.
+    """
     from evalspark.session import stream_checkpoint
 
     checkpoint = checkpoint or stream_checkpoint(ready_stream.sparkSession, "score_stream")
 
     def sink(df: DataFrame, batch_id: int) -> None:
-        write_final_metrics(score_batch(df, withmap, responses), out_path)
+        spark = df.sparkSession
+        extra = None if extra_scores is None else _now(extra_scores, spark)
+        write_final_metrics(score_batch(df, _now(withmap, spark), _now(responses, spark), extra), out_path, batch_id)
 
     w = ready_stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(sink)
     return w.trigger(**(trigger or {"availableNow": True})).start()

@@ -112,7 +112,7 @@ def test_materialize_keeps_random_ids(spark):
 
 
 def test_final_documents_rewrite_is_idempotent(spark, tmpdir_path):
-    from evalspark.operators.outcomes import to_final_metrics, write_final_metrics
+    from evalspark.operators.outcomes import read_final_metrics, to_final_metrics, write_final_metrics
 
     out = spark.createDataFrame(
         [("e1", "A", "COMPLETED", None, "t"), ("e2", "A", "COMPLETED", None, "u")],
@@ -121,7 +121,45 @@ def test_final_documents_rewrite_is_idempotent(spark, tmpdir_path):
     sc = spark.createDataFrame([("e1", "A", "BLEU", 0.5), ("e2", "A", "BLEU", 0.7)], "evaluation_id string, model string, metric string, score double")
     path = os.path.join(tmpdir_path, "final")
     write_final_metrics(to_final_metrics(out, sc), path)
-    write_final_metrics(to_final_metrics(out.where("evaluation_id = 'e1'"), sc), path)  # replay of one evaluation
-    docs = spark.read.text(path).collect()
-    assert len(docs) == 2
-    assert sorted(json.loads(r.value)["evaluation_id"] for r in docs) == ["e1", "e2"]
+    for _ in range(2):  # one evaluation scored again in a later batch, and that batch replayed
+        again = sc.withColumn("score", F.col("score") / 2)
+        write_final_metrics(to_final_metrics(out.where("evaluation_id = 'e1'"), again), path, batch_id=1)
+    assert spark.read.text(path).count() == 3
+    docs = {d.evaluation_id: d.model_comparisons["A"].metrics["BLEU"] for d in read_final_metrics(spark, path).collect()}
+    assert docs == {"e1": 0.25, "e2": 0.7}
+
+
+def test_document_fields_and_other_metrics(spark):
+    from evalspark.operators.outcomes import to_final_metrics
+    from evalspark.operators.scoring import cosine_metric, judge_scores
+
+    out = spark.createDataFrame(
+        [("e1", "A", "COMPLETED", None, "t"), ("e1", "B", "EMPTY_RESPONSE", "was empty", None), ("e1", "C", "SKIPPED_NOT_RECEIVED", "not here", None)],
+        "evaluation_id string, model string, outcome string, message string, response string",
+    )
+    ratios = spark.createDataFrame(
+        [("e1", "A", "faithfulness", 0.5), ("e1", "A", "unnamed", 1.0)], "evaluation_id string, model string, criterion string, score double"
+    )
+    cos = spark.createDataFrame([("e1", "A", 0.25)], "evaluation_id string, model string, cosine double")
+    evals = spark.createDataFrame([("e1", "q", "a", None)], "evaluation_id string, prompt string, reference_answer string, context string")
+    d = to_final_metrics(out, judge_scores(ratios).unionByName(cosine_metric(cos)), evals).collect()[0]
+    assert (d.prompt, d.reference_answer, d.context) == ("q", "a", "")
+    mc = d.model_comparisons
+    assert mc["A"].metrics == {"Faithfulness_Score": 0.5, "Cosine_Similarity_Score": 0.25} and mc["A"].error is None
+    assert (mc["B"].error, mc["B"].message) == ("was empty", None) and (mc["C"].error, mc["C"].message) == (None, "not here")
+
+
+def test_envelopes_of_initiated_and_ready(spark):
+    import datetime as dt
+
+    from evalspark.operators import status as st
+
+    ev = spark.createDataFrame(
+        [("e1", "q", None, None, ["A", "B"], "INITIATED", dt.datetime(2024, 1, 1))],
+        "evaluation_id string, prompt string, reference_answer string, context string, requested_models array<string>, status string, created_at timestamp",
+    )
+    back = st.parse_initiated(st.initiated_envelopes(ev)).select(*ev.columns)
+    assert back.collect() == ev.collect()
+    env = json.loads(st.ready_envelopes(ev.select("evaluation_id")).collect()[0].value)
+    assert env == {"detail-type": "AllLLMResponsesReady", "detail": {"evaluation_id": "e1"}}
+    assert st.parse_initiated(st.ready_envelopes(ev)).count() == 0

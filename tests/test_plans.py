@@ -60,3 +60,17 @@ def test_requests_join_form_equals_window_form(spark):
     a = sorted(tuple(r) for r in views.requests(spark, SF_SMALL).collect())
     b = sorted(tuple(r) for r in views.requests_windowed(spark, SF_SMALL).collect())
     assert a == b and len(a) > 0
+
+
+def test_pair_partitions_grow_with_the_input(spark, monkeypatch):
+    from evalspark.operators import overlap
+
+    pairs = views.pairs_edit(spark, SF_SMALL)
+    size = overlap.input_bytes(pairs)
+    assert 0 < size < 1 << 30
+    least = overlap.pair_partitions(pairs)
+    monkeypatch.setattr(overlap, "BYTES_PER_PARTITION", max(1, size // (3 * least)))
+    assert overlap.pair_partitions(pairs) >= 3 * least
+    assert overlap.pair_partitions(pairs.unionByName(pairs)) >= 6 * least  # two scans, twice the bytes
+    monkeypatch.setattr(overlap, "MAX_PARTITIONS", 2 * least)
+    assert overlap.pair_partitions(pairs) == 2 * least

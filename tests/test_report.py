@@ -114,3 +114,25 @@ def test_assemble_then_flatten_roundtrip(spark):
     back = report.coerce_scores(report.flatten_report(report.assemble_report(s, p)))
     got = {(r.sno, r.model, r.metric): r.score for r in back.collect()}
     assert got == {(1, "m1", "BLEU"): 0.5, (1, "m2", "METEOR"): 0.1, (2, "m1", "BLEU"): 1.0}
+
+
+def test_positions_of_more_keys_than_the_range_sample_holds(spark):
+    df = spark.range(0, 40_000, 1, 4).select((F.col("id") * 7919 % 40_009).alias("sno"), F.repeat(F.lit("x"), 200).alias("wide"))
+    rows = report.global_position(df, "sno").select("sno", "position").orderBy("sno").collect()
+    assert [r.position for r in rows] == list(range(40_000))
+
+
+def test_lower_is_better_aliases_and_first_seen(spark):
+    df = spark.createDataFrame(
+        [(2, "p2", "b", "H", 0.9, 1), (1, "p1", "a", "H", 0.2, 2), (2, "p0", "a", "H", 0.2, 3)],
+        "sno long, prompt string, model string, metric string, score double, place long",
+    )
+    assert report.overall_winner(df).collect()[0].model == "b"
+    assert report.overall_winner(df, ["H"]).collect()[0].model == "a"
+    assert {(r.sno, r.model) for r in report.prompt_winners(df, ["H"]).collect()} == {(1, "a"), (2, "a")}
+    names = spark.createDataFrame([("a", "A one"), ("a", "A two"), ("x", "y")], "alias string, model string")
+    assert sorted(r.model for r in report.with_aliases(df, names).collect()) == ["A one", "A one", "b"]
+    first = {(r.model, r.first_sno, r.first_seen) for r in report.distinct_models(df, "place").collect()}
+    assert first == {("b", 2, 1), ("a", 1, 2)}
+    assert {(r.sno, r.prompt) for r in report.prompt_text(df, "place").collect()} == {(1, "p1"), (2, "p2")}
+    assert {(r.sno, r.prompt) for r in report.prompt_text(df).collect()} == {(1, "p1"), (2, "p0")}

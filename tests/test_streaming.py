@@ -104,3 +104,124 @@ def test_ready_stream_timeout(spark, tmpdir_path):
     q.awaitTermination()
     got = {(r.evaluation_id, r.detail_type) for r in spark.sql("SELECT * FROM timeout_out").collect()}
     assert ("e2", "AllLLMResponsesReady") in got and ("e1", "EvaluationTimedOut") in got
+
+
+EVENT_SCHEMA = "evaluation_id string, model string, detail_type string, status string, error string, event_time timestamp, event_seq long"
+
+
+def _received(spark, src, name, rows):
+    df = spark.createDataFrame([(e, m, "LLMResponseReceived", "RECEIVED", None, t, q) for e, m, t, q in rows], EVENT_SCHEMA)
+    st.to_envelopes(df).coalesce(1).write.text(os.path.join(src, name))
+
+
+def _run_ready(spark, frame, name, ck):
+    def sink(df, batch_id):
+        df.write.mode("overwrite").parquet(os.path.join(name, f"batch_id={batch_id}"))
+
+    frame.writeStream.option("checkpointLocation", ck).foreachBatch(sink).trigger(availableNow=True).start().awaitTermination()
+    return sorted((r.evaluation_id, r.detail_type, r.n_models) for r in spark.read.parquet(name).collect())
+
+
+def test_ready_stream_sees_evaluations_created_after_the_start(spark, tmpdir_path):
+    import datetime as dt
+
+    t0 = dt.datetime(2024, 1, 1)
+    src, es = os.path.join(tmpdir_path, "ev"), os.path.join(tmpdir_path, "evals")
+    out, ck = os.path.join(tmpdir_path, "out"), os.path.join(tmpdir_path, "ck")
+    schema = "evaluation_id string, requested_models array<string>, status string, created_at timestamp"
+
+    def frame():
+        return sst.stream_ready(_stream(spark, src), spark.readStream.schema(schema).parquet(es))
+
+    spark.createDataFrame([("e1", ["A"], "INITIATED", t0), ("closed", ["A"], "COMPLETED", t0)], schema).write.parquet(es)
+    # "late" answers before its evaluation is known; "closed" is no open evaluation
+    _received(spark, src, "s0", [("e1", "A", t0, 1), ("late", "A", t0, 2), ("closed", "A", t0, 3)])
+    assert _run_ready(spark, frame(), out, ck) == [("e1", st.READY_TYPE, 1)]
+    spark.createDataFrame([("late", ["A", "B", "A"], "INITIATED", t0)], schema).write.mode("append").parquet(es)
+    _received(spark, src, "s1", [("late", "B", t0, 4), ("e1", "A", t0, 5)])  # e1 again: fires nothing
+    assert _run_ready(spark, frame(), out, ck) == [("e1", st.READY_TYPE, 1), ("late", st.READY_TYPE, 2)]
+
+
+def test_ready_stream_fires_once_around_the_deadline(spark, tmpdir_path):
+    import datetime as dt
+
+    t0, h = dt.datetime(2024, 1, 1), dt.timedelta(hours=1)
+    src, out, ck = (os.path.join(tmpdir_path, n) for n in ("ev", "out", "ck"))
+    evals = spark.createDataFrame(
+        [("e1", ["A", "B"], "INITIATED"), ("e2", ["A"], "INITIATED"), ("e3", ["A", "B"], "INITIATED")],
+        "evaluation_id string, requested_models array<string>, status string",
+    )
+
+    def frame():
+        return sst.stream_ready(_stream(spark, src), evals, timeout="30 minutes", delay="1 hour", keep="7 days")
+
+    _received(spark, src, "s0", [("e1", "A", t0, 1), ("e2", "A", t0 + 5 * h, 2)])
+    first = _run_ready(spark, frame(), out, ck)
+    assert ("e2", st.READY_TYPE, 1) in first
+    # e3 comes after the watermark (4 h) and is timed out by the next one (8 h); both answer after their timeout
+    _received(spark, src, "s1", [("e3", "A", t0 + 4.5 * h, 3), ("e2", "A", t0 + 9 * h, 4)])
+    _run_ready(spark, frame(), out, ck)
+    _received(spark, src, "s2", [("e1", "A", t0 + 9 * h, 5), ("e1", "B", t0 + 9 * h, 6), ("e3", "B", t0 + 9 * h, 7)])
+    got = _run_ready(spark, frame(), out, ck)
+    assert got == [("e1", sst.TIMED_OUT_TYPE, 2), ("e2", st.READY_TYPE, 1), ("e3", sst.TIMED_OUT_TYPE, 2)]
+
+
+def test_late_data_past_the_deadline_times_out_at_once():
+    import pandas as pd
+
+    class State:
+        value, exists, hasTimedOut, at = None, False, False, None
+
+        @property
+        def get(self):
+            return self.value
+
+        def update(self, v):
+            self.value, self.exists = v, True
+
+        def setTimeoutTimestamp(self, t):
+            assert t > self.getCurrentWatermarkMs()
+            self.at = t
+
+        def getCurrentWatermarkMs(self):
+            return self.watermark
+
+    def rows(model, us):
+        return pd.DataFrame({"model": [model], "eff_status": ["RECEIVED"], "event_us": [us], "event_seq": [1], "requested_models": [["A", "B"]]})
+
+    state, fn = State(), sst._ready_fn(True, 1000, 5000)
+    state.watermark = 0
+    assert list(fn(("e",), iter([rows("A", 1_000_000)]), state)) == [] and state.at == 2000
+    state.watermark = 3000  # past the deadline, and the key has data in this batch
+    out = list(fn(("e",), iter([rows("A", 3_500_000)]), state))
+    assert [o["detail_type"][0] for o in out] == [sst.TIMED_OUT_TYPE]
+    assert list(fn(("e",), iter([rows("B", 3_600_000)]), state)) == [] and state.value[1]
+
+
+def test_score_stream_reads_tables_anew(spark, tmpdir_path):
+    import datetime as dt
+
+    from evalspark.operators.outcomes import read_final_metrics
+    from evalspark.streaming.scoring import score_stream
+
+    rd, rs, out, ck = (os.path.join(tmpdir_path, n) for n in ("ready", "resp", "out", "ck"))
+    evals = spark.createDataFrame(
+        [(e, "q", "the cat sat", None, ["A"], {"A": "RECEIVED"}, "PROCESSING", dt.datetime(2024, 1, 1)) for e in ("e1", "e2")],
+        "evaluation_id string, prompt string, reference_answer string, context string, requested_models array<string>, "
+        "responses_received map<string,string>, status string, created_at timestamp",
+    )
+    resp_schema = "evaluation_id string, model string, response string"
+    ready_schema = "evaluation_id string, detail_type string, n_models int"
+
+    def run():
+        ready = spark.readStream.schema(ready_schema).parquet(rd)
+        score_stream(ready, evals, lambda s: s.read.schema(resp_schema).parquet(rs), out, ck).awaitTermination()
+        return {r.evaluation_id: r for r in read_final_metrics(spark, out).collect()}
+
+    for e in ("e1", "e2"):  # e2's response is stored after the first run
+        spark.createDataFrame([(e, "A", "the cat sat")], resp_schema).write.mode("append").parquet(rs)
+        spark.createDataFrame([(e, st.READY_TYPE, 1)], ready_schema).write.mode("append").parquet(rd)
+        docs = run()
+        assert docs[e].model_comparisons["A"].status == "COMPLETED"
+        assert docs[e].model_comparisons["A"].metrics["ROUGE-L_F1"] == 1.0
+    assert set(docs) == {"e1", "e2"} and docs["e1"].prompt == "q" and docs["e1"].context == ""
