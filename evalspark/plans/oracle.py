@@ -1,8 +1,8 @@
 """DuckDB SQL twins of the registered queries (independent formulations, used as the oracle).
 
 The driver registers the parquet tables as views; every statement here starts from them.
-Metric twins deliberately use a different method from the Spark plans: n-gram lists are built
-with list lambdas and overlaps with joins of per-side counts.
+Metric twins deliberately use a different method from the Spark plans: n-grams come from ``lead`` over
+token rows, alignments from joins of ranked rows.
 """
 
 from __future__ import annotations
@@ -37,41 +37,39 @@ pairs_edit AS (
 )"""
 
 
-def _grams_sql(src: str, side: str, token_expr: str, orders: list[int]) -> str:
-    """Rows (pair_id, n, g) of one side; n-grams by list lambdas."""
-    parts = []
-    for n in orders:
-        if n == 1:
-            parts.append(f"SELECT pair_id, 1 AS n, unnest(t) AS g FROM (SELECT pair_id, {token_expr} AS t FROM {src})")
-        else:
-            parts.append(
-                f"SELECT pair_id, {n} AS n, unnest(list_transform(range(1, len(t) - {n} + 2), "
-                f"lambda i: array_to_string(t[i:i + {n - 1}], ' '))) AS g FROM (SELECT pair_id, {token_expr} AS t FROM {src})"
-            )
-    return " UNION ALL ".join(parts)
-
-
 def overlap_ctes(src: str, kind: str, orders: list[int], prefix: str) -> str:
-    """CTEs ``{prefix}_stats(pair_id, n, o, c, r)`` with clipped overlaps for every pair and order."""
+    """CTEs ``{prefix}_stats(pair_id, n, o, c, r)`` with clipped overlaps for every pair and order.
+
+    Each text is split once; n-grams come from ``lead`` over the token rows (a list lambda that slices
+    its own list copies that list per element)."""
     if kind == "ascii":
         ce, re_ = f"regexp_extract_all(lower(candidate), '{ASCII}')", f"regexp_extract_all(lower(reference), '{ASCII}')"
     else:
         ce, re_ = f"regexp_extract_all(candidate, '{WORD}')", f"regexp_extract_all(reference, '{WORD}')"
     order_list = ", ".join(str(n) for n in orders)
+    leads = "".join(f", lead(tok, {k}) OVER w AS t{k}" for k in range(1, max(orders)))
+    grams = " UNION ALL ".join(
+        f"SELECT pair_id, side, {n} AS n, {' || chr(32) || '.join(['tok', *[f't{k}' for k in range(1, n)]])} AS g FROM {prefix}_pos"
+        + (f" WHERE t{n - 1} IS NOT NULL" if n > 1 else "")
+        for n in orders
+    )
     return f"""
-{prefix}_len AS (
-  SELECT pair_id, len({ce}) AS lc, len({re_}) AS lr FROM {src}
+{prefix}_tok AS MATERIALIZED (SELECT pair_id, {ce} AS c, {re_} AS r FROM {src}),
+{prefix}_pos AS MATERIALIZED (
+  SELECT pair_id, side, tok{leads} FROM (
+    SELECT pair_id, 0 AS side, unnest(c) AS tok, generate_subscripts(c, 1) AS pos FROM {prefix}_tok
+    UNION ALL SELECT pair_id, 1, unnest(r), generate_subscripts(r, 1) FROM {prefix}_tok
+  ) WINDOW w AS (PARTITION BY pair_id, side ORDER BY pos)
 ),
-{prefix}_c AS (SELECT pair_id, n, g, count(*) AS cnt FROM ({_grams_sql(src, 'c', ce, orders)}) GROUP BY ALL),
-{prefix}_r AS (SELECT pair_id, n, g, count(*) AS cnt FROM ({_grams_sql(src, 'r', re_, orders)}) GROUP BY ALL),
-{prefix}_o AS (
-  SELECT c.pair_id, c.n, sum(least(c.cnt, r.cnt)) AS o
-  FROM {prefix}_c c JOIN {prefix}_r r ON c.pair_id = r.pair_id AND c.n = r.n AND c.g = r.g GROUP BY ALL
+{prefix}_cnt AS (
+  SELECT pair_id, n, g, count(*) FILTER (WHERE side = 0) AS c, count(*) FILTER (WHERE side = 1) AS r
+  FROM ({grams}) GROUP BY ALL
 ),
+{prefix}_o AS (SELECT pair_id, n, sum(least(c, r)) AS o FROM {prefix}_cnt GROUP BY ALL),
 {prefix}_stats AS (
-  SELECT l.pair_id, o.n, coalesce(x.o, 0) AS o,
-         greatest(l.lc - o.n + 1, 0) AS c, greatest(l.lr - o.n + 1, 0) AS r, l.lc, l.lr
-  FROM {prefix}_len l CROSS JOIN (SELECT unnest([{order_list}]) AS n) o
+  SELECT l.pair_id, o.n, coalesce(x.o, 0) AS o, greatest(len(l.c) - o.n + 1, 0) AS c, greatest(len(l.r) - o.n + 1, 0) AS r,
+         len(l.c) AS lc, len(l.r) AS lr
+  FROM {prefix}_tok l CROSS JOIN (SELECT unnest([{order_list}]) AS n) o
   LEFT JOIN {prefix}_o x ON x.pair_id = l.pair_id AND x.n = o.n
 )"""
 
