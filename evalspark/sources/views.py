@@ -97,12 +97,17 @@ def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """User turns with the next / previous assistant turn, as equi-joins on (conv_id, turn ± 1).
 
-    Turns are numbered densely from 0 in the driver tables, so ``turn + 1`` is the next turn.  The
-    join keys include the turn, so a conversation holding a third of all turns is spread over many
-    partitions (a per-conversation window would sort it in one task).  ``requests_windowed`` gives
-    the same rows with ``lead``/``lag`` for sparse turn numbers.
+    This holds where each conversation's turns are numbered without gaps or repeats, so that ``turn + 1``
+    is the next turn; a small job checks it (one row per conversation) and other tables go through
+    ``requests_windowed``.  The join keys include the turn, so a conversation holding a third of all
+    turns is spread over many partitions (a per-conversation window would sort it in one task).
     """
     conv = table(spark, sf_dir, "conversations")
+    turns = conv.groupBy("conv_id").agg(
+        F.count("*").alias("n"), F.count_distinct("turn").alias("d"), (F.max("turn") - F.min("turn") + 1).alias("span")
+    )
+    if not turns.where((F.col("n") != F.col("d")) | ~F.col("span").eqNullSafe(F.col("d"))).isEmpty():
+        return requests_windowed(spark, sf_dir)
     users = conv.where(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("prompt"))
     assistant = conv.where(F.col("role") == "assistant")
     nxt = assistant.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("reference_answer"))

@@ -74,3 +74,10 @@ def test_pair_partitions_grow_with_the_input(spark, monkeypatch):
     assert overlap.pair_partitions(pairs.unionByName(pairs)) >= 6 * least  # two scans, twice the bytes
     monkeypatch.setattr(overlap, "MAX_PARTITIONS", 2 * least)
     assert overlap.pair_partitions(pairs) == 2 * least
+
+
+def test_requests_of_sparse_turns_lose_no_answer(spark, tmpdir_path):
+    rows = [(1, 0, "user", "q"), (1, 4, "assistant", "a"), (1, 9, "user", "q2"), (2, 0, "user", "only")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmpdir_path}/conversations.parquet")
+    got = {(r.conv_id, r.turn): (r.reference_answer, r.context) for r in views.requests(spark, tmpdir_path).collect()}
+    assert got == {(1, 0): ("a", None), (1, 9): (None, "a"), (2, 0): (None, None)}
