@@ -46,15 +46,13 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epo
     return marked.select("source", "source_size", target.alias("target"))
 
 
-def copies(
-    rows: DataFrame, seed: int = 42, weights: tuple[int, ...] = WEIGHTS, max_epochs: float = 3.0, fill_rounds: int = 2
-) -> DataFrame:
+def copies(rows: DataFrame, seed: int = 42, weights: tuple[int, ...] = WEIGHTS, max_epochs: float = 3.0) -> DataFrame:
     """``rows`` (doc_id, source, size) plus source_size, target and n_copies.
 
     Every document is taken floor(target / source_size) times whole.  The fraction that remains is met
-    by one more copy of some documents: in the order of a seeded hash of doc_id, documents are taken
-    while they fit; ``fill_rounds`` - 1 times, the documents after the one that no longer fitted fill
-    what is left in the same way; a last document is taken if that brings the source nearer its target.
+    by one more copy of some documents: in the order of a seeded hash of doc_id, each document is taken
+    if it fits what is left of the gap.  Then no document that is left fits; the smallest of them (ties:
+    the first in that order) is taken too if that brings the source nearer its target.
     The result depends on the rows alone.  Empty documents are kept at the whole number of copies;
     a source without any word has target 0 and no copies.
     """
@@ -65,53 +63,64 @@ def copies(
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     gap = F.round(F.col("target") - whole * F.col("source_size")).cast("long")
     token = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    state = j.withColumns({f"{P}whole": whole, f"{P}gap": gap, f"{P}token": token, f"{P}extra": F.lit(0), f"{P}open": F.col("size") > 0})
+    state = j.withColumns({f"{P}whole": whole, f"{P}gap": gap, f"{P}token": token})
     order = [F.col(c).asc() for c in ("source", f"{P}token", "doc_id", "size")]
     # range partitions are the blocks of the running sizes: a source with a third of all rows is many blocks
-    state = cut(state.repartitionByRange(*order).withColumn(f"{P}block", F.spark_partition_id()))
-    for k in range(fill_rounds):
-        state = _fill(state if k == 0 else cut(state), order, last=k == fill_rounds - 1)
-    n = F.col(f"{P}whole") + F.col(f"{P}extra")
-    return state.withColumn("n_copies", n.cast("long")).select(*rows.columns, "source_size", "target", "n_copies")
-
-
-def _fill(state: DataFrame, order: list[Column], last: bool) -> DataFrame:
-    """Take the open documents of each source, in order, while their running size fits the gap.
-
-    Running sizes have two levels: totals per (source, block), then the order within a block.  The
-    first document that doesn't fit closes the source up to it; documents behind it that are not
-    larger than the new gap stay open for another round.
+    ranged = state.repartitionByRange(*order)
+    state = cut(ranged.withColumns({f"{P}block": F.spark_partition_id(), f"{P}row": F.monotonically_increasing_id()}))
+    fits = F.coalesce((F.col("size") > 0) & (F.col("size") <= F.col(f"{P}gap")), F.lit(False))
+    settled = state.where(~fits).withColumn(f"{P}extra", F.lit(0))
+    left = state.where(fits)
+    while not left.isEmpty():
+        done = _fill(left, [*order[1:], F.col(f"{P}row").asc()])
+        settled = settled.unionByName(done.where(~F.col(f"{P}open")).drop(f"{P}open"))
+        left = done.where(F.col(f"{P}open")).drop(f"{P}open", f"{P}extra")
+    n = F.col(f"{P}whole") + F.col(f"{P}extra") + F.coalesce((F.col(f"{P}row") == F.col(f"{P}last")).cast("int"), F.lit(0))
+    last = _last(settled)
+    s = settled.join(last, settled["source"].eqNullSafe(last[f"{P}s"]), "left")
+    return s.withColumn("n_copies", n.cast("long")).select(*rows.columns, "source_size", "target", "n_copies")
+
+
+def _fill(left: DataFrame, order: list[Column]) -> DataFrame:
+    """One round over the documents that fit their source's gap: those taken have extra 1, those to be
+    tried again are open, with the new gap.
+
+    Documents are taken in order while their running size fits; the first that doesn't is settled, as are
+    those behind it that are larger than the new gap.  Each round takes a document of every source, and
+    rounds until nothing is open take just what trying one document after the other would.  Running
+    sizes have two levels: totals per (source, block), then the order within a block.
     """
-    s, key = state, ["source", f"{P}block"]
-    open_size = F.when(F.col(f"{P}open"), F.col("size")).otherwise(0)
-    blocks = s.groupBy(*key).agg(F.sum(open_size).alias(f"{P}total"))
+    key = ["source", f"{P}block"]
+    blocks = left.groupBy(*key).agg(F.sum("size").alias(f"{P}total"))
     before = Window.partitionBy("source").orderBy(f"{P}block").rowsBetween(Window.unboundedPreceding, -1)
     ahead = blocks.select(
         F.col("source").alias(f"{P}s"),
         F.col(f"{P}block").alias(f"{P}b"),
         F.coalesce(F.sum(f"{P}total").over(before), F.lit(0)).alias(f"{P}ahead"),
     )
-    j = s.join(ahead, s["source"].eqNullSafe(ahead[f"{P}s"]) & (s[f"{P}block"] == ahead[f"{P}b"])).drop(f"{P}s", f"{P}b")
-    within = Window.partitionBy(*key).orderBy(*order[1:]).rowsBetween(Window.unboundedPreceding, 0)
-    run = F.col(f"{P}ahead") + F.sum(open_size).over(within)
-    over = F.col(f"{P}run") - F.col(f"{P}gap")  # words beyond the gap after this document
-    near = (over <= 0) | (2 * over < F.col("size")) if last else over <= 0
-    fits = F.col(f"{P}open") & near
-    got = j.withColumn(f"{P}run", run).withColumn(f"{P}fits", fits).drop(f"{P}ahead")
-    got = got.withColumn(f"{P}extra", F.col(f"{P}extra") + F.col(f"{P}fits").cast("int"))
-    if last:
-        return got.drop(f"{P}run", f"{P}fits", f"{P}block")
-    missed = F.when(F.col(f"{P}open") & ~F.col(f"{P}fits"), F.col(f"{P}run"))
+    j = left.join(ahead, left["source"].eqNullSafe(ahead[f"{P}s"]) & (left[f"{P}block"] == ahead[f"{P}b"])).drop(f"{P}s", f"{P}b")
+    within = Window.partitionBy(*key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    got = j.withColumn(f"{P}run", F.col(f"{P}ahead") + F.sum("size").over(within)).drop(f"{P}ahead")
+    fits = F.col(f"{P}run") <= F.col(f"{P}gap")
     taken = got.groupBy("source").agg(
-        F.sum(F.when(F.col(f"{P}fits"), F.col("size"))).alias(f"{P}got"), F.min(missed).alias(f"{P}stop")
+        F.coalesce(F.sum(F.when(fits, F.col("size"))), F.lit(0)).alias(f"{P}got"), F.min(F.when(~fits, F.col(f"{P}run"))).alias(f"{P}stop")
     )
     t = taken.select(F.col("source").alias(f"{P}s"), f"{P}got", f"{P}stop")
     k = got.join(t, got["source"].eqNullSafe(t[f"{P}s"]))
-    gap = F.col(f"{P}gap") - F.coalesce(F.col(f"{P}got"), F.lit(0))
-    still = F.col(f"{P}open") & (F.col(f"{P}run") > F.col(f"{P}stop")) & (F.col("size") <= gap)
-    return k.withColumns({f"{P}open": F.coalesce(still, F.lit(False)), f"{P}gap": gap}).drop(
-        f"{P}s", f"{P}got", f"{P}stop", f"{P}run", f"{P}fits"
-    )
+    gap = F.col(f"{P}gap") - F.col(f"{P}got")
+    still = (F.col(f"{P}run") > F.col(f"{P}stop")) & (F.col("size") <= gap)
+    state = {f"{P}extra": fits.cast("int"), f"{P}open": F.coalesce(still, F.lit(False)), f"{P}gap": gap}
+    return cut(k.withColumns(state).drop(f"{P}s", f"{P}got", f"{P}stop", f"{P}run"))
+
+
+def _last(settled: DataFrame) -> DataFrame:
+    """(s, last): per source the row that is taken beyond the gap, null if none brings it nearer its target."""
+    words_got = F.sum(F.col("size") * (F.col(f"{P}whole") + F.col(f"{P}extra")))
+    free = F.when((F.col("size") > 0) & (F.col(f"{P}extra") == 0), F.struct("size", f"{P}token", "doc_id", f"{P}row"))
+    per = settled.groupBy("source").agg(words_got.alias("got"), F.max("target").alias("target"), F.min(free).alias("free"))
+    gap = F.round(F.col("target") - F.col("got")).cast("long")
+    near = F.when(F.col("free")["size"] < 2 * gap, F.col("free")[f"{P}row"])
+    return per.select(F.col("source").alias(f"{P}s"), near.alias(f"{P}last"))
 
 
 def mix(docs: DataFrame, **how) -> DataFrame:

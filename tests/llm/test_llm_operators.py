@@ -116,6 +116,38 @@ def test_mixing_targets_and_copies(spark, edge_rows):
     assert mix(empty(spark)).count() == 0
 
 
+def first_fit(rows, targets):
+    """Words per source: whole copies, each document that fits, then the smallest left if that is nearer."""
+    got = {}
+    for s in {s for _, s, _ in rows}:
+        own = sorted(((hashlib.md5(f"42:{i}".encode()).hexdigest(), i, z) for i, x, z in rows if x == s and z))
+        total = sum(z for _, _, z in own)
+        whole = int(targets[s] // total)
+        gap, rest, taken = round(targets[s] - whole * total), [], whole * total
+        for _, _, z in own:
+            if z <= gap:
+                gap, taken = gap - z, taken + z
+            else:
+                rest.append(z)
+        got[s] = taken + (min(rest) if rest and min(rest) < 2 * gap else 0)
+    return got
+
+
+def test_mixing_fills_until_nothing_fits(spark):
+    from evalspark.llm.mixing import copies
+
+    rng = random.Random(3)
+    rows = [(1, "a", 1000)] + [(10 + k, "b", 10) for k in range(26)]  # one dominant document, target 900
+    spread = [(k, "abc"[k % 3], int(2 ** rng.uniform(1, 11))) for k in range(400)]
+    for x in (rows, spread):
+        got = collect(copies(spark.createDataFrame(x, "doc_id long, source string, size long")))
+        target = {r["source"]: r["target"] for r in got}
+        taken = {s: sum(r["size"] * r["n_copies"] for r in got if r["source"] == s) for s in target}
+        assert len(got) == len(x) and taken == first_fit(x, target)
+        if x is rows:
+            assert round(target["a"]) == 900 and taken["a"] == 1000 and taken["b"] == 360
+
+
 # --- 2 decontamination ----------------------------------------------------------------------------
 
 
