@@ -251,26 +251,29 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, max_bits: int = 4, key: s
     Null and empty texts have fingerprint 0 and are linked like any other.  Rows with a null doc_id
     belong to their component but never name it (all null: null).  Repeated rows get equal results.
     """
-    rows = docs.select(F.col(key).alias("doc_id"), F.xxhash64(F.col(text)).alias("text_hash"), F.col(text).alias("text"))
-    prints = cut(fingerprints(rows, shingle))
-    per_fp = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    comp = components(near_links(per_fp.select("fp"), max_bits)).select(F.col("node").alias("fp"), F.col("component").alias("c"))
-    labelled = per_fp.join(comp, "fp", "left").withColumn("c", F.coalesce("c", "fp"))
+    prints, labelled = _labelled(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")), shingle, max_bits)
     least = labelled.groupBy("c").agg(F.min("least").alias("component_id"))
     named = labelled.select("fp", "c").join(least, "c").select("fp", "component_id")
     return prints.join(named, "fp").select("doc_id", "text_hash", "fp", "component_id")
 
 
+def _labelled(docs: DataFrame, shingle: int, max_bits: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, text_hash, fp) per row of ``docs``, and (fp, least, first, c) per fingerprint: its least
+    doc_id, its first (doc_id is null, doc_id, text_hash) and the label of its component, the least
+    fingerprint."""
+    prints = cut(fingerprints(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text"), shingle))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash"))
+    per_fp = prints.groupBy("fp").agg(F.min("doc_id").alias("least"), first.alias("first"))
+    comp = components(near_links(per_fp.select("fp"), max_bits)).select(F.col("node").alias("fp"), F.col("component").alias("c"))
+    return prints, per_fp.join(comp, "fp", "left").withColumn("c", F.coalesce("c", "fp"))
+
+
 def keep_first(docs: DataFrame, shingle: int = 4, max_bits: int = 4) -> DataFrame:
-    """``docs`` with one document of each near-duplicate group, the one with the least doc_id; all
-    columns unchanged.  Of repeated rows with that doc_id one stays; a group of null doc_ids keeps one."""
-    d = near_duplicates(docs, shingle, max_bits)
-    keep = (
-        d.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-        .groupBy("doc_id")
-        .agg(F.min("text_hash").alias("h"))
-    )
-    k = keep.select(F.col("doc_id").alias(f"{P}id"), F.col("h").alias(f"{P}h"))
+    """``docs`` with one document of each near-duplicate group, the one with the least doc_id (null
+    last, then the lower text hash); all columns unchanged.  Groups are told apart by their
+    fingerprints, so a doc_id that is null or repeated in several groups stays once in each."""
+    keep = _labelled(docs.select("doc_id", "text"), shingle, max_bits)[1].groupBy("c").agg(F.min("first").alias("k"))
+    k = keep.select(F.col("k")["doc_id"].alias(f"{P}id"), F.col("k")["text_hash"].alias(f"{P}h"))
     th = F.xxhash64(docs["text"])
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias(f"{P}row"), docs["doc_id"].alias(f"{P}d"), th.alias(f"{P}t"))
     j = rows.join(k, rows[f"{P}d"].eqNullSafe(k[f"{P}id"]) & (rows[f"{P}t"] == k[f"{P}h"]), "left_semi")

@@ -370,6 +370,17 @@ def test_simhash_components_and_survivors(spark, edge_rows):
     assert near_duplicates(empty(spark)).count() == 0 and keep_first(empty(spark)).count() == 0
 
 
+def test_survivors_of_groups_with_null_or_repeated_ids(spark):
+    from evalspark.llm.simhash import keep_first
+
+    rng = random.Random(11)
+    texts = [" ".join(rng.choice("abcdefghij") + str(rng.randrange(99)) for _ in range(80)) for _ in range(6)]
+    rows = [(None, t, "a") for t in texts[:3]] * 2 + [(7, t, "b") for t in texts[3:5]] + [(None, texts[4], "b"), (8, texts[5], "b"), (9, texts[5], "b")]
+    kept = keep_first(docs_frame(spark, rows)).select("doc_id", "text").collect()
+    exp = [(None, t) for t in texts[:3]] + [(7, texts[3]), (7, texts[4]), (8, texts[5])]
+    assert sorted(map(str, ((r.doc_id, r.text) for r in kept))) == sorted(map(str, exp))
+
+
 # --- 8 host rules ---------------------------------------------------------------------------------
 
 
