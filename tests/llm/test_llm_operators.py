@@ -218,6 +218,19 @@ def test_line_dedup_brute_force(spark, edge_rows):
     assert dedup_lines(empty(spark)).count() == 0
 
 
+def test_line_dedup_single_lines_and_blank_lines(spark):
+    from evalspark.llm.linededup import dedup_lines
+
+    a, b, c, d = (f"{x} line of several words" for x in "abcd")
+    rows = [(1, f"{a}\n\n{b}\n \n{c}", "s"), (2, f"{d}\n{a}\n{b}\n\n{c}", "s"), (3, f"{b}\n\nnew\n{b}", "s"), (4, f"\n\n{d}", "s")]
+    # lines removed, stretches, longest, text that stays
+    single = {1: (0, 0, 0, rows[0][1]), 2: (3, 1, 3, f"{d}\n"), 3: (2, 2, 1, "\nnew"), 4: (1, 1, 1, "\n")}
+    triple = {1: (0, 0, 0, rows[0][1]), 2: (3, 1, 3, f"{d}\n"), 3: (0, 0, 0, rows[2][1]), 4: (0, 0, 0, rows[3][1])}
+    for how, exp in (((), single), ((3,), triple)):
+        got = collect(dedup_lines(docs_frame(spark, rows), *how))
+        assert {r["doc_id"]: (r["n_removed"], r["n_runs"], r["longest_run"], r["kept"]) for r in got} == exp
+
+
 def brute_substrings(rows, window):
     least = {}
     for i, t, _ in rows:
