@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 from evalspark.llm.common import P, cut
 
 BUCKETS = 1 << 15
-MAX_LANGUAGES = 64
+#: Languages per shard of the trigram table: the driver and a task hold tables of this many at a time.
+SHARD_LANGUAGES = 64
 #: At most so many trigrams' worth of text evidence: neighbouring trigrams are far from independent.
 TEXT_WEIGHT = 60.0
 #: Pseudo-counts of the smoothing levels.
@@ -53,11 +54,10 @@ def trigrams(text: str) -> np.ndarray:
     return ((code * np.uint32(2654435761)) >> np.uint32(17)).astype(np.int64)
 
 
-def language_model(docs: DataFrame, text: str = "text", lang: str = "lang") -> tuple[list[str], np.ndarray]:
-    """(languages, log-probabilities [language, bucket]) from all documents with a language.
+def language_model(docs: DataFrame, text: str = "text", lang: str = "lang") -> tuple[list[str], DataFrame]:
+    """(languages, trigram counts (lang, bucket, n)) from all documents with a language.
 
-    Tasks count trigrams per language; the driver gets the sums: languages × buckets numbers at most.
-    Only the ``MAX_LANGUAGES`` most frequent languages are modelled.
+    Tasks count trigrams per language; the sums stay a table, the driver gets the languages' names.
     """
     rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
     grams = trigrams
@@ -77,38 +77,65 @@ def language_model(docs: DataFrame, text: str = "text", lang: str = "lang") -> t
             )
 
     counts = cut(rows.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")))
-    top = counts.groupBy("lang").agg(F.sum("n").alias("all")).orderBy(F.desc("all"), "lang").limit(MAX_LANGUAGES)
-    got = counts.join(F.broadcast(top.select("lang")), "lang").collect()
-    names = sorted({r.lang for r in got})
+    return sorted(r.lang for r in counts.select("lang").distinct().collect()), counts
+
+
+def model_table(counts: DataFrame, names: list[str]) -> np.ndarray:
+    """Log-probabilities [language, bucket] of the languages ``names``, at most a shard of them."""
+    got = counts.where(F.col("lang").isin(names)).toPandas()
     table = np.full((len(names), BUCKETS), 0.5)
     index = {x: i for i, x in enumerate(names)}
-    for r in got:
-        table[index[r.lang], r.bucket] += r.n
-    return names, np.log(table / table.sum(axis=1, keepdims=True)).astype(np.float32)
+    table[got["lang"].map(index).to_numpy(dtype=np.int64), got["bucket"].to_numpy()] += got["n"].to_numpy()
+    return np.log(table / table.sum(axis=1, keepdims=True)).astype(np.float32)
 
 
-def page_evidence(pages: DataFrame, names: list[str], table: np.ndarray) -> DataFrame:
+def page_evidence(pages: DataFrame, names: list[str], counts: DataFrame | None) -> DataFrame:
     """(page_id, host, domain, address, declared, ll): narrow rows; ll is the weighted mean
-    log-likelihood per language.  Missing parts are '' (a value of its own)."""
-    shared = pages.sparkSession.sparkContext.broadcast(table)
-    grams, seen, declares = trigrams, visible_text, declared_language
+    log-likelihood per language.  Missing parts are '' (a value of its own).
+
+    Pages are read once; with more languages than one shard holds, their trigrams travel on and each
+    further shard appends its languages to ll.
+    """
+    shards = [names[i : i + SHARD_LANGUAGES] for i in range(0, len(names), SHARD_LANGUAGES)]
+    grams, seen, declares, weight = trigrams, visible_text, declared_language, TEXT_WEIGHT
+    many = len(shards) > 1
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def likelihood(table: np.ndarray, g: np.ndarray) -> list[float]:
+        n = len(g)
+        ll = table[:, g].sum(axis=1, dtype=np.float64) if n else np.zeros(len(table))
+        return (ll * (min(n, weight) / max(n, 1))).tolist()
+
+    def table_of(own: list[str]):
+        table = model_table(counts, own) if own else np.zeros((0, BUCKETS), dtype=np.float32)
+        return pages.sparkSession.sparkContext.broadcast(table)
+
+    def first(batches: Iterator[pa.RecordBatch], shared=table_of(shards[0] if shards else [])) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            lls, langs = [], []
+            lls, langs, found = [], [], []
             for t in b.column(2):
                 page = t.as_py() or ""
                 g = grams(seen(page))
-                n = len(g)
-                ll = shared.value[:, g].sum(axis=1, dtype=np.float64) if n else np.zeros(len(names))
-                lls.append((ll * (min(n, TEXT_WEIGHT) / max(n, 1))).tolist())
+                lls.append(likelihood(shared.value, g))
                 langs.append(declares(page) or "")
+                found.append(g.astype(np.uint16).tobytes() if many else None)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array(langs, pa.string()), pa.array(lls, pa.list_(pa.float64()))],
-                names=["page_id", "url", "declared", "ll"],
+                [b.column(0), b.column(1), pa.array(langs, pa.string()), pa.array(lls, pa.list_(pa.float64())), pa.array(found, pa.binary())],
+                names=["page_id", "url", "declared", "ll", "grams"],
             )
 
-    e = pages.select("page_id", "url", "html").mapInArrow(run, "page_id long, url string, declared string, ll array<double>")
+    schema = "page_id long, url string, declared string, ll array<double>, grams binary"
+    e = pages.select("page_id", "url", "html").mapInArrow(first, schema)
+    for own in shards[1:]:
+
+        def more(batches: Iterator[pa.RecordBatch], shared=table_of(own)) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                lls = [
+                    x.as_py() + likelihood(shared.value, np.frombuffer(g.as_py(), dtype=np.uint16))
+                    for x, g in zip(b.column(3), b.column(4), strict=True)
+                ]
+                yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(lls, pa.list_(pa.float64())), b.column(4)], names=b.schema.names)
+
+        e = e.mapInArrow(more, schema)
     host = F.lower(F.coalesce(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
     labels = F.split(host, r"\.")
     domain = F.when(F.size(labels) >= 2, F.array_join(F.slice(labels, -2, 2), ".")).otherwise(host)
@@ -187,9 +214,9 @@ def identify(pages: DataFrame, docs: DataFrame) -> DataFrame:
     prior of all pages.  Ties go to the first language by name.  Without labelled documents there is no
     language to choose: lang, confidence and text_lang are null.  Repeated rows are judged each.
     """
-    names, table = language_model(docs)
+    names, counts = language_model(docs)
     if not names:
-        e = page_evidence(pages, [], np.zeros((0, BUCKETS), dtype=np.float32)).drop("ll")
+        e = page_evidence(pages, [], None).drop("ll")
         empty = {"lang": "string", "confidence": "double", "text_lang": "string", "posterior": "array<double>"}
         return e.withColumns({k: F.lit(None).cast(t) for k, t in empty.items()})
-    return fuse(page_evidence(pages, names, table), names).drop("ll")
+    return fuse(page_evidence(pages, names, counts), names).drop("ll")

@@ -317,6 +317,21 @@ def test_language_evidence(spark):
     assert {r["lang"] for r in collect(identify(odd, docs.where("false")))} == {None}
 
 
+def test_more_languages_than_a_shard_are_all_modelled(spark):
+    from evalspark.llm.langid import identify
+
+    rng = random.Random(4)
+    names = [f"{a}{b}" for a in "abcdefghijk" for b in "rstuvw"]  # 66
+    vocab = {n: ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(30)] for n in names}
+    # the last languages have the fewest trigrams
+    docs = [(n, " ".join(rng.choice(vocab[n]) for _ in range(400 - 5 * k))) for k, n in enumerate(names)]
+    pages = [(k, f"http://h{k}.example/", f"<p>{' '.join(vocab[n])}</p>") for k, n in enumerate(names)]
+    got = identify(
+        spark.createDataFrame(pages, "page_id long, url string, html string"), spark.createDataFrame(docs, "lang string, text string")
+    ).select("page_id", "lang", "text_lang").collect()
+    assert {r.page_id: (r.lang, r.text_lang) for r in got} == {k: (n, n) for k, n in enumerate(names)}
+
+
 # --- 7 SimHash ------------------------------------------------------------------------------------
 
 
