@@ -113,3 +113,17 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     d = dedup_substrings(read_table(spark, sf_dir, "documents"), texts_out=False)
     return d.select("doc_id", "n_words", "n_removed", F.col("kept").alias("kept_sha256"))
+
+
+@register("op13_merkle_manifest")
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from evalspark.llm.merkle import with_tampering
+
+    def text(c: str):
+        return F.lower(F.hex(c))
+
+    m = with_tampering(read_table(spark, sf_dir, "documents"))
+    proof = F.sha2(F.concat(text("path"), text("sub_path")), 256).alias("proof_sha256")
+    return m.select(
+        "doc_id", *[text(c).alias(c) for c in ("leaf", "subroot", "root")], proof, text("folded_root").alias("folded_root"), "verified"
+    )

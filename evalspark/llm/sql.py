@@ -214,3 +214,71 @@ WITH d AS (
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
 FROM d LEFT JOIN c USING (doc_id) LEFT JOIN o USING (doc_id)
 """
+
+
+def _enc(c: str) -> str:
+    return f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen({c}::VARCHAR) || ':' || {c}::VARCHAR END"
+
+
+def _crc32(nibbles: str) -> str:
+    step = f"xor(({_crc_table()})[(xor(a, b) & 15) + 1], a >> 4)"
+    return f"xor(4294967295, list_reduce({nibbles}, lambda a, b: {step}, 4294967295::BIGINT))"
+
+
+def _tree_sql(name: str, key: str, leaves: str) -> str:
+    """CTE ``name`` (key, level, pos, h, n): the nodes of the trees over ``leaves`` (key, pos, h, n)."""
+    return f"""{name} AS (
+  SELECT {key}, 0 AS level, pos, h, n FROM {leaves}
+  UNION ALL
+  SELECT {key}, level + 1, pos // 2, sha256(h || coalesce(nxt, '')), n
+  FROM (SELECT *, lead(h) OVER (PARTITION BY {key} ORDER BY pos) AS nxt FROM {name} WHERE n > (1::BIGINT << level)) WHERE pos % 2 = 0)"""
+
+
+def _fold_sql(name: str, start: str, nodes: str, key: str) -> str:
+    """CTE ``name``: the nodes on the way from each row of ``start`` (rid, key, pos, n, h) to its root, recomputed."""
+    return f"""{name} AS (
+  SELECT rid, {key}, pos, n, 0 AS level, h FROM {start}
+  UNION ALL
+  SELECT f.rid, f.{key}, f.pos // 2, f.n, f.level + 1,
+         sha256(CASE WHEN s.h IS NULL THEN f.h WHEN f.pos % 2 = 1 THEN s.h || f.h ELSE f.h || s.h END)
+  FROM {name} f LEFT JOIN {nodes} s ON f.{key} IS NOT DISTINCT FROM s.{key} AND f.level = s.level AND xor(f.pos, 1) = s.pos
+  WHERE f.n > (1::BIGINT << f.level))"""
+
+
+_SUBROOTS = """(SELECT l.rid, 0 AS one, b.pos, b.n, l.h FROM low l JOIN subs b ON l.lang IS NOT DISTINCT FROM b.lang
+  WHERE l.n <= (1::BIGINT << l.level))"""
+
+SQL["op13_merkle_manifest"] = rf"""
+WITH RECURSIVE raw AS (
+  SELECT row_number() OVER () AS rid, doc_id, lang, {_enc("doc_id")} || {_enc("source")} || {_enc("lang")} AS head,
+         {_enc("n_chars")} AS chars, {_enc("(n_chars + 1)")} AS chars1, {_enc("text")} AS tail,
+         list_transform(string_split(regexp_replace(hex(doc_id::VARCHAR), '(.)(.)', '\2\1', 'g'), ''),
+                        lambda c: instr('0123456789ABCDEF', c) - 1) AS nibbles FROM documents
+), hashed AS (
+  SELECT rid, doc_id, lang, sha256(head || chars || tail) AS h,
+         CASE WHEN {_crc32("nibbles")} % 7 = 0 THEN sha256(head || chars1 || tail) ELSE sha256(head || chars || tail) END AS changed
+  FROM raw
+), p AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS LAST, h) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n
+  FROM hashed
+), {_tree_sql("nodes", "lang", "p")}, subs AS (
+  SELECT 0 AS one, lang, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos, count(*) OVER () AS n, h FROM nodes
+  WHERE pos = 0 AND n <= (1::BIGINT << level)
+), {_tree_sql("top", "one", "subs")}, root AS (
+  SELECT h AS root FROM top WHERE pos = 0 AND n <= (1::BIGINT << level)
+), steps AS (
+  SELECT p.rid, 0 AS part, s.level, s.h FROM (SELECT *, unnest(range(0, 40)) AS k FROM p) p
+  JOIN nodes s ON p.lang IS NOT DISTINCT FROM s.lang AND p.k = s.level AND xor(p.pos >> p.k, 1) = s.pos AND p.n > (1::BIGINT << p.k)
+  UNION ALL
+  SELECT p.rid, 1, s.level, s.h FROM p JOIN (SELECT *, unnest(range(0, 40)) AS k FROM subs) b ON p.lang IS NOT DISTINCT FROM b.lang
+  JOIN top s ON b.k = s.level AND xor(b.pos >> b.k, 1) = s.pos AND b.n > (1::BIGINT << b.k)
+), proof AS (
+  SELECT rid, sha256(string_agg(h, '' ORDER BY part, level)) AS proof_sha256 FROM steps GROUP BY rid
+), {_fold_sql("low", "(SELECT rid, lang, pos, n, changed AS h FROM p)", "nodes", "lang")},
+{_fold_sql("high", _SUBROOTS, "top", "one")}, folded AS (
+  SELECT rid, h AS folded_root FROM high WHERE n <= (1::BIGINT << level)
+)
+SELECT doc_id, p.h AS leaf, subs.h AS subroot, root, coalesce(proof_sha256, sha256('')) AS proof_sha256, folded_root,
+       folded_root = root AS verified
+FROM p JOIN subs ON p.lang IS NOT DISTINCT FROM subs.lang CROSS JOIN root LEFT JOIN proof USING (rid) JOIN folded USING (rid)
+"""
