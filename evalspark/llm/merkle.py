@@ -10,6 +10,8 @@ Digests are kept as 32 bytes; inputs of a hash are their lowercase hex text, as
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,8 +52,9 @@ def _parents(h: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), F.floor((F.size(h) + 1) / 2).cast("int") - 1), pair)
 
 
-def _nodes_of(k: int, base: int, own_type: str) -> Column:
-    """Nodes of level ``base + k`` of a block: level, pos, the sibling's digest (empty if alone), own row."""
+def _nodes_of(k: int, top: int, base: int, own_type: str) -> Column:
+    """Nodes of level ``base + k`` of a block: level, pos, the sibling's digest (empty if alone), own row.
+    Levels above a tree's root are empty; the root itself is there only if it is a leaf."""
     h, wide = F.col(f"h{k}"), 1 << (STRIDE - k)
 
     def node(x: Column, i: Column) -> Column:
@@ -63,76 +66,64 @@ def _nodes_of(k: int, base: int, own_type: str) -> Column:
             own.cast(own_type).alias("own"),
         )
 
-    return F.transform(h, node)
+    return F.transform(h if base + k == 0 else F.when(F.col("n") > (1 << (base + k)), h).otherwise(F.array()), node)
 
 
-def build(leaves: DataFrame) -> tuple[DataFrame, DataFrame, int]:
-    """(nodes, roots, depth) of the trees over ``leaves`` (tree, pos, n, hash, own).
+def build(leaves: DataFrame, depth: int) -> tuple[DataFrame, DataFrame]:
+    """(nodes, roots) of the trees over ``leaves`` (tree, pos, n, hash, own), of ``depth`` levels at most.
 
     ``pos`` counts from 0 to n - 1 within a tree; ``own`` is a struct that a leaf carries along.  Nodes are
     (tree, n, level, pos, path, own) without the roots, where path is the sibling; roots are (tree, root).
     A tree of one leaf has that leaf as its node (level 0, empty path) and as its root.
     """
     own_type = leaves.schema["own"].dataType.simpleString()
-    nodes, roots, level, base = [], [], leaves, 0
-    while True:
-        item = F.sort_array(F.collect_list(F.struct("pos", "hash", "own")))
-        blocks = level.groupBy("tree", "n", F.shiftright("pos", STRIDE).alias("block")).agg(item.alias("at"))
-        blocks = blocks.withColumns({"own": F.col("at")["own"], "h0": F.col("at")["hash"]}).drop("at")
-        for k in range(STRIDE):
+    nodes, roots, level = [], [], leaves
+    for base in range(0, max(depth, 1), STRIDE):
+        top = min(STRIDE, depth - base)
+        item = F.sort_array(F.collect_list(F.struct("pos", "hash", "own"))).alias("at")
+        blocks = level.groupBy("tree", "n", F.shiftright("pos", STRIDE).alias("block")).agg(item)
+        blocks = blocks.select("tree", "n", "block", F.col("at")["own"].alias("own"), F.col("at")["hash"].alias("h0"))
+        for k in range(top):
             blocks = blocks.withColumn(f"h{k + 1}", F.when(F.col("n") > (1 << (base + k)), _parents(F.col(f"h{k}"))))
         blocks = cut(blocks)
-        for k in range(STRIDE):
-            here = blocks.where(F.col("n") > (1 << (base + k))) if base + k else blocks
-            nodes.append(here.select("tree", "n", F.explode(_nodes_of(k, base, own_type)).alias("x")).select("tree", "n", "x.*"))
-        done = blocks.where(F.col("n") <= (1 << (base + STRIDE)))
-        tops = [F.get(F.col(f"h{k}"), F.lit(0)) for k in range(STRIDE, -1, -1)]
-        roots.append(done.select("tree", F.coalesce(*tops).alias("root")))
-        rest = blocks.where(F.col("n") > (1 << (base + STRIDE)))
-        base += STRIDE
-        if rest.isEmpty():
-            break
-        level = rest.select("tree", "n", F.col("block").alias("pos"), F.get(f"h{STRIDE}", F.lit(0)).alias("hash"), F.lit(None).cast(own_type).alias("own"))
-    return _union(nodes), _union(roots), base
-
-
-def _union(parts: list[DataFrame]) -> DataFrame:
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        levels = [_nodes_of(k, top, base, own_type) for k in range(max(top, 1))]
+        nodes.append(blocks.select("tree", "n", F.inline(F.concat(*levels))))
+        tops = F.coalesce(*[F.get(F.col(f"h{k}"), F.lit(0)) for k in range(top, -1, -1)])
+        roots.append(blocks.where(F.col("n") <= (1 << (base + top))).select("tree", tops.alias("root")))
+        rest = blocks.where(F.col("n") > (1 << (base + top)))
+        last = F.get(F.col(f"h{top}"), F.lit(0)).alias("hash")
+        level = rest.select("tree", "n", F.col("block").alias("pos"), last, F.lit(None).cast(own_type).alias("own"))
+    return reduce(DataFrame.unionByName, nodes), reduce(DataFrame.unionByName, roots)
 
 
-def small(df: DataFrame) -> DataFrame:
-    """``df``, to be broadcast if it has at most SMALL rows; ``df`` must be cheap to count."""
-    return F.broadcast(df) if df.count() <= SMALL else df
+def _bounded(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, which has at most ``rows`` rows: to be broadcast if that is no more than SMALL."""
+    return F.broadcast(df) if rows <= SMALL else df
 
 
 def _jump(rows: DataFrame, over: DataFrame, step: int) -> DataFrame:
     """``rows`` (at multiples of 2 * step) with the pointers of ``over`` (step levels above) behind their own."""
-    o = over.select(
-        F.col("tree").alias(f"{P}t"), F.col("level").alias(f"{P}l"), F.col("pos").alias(f"{P}p"), F.col("path").alias(f"{P}path")
-    )
-    on = (
-        (rows["tree"] == o[f"{P}t"]) & (rows["level"] + step == o[f"{P}l"]) & (F.shiftright(rows["pos"], step) == o[f"{P}p"])
-    )
+    o = over.select(*[F.col(c).alias(P + c) for c in ("tree", "level", "pos", "path")])
+    on = [F.col("tree") == F.col(f"{P}tree"), F.col("level") + step == F.col(f"{P}level"), F.shiftright("pos", step) == F.col(f"{P}pos")]
     longer = F.concat(F.col("path"), F.coalesce(F.col(f"{P}path"), F.lit(b"")))
-    return rows.join(small(o), on, "left").withColumn("path", longer).select(*rows.columns)
+    return rows.join(o, on, "left").withColumn("path", longer).select(*rows.columns)
 
 
-def proofs(nodes: DataFrame, depth: int) -> DataFrame:
+def proofs(nodes: DataFrame, depth: int, n_leaves: int, n_trees: int) -> DataFrame:
     """(tree, n, pos, own, path) of the leaves: path holds the siblings from leaf to root.
 
     After round r a pointer spans 2**r levels or ends at the root.  A node is the ancestor of at most
-    2**(2**r) lookups; when that is many, few nodes are left at that height and the table is broadcast.
+    2**(2**r) lookups; when that is many, few nodes are left at that height and the table is broadcast:
+    at level l and above there are at most 2 * n_leaves / 2**l nodes and ``depth`` more per tree.
     """
     leaves = nodes.where("level = 0")
     inner = cut(nodes.where("level > 0").select("tree", "level", "pos", "path"))
     step = 1
     while step < depth:
-        over = inner.where(F.col("level") % (2 * step) == step)
-        leaves = _jump(leaves, over.where(F.col("level") == step), step)
-        inner = cut(_jump(inner.where(F.col("level") % (2 * step) == 0), over, step))
+        over = _bounded(inner.where(F.col("level") % (2 * step) == step), 2 * (n_leaves >> step) + n_trees * depth)
+        leaves = _jump(leaves, over, step)
+        if 2 * step < depth:
+            inner = cut(_jump(inner.where(F.col("level") % (2 * step) == 0), over, step))
         step *= 2
     return leaves.select("tree", "n", "pos", "own", "path")
 
@@ -169,20 +160,23 @@ def manifest(docs: DataFrame, altered: Column | None = None) -> DataFrame:
     placed = running_totals(rows, order, {"rank": F.lit(1)}).drop("rank_all")
     langs = rows.groupBy("lang").agg(F.count("*").alias("n"))
     langs = cut(running_totals(langs, [F.col("lang").asc_nulls_first()], {"tree": F.lit(1), "start": F.col("n")}))
-    t = small(langs.select(F.col("lang").alias(f"{P}lang"), "n", F.col("tree_before").alias("tree"), "start_before"))
+    total, most, trees = langs.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(1)), F.count("*")).first()
+    depth, top_depth = (most - 1).bit_length(), (max(trees, 1) - 1).bit_length()
+
+    t = _bounded(langs.select(F.col("lang").alias(f"{P}lang"), "n", F.col("tree_before").alias("tree"), "start_before"), trees)
     j = placed.join(t, F.col("lang").eqNullSafe(F.col(f"{P}lang")))
     own = F.struct("doc_id", "lang", "hash", "altered").alias("own")
-    nodes, roots, depth = build(j.select("tree", (F.col("rank_before") - F.col("start_before")).alias("pos"), "n", "hash", own))
-    proved = proofs(nodes, depth)
-
-    one = langs.select(F.lit(0).alias("one"), F.col("tree_before").alias("pos"), F.col("tree_all").alias("trees"))
-    tops = one.join(roots.withColumnRenamed("root", "hash"), F.col("pos") == F.col("tree"))
-    top_own = F.struct(F.col("hash").alias("subroot")).alias("own")
-    top_nodes, top_root, top_depth = build(tops.select(F.col("one").alias("tree"), "pos", F.col("trees").alias("n"), "hash", top_own))
-    top = proofs(top_nodes, top_depth).join(F.broadcast(top_root), "tree")  # one row
+    nodes, roots = build(j.select("tree", (F.col("rank_before") - F.col("start_before")).alias("pos"), "n", "hash", own), depth)
+    proved = proofs(nodes, depth, total, trees)
+
+    places = langs.select(F.col("tree_before").alias("pos"), F.col("tree_all").alias("n"))
+    top_own = F.struct(F.col("root").alias("subroot")).alias("own")
+    tops = places.join(roots, F.col("pos") == F.col("tree")).select(F.lit(0).alias("tree"), "pos", "n", F.col("root").alias("hash"), top_own)
+    top_nodes, root = build(tops, top_depth)
+    top = proofs(top_nodes, top_depth, trees, 1).crossJoin(F.broadcast(root.select("root")))  # one row
     top = cut(top.select(F.col("pos").alias(f"{P}tree"), F.col("n").alias("trees"), "own.subroot", F.col("path").alias("sub_path"), "root"))
 
-    whole = proved.join(small(top), F.col("tree") == F.col(f"{P}tree"))
+    whole = proved.join(_bounded(top, trees), F.col("tree") == F.col(f"{P}tree"))
     start = F.coalesce("own.altered", "own.hash")
     whole = whole.withColumn(f"{P}sub", folded(start, F.col("pos"), F.col("n"), F.col("path")))
     whole = whole.withColumn("folded_root", folded(F.col(f"{P}sub"), F.col("tree"), F.col("trees"), F.col("sub_path")))
