@@ -28,6 +28,8 @@ CHUNK_BYTES = 4 << 20
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Ids of both sides are below 2**SHIFT; a pair is the first id shifted, plus the second.
 SHIFT = 24
+#: Documents of a chunk at most, as their number has the bits that two ids leave.
+MOST_DOCS = 1 << 14
 
 
 @dataclass(frozen=True)
@@ -73,7 +75,7 @@ def _ranks(data: bytes) -> tuple[Callable, list[bytes]]:
     pieces = [b""] * (max(ranks.values()) + 1)
     for piece, i in ranks.items():
         pieces[i] = piece
-    return enc.encode_ordinary, pieces
+    return lambda text: enc.encode_to_numpy(text, allowed_special=set(), disallowed_special=()).astype(np.int64), pieces
 
 
 def _pieces(data: bytes) -> tuple[Callable, list[bytes]]:
@@ -92,6 +94,7 @@ class Aligner:
 
     def __init__(self, a: Vocabulary, b: Vocabulary):
         self.sides = []
+        self.lossless = [v.kind == "tiktoken" for v in (a, b)]
         for v, ends in ((a, (",", "|")), (b, (",", ";"))):
             encode, pieces = v.load()
             sizes = np.array([len(p) for p in pieces], dtype=np.int64)
@@ -104,11 +107,13 @@ class Aligner:
             return None
         spaced, out = " " + text, []
         whole = spaced.encode("utf-8", "surrogatepass")
-        for encode, pieces, _, _, lead in self.sides:
+        for (encode, pieces, sizes, _, lead), lossless in zip(self.sides, self.lossless, strict=True):
             ids = encode(spaced if lead else text)
-            if b"".join(map(pieces.__getitem__, ids)) != whole:
+            own = np.asarray(ids, dtype=np.int64)
+            # tokens of a rank file are stretches of the text in order, so their sizes tell whether one is missing
+            if (int(sizes[own].sum()) != len(whole)) if lossless else (b"".join(map(pieces.__getitem__, ids)) != whole):
                 return None
-            out.append(np.array(ids, dtype=np.int64))
+            out.append(own)
         return out
 
     def align(self, text: str | None) -> tuple[int, int, int, np.ndarray, str]:
@@ -130,7 +135,9 @@ class Aligner:
     def _links(p: np.ndarray, q: np.ndarray, end_a: np.ndarray, end_b: np.ndarray) -> np.ndarray:
         """Pairs of overlapping tokens.  Between two neighbouring ends of either side lies one token of each, and
         each overlapping pair has one such stretch; a slice's stretches are its own, as it ends where both sides do."""
-        stretch = np.union1d(end_a, end_b)
+        both = np.concatenate([end_a, end_b])
+        both.sort(kind="stable")  # two runs in order: a merge
+        stretch = both[np.append(True, both[1:] != both[:-1])]
         return p[np.searchsorted(end_a, stretch)] << SHIFT | q[np.searchsorted(end_b, stretch)]
 
 
@@ -167,12 +174,16 @@ def _chunks(docs: DataFrame, a: Vocabulary, b: Vocabulary, groups_out: bool, chu
 
         def close() -> pa.RecordBatch:
             nonlocal rows, found, weight, n
-            keys = np.concatenate([k for k, _ in found])
-            pair, at, docs_of = np.unique(keys, return_inverse=True, return_counts=True)
-            times = np.concatenate([t for _, t in found])
+            # a document's number stands before its pairs, so that one sort finds the distinct pairs of all of them
+            keys = np.concatenate(found) + (np.repeat(np.arange(len(found), dtype=np.int64), [len(k) for k in found]) << (2 * SHIFT))
+            keys.sort()
+            new = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, dtype=np.int64)
+            own, times = keys[new], np.diff(np.append(new, len(keys)))
+            pair, at, docs_of = np.unique(own & ((1 << 2 * SHIFT) - 1), return_inverse=True, return_counts=True)
+            size = np.bincount(own >> (2 * SHIFT), minlength=len(found))
             one = {
                 "chunk": first + n, "pair": pair, "docs": docs_of.astype(np.int32), "rows": rows,
-                "size": np.array([len(k) for k, _ in found], dtype=np.int32), "at": at.astype(np.int32), "times": times.astype(np.int32),
+                "size": size.astype(np.int32), "at": at.astype(np.int32), "times": times.astype(np.int32),
             }
             rows, found, weight, n = [], [], 0, n + 1
             return pa.RecordBatch.from_pylist([one], schema=schema)
@@ -184,9 +195,9 @@ def _chunks(docs: DataFrame, a: Vocabulary, b: Vocabulary, groups_out: bool, chu
                 digest = hashlib.sha256(groups.encode()).hexdigest() if n_a else ""
                 row = (batch.column(0)[k].as_py(), n_a, n_b, n_groups, len(links), groups if groups_out else None, digest)
                 rows.append(dict(zip(names, row, strict=True)))
-                found.append(np.unique(links, return_counts=True))
+                found.append(links)
                 weight += 64 + len(text or "")
-                if weight >= chunk_bytes:
+                if weight >= chunk_bytes or len(found) == MOST_DOCS:
                     yield close()
         if rows:
             yield close()

@@ -114,7 +114,7 @@ def test_rank_file_gives_the_ids_of_the_json_file():
         some = rng.sample(points[lo : lo + 40_000], 300)
         for c in map(chr, some):
             text = f"ab{c}cd{c}12{c}, {c} {c}'s  {c}{c}  x"
-            assert json.sides[0][0](" " + text) == ranks.sides[0][0](" " + text)
+            assert list(json.sides[0][0](" " + text)) == list(ranks.sides[0][0](" " + text))
     assert json.sides[0][1][: len(ranks.sides[0][1])] == ranks.sides[0][1]
 
 
