@@ -48,25 +48,8 @@ FROM f JOIN v ON f.source IS NOT DISTINCT FROM v.source
 """
 
 
-def _fill_sql(k: int, last: bool) -> str:
-    fits = "run - gap <= 0 OR 2 * (run - gap) < size" if last else "run - gap <= 0"
-    return f"""
-run{k} AS (
-  SELECT *, sum(CASE WHEN open THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY seq) AS run FROM state{k}
-), fit{k} AS (
-  SELECT *, open AND ({fits}) AS fits FROM run{k}
-), src{k} AS (
-  SELECT source AS s, coalesce(sum(size) FILTER (WHERE fits), 0) AS got, min(run) FILTER (WHERE open AND NOT fits) AS stop
-  FROM fit{k} GROUP BY source
-), state{k + 1} AS (
-  SELECT doc_id, source, size, source_size, target, whole, seq, gap - got AS gap,
-         extra + fits::INT AS extra, coalesce(open AND run > stop AND size <= gap - got, false) AS open
-  FROM fit{k} JOIN src{k} ON source IS NOT DISTINCT FROM s
-)"""
-
-
 SQL["op1_mix_sources"] = rf"""
-WITH d AS (
+WITH RECURSIVE d AS (
   SELECT doc_id, source, len({_WORDS})::BIGINT AS size FROM documents
 ), per AS (
   SELECT source, sum(size)::BIGINT AS source_size, [5.0, 2.0, 1.0][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::DOUBLE AS w
@@ -79,16 +62,24 @@ WITH d AS (
   SELECT source AS s, source_size, CASE WHEN water * w >= cap * free THEN cap ELSE
          (SELECT max(water) FROM lv WHERE NOT water * w >= cap * free)::DOUBLE * w / (SELECT max(free) FROM lv WHERE NOT water * w >= cap * free) END AS target
   FROM lv
-), state0 AS (
-  SELECT doc_id, source, size, source_size, target,
+), o AS (
+  SELECT doc_id, source, size, source_size, target, md5('42:' || coalesce(doc_id::VARCHAR, '')) AS token,
          CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END::BIGINT AS whole,
-         row_number() OVER (ORDER BY source NULLS FIRST, md5('42:' || coalesce(doc_id::VARCHAR, '')), doc_id, size) AS seq,
-         round(target - CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END * source_size)::BIGINT AS gap,
-         0 AS extra, size > 0 AS open
+         row_number() OVER (PARTITION BY source ORDER BY md5('42:' || coalesce(doc_id::VARCHAR, '')), doc_id, size) AS seq
   FROM d JOIN t ON source IS NOT DISTINCT FROM s
-), {_fill_sql(0, False)}, {_fill_sql(1, True)}
-SELECT doc_id, size, source_size, target, size * (whole + extra) AS taken, source, whole + extra AS n_copies
-FROM state2
+), fit AS (
+  SELECT source, 0::BIGINT AS seq, round(target - whole * source_size)::BIGINT AS gap, 0 AS extra FROM o WHERE seq = 1
+  UNION ALL
+  SELECT o.source, o.seq, CASE WHEN size > 0 AND size <= gap THEN gap - size ELSE gap END, (size > 0 AND size <= gap)::INT
+  FROM fit JOIN o ON o.source IS NOT DISTINCT FROM fit.source AND o.seq = fit.seq + 1
+), got AS (
+  SELECT o.*, extra FROM o JOIN fit ON o.source IS NOT DISTINCT FROM fit.source AND o.seq = fit.seq
+), short AS (
+  SELECT source AS s, round(max(target) - sum(size * (whole + extra)))::BIGINT AS gap,
+         arg_min(seq, size * 100000000 + seq) FILTER (WHERE size > 0 AND extra = 0) AS free FROM got GROUP BY source
+)
+SELECT doc_id, size, source_size, target, size * (whole + extra + near) AS taken, source, whole + extra + near AS n_copies
+FROM (SELECT got.*, coalesce(seq = free AND size < 2 * gap, false)::INT AS near FROM got JOIN short ON source IS NOT DISTINCT FROM s)
 """
 
 
@@ -160,7 +151,7 @@ WITH p AS (
   SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, ''))::BIGINT AS payload_bytes FROM pages
 ), m AS (
   SELECT *, min(page_id) OVER (PARTITION BY html) AS first FROM p
-), r AS (SELECT *, payload_bytes >= 100 AND page_id > first AS revisit FROM m)
+), r AS (SELECT *, payload_bytes >= 100 AND first IS NOT NULL AND (page_id IS NULL OR page_id > first) AS revisit FROM m)
 SELECT page_id, payload_bytes, sha256(html) AS payload_digest, CASE WHEN revisit THEN 'revisit' ELSE 'response' END AS record_type,
        CASE WHEN revisit THEN first END AS refers_to, NULL::VARCHAR AS error
 FROM r
@@ -168,29 +159,41 @@ FROM r
 
 SQL["op3_line_dedup"] = r"""
 WITH d AS (
-  SELECT doc_id, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS l FROM documents
+  SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents
 ), w AS (
-  SELECT doc_id, l, unnest(generate_series(1, len(l) - 2)) AS p FROM d WHERE len(l) >= 3
+  SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS place FROM d
+), p AS (
+  SELECT doc_id, line, place, row_number() OVER (ORDER BY doc_id NULLS LAST, place) AS g,
+         row_number() OVER (PARTITION BY doc_id ORDER BY place) AS i, count(*) OVER (PARTITION BY doc_id) AS n
+  FROM w WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
+), s AS (
+  SELECT doc_id, list(line ORDER BY i) AS ls FROM p GROUP BY doc_id
 ), k AS (
-  SELECT doc_id, p, l[p:p + 2] AS run FROM w
-  WHERE regexp_matches(l[p], '[^\x20\x09-\x0D]') AND regexp_matches(l[p + 1], '[^\x20\x09-\x0D]') AND regexp_matches(l[p + 2], '[^\x20\x09-\x0D]')
+  SELECT g, h, md5(array_to_string(ls[i:i + h - 1], chr(10))) AS run
+  FROM p JOIN s ON p.doc_id IS NOT DISTINCT FROM s.doc_id, (SELECT 1::BIGINT << unnest(range(0, 16)) AS h) WHERE i + h - 1 <= n
 ), f AS (
-  SELECT doc_id, p, row_number() OVER (PARTITION BY run ORDER BY doc_id, p) AS nth FROM k
+  SELECT g, h, min(g) OVER (PARTITION BY h, run) AS q FROM k
+), best AS (
+  SELECT g, max(h) AS h, arg_max(q, h) AS q FROM f WHERE q < g GROUP BY g
+), steps AS (
+  SELECT g, q, unnest(range(0, 2 * h)) AS k FROM best
+), lcp AS (
+  SELECT s.g, min(s.k) FILTER (WHERE a.line IS DISTINCT FROM b.line OR a.line IS NULL) AS len
+  FROM steps s JOIN p x ON x.g = s.g JOIN p y ON y.g = s.q
+  LEFT JOIN p a ON a.g = s.g + s.k AND a.doc_id IS NOT DISTINCT FROM x.doc_id
+  LEFT JOIN p b ON b.g = s.q + s.k AND b.doc_id IS NOT DISTINCT FROM y.doc_id GROUP BY s.g
 ), r AS (
-  SELECT doc_id, list_sort(list(DISTINCT q)) AS g FROM (SELECT doc_id, unnest([p, p + 1, p + 2]) AS q FROM f WHERE nth > 1) GROUP BY doc_id
-), i AS (
-  SELECT doc_id, max(c) AS longest, count(*) AS runs FROM (
-    SELECT doc_id, q - rn AS s, count(*) AS c FROM (
-      SELECT doc_id, q, row_number() OVER (PARTITION BY doc_id ORDER BY q) AS rn FROM (SELECT doc_id, unnest(g) AS q FROM r)) GROUP BY ALL)
-  GROUP BY doc_id
+  SELECT doc_id, len, g + len > coalesce(max(g + len) OVER (PARTITION BY doc_id ORDER BY g ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS own
+  FROM lcp JOIN p USING (g)
+), c AS (
+  SELECT doc_id, count(*) AS n_removed, count(*) FILTER (WHERE own) AS n_runs, max(len) AS longest_run FROM r GROUP BY doc_id
 ), o AS (
-  SELECT doc_id, string_agg(x, chr(10) ORDER BY p) AS kept FROM (
-    SELECT doc_id, unnest(l) AS x, unnest(generate_series(1, len(l))) AS p FROM d) a
-  WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.doc_id = a.doc_id AND list_contains(g, p)) GROUP BY doc_id
+  SELECT w.doc_id, string_agg(w.line, chr(10) ORDER BY w.place) AS kept
+  FROM w LEFT JOIN p ON p.doc_id IS NOT DISTINCT FROM w.doc_id AND p.place = w.place LEFT JOIN best ON best.g = p.g WHERE best.g IS NULL GROUP BY w.doc_id
 )
-SELECT d.doc_id, len(l)::BIGINT AS n_lines, coalesce(len(g), 0)::BIGINT AS n_removed, coalesce(runs, 0)::BIGINT AS n_runs,
-       coalesce(longest, 0)::BIGINT AS longest_run, sha256(coalesce(kept, '')) AS kept_sha256
-FROM d LEFT JOIN r USING (doc_id) LEFT JOIN i USING (doc_id) LEFT JOIN o USING (doc_id)
+SELECT d.doc_id, len(l)::BIGINT AS n_lines, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_runs, 0)::BIGINT AS n_runs,
+       coalesce(longest_run, 0)::BIGINT AS longest_run, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN c ON c.doc_id IS NOT DISTINCT FROM d.doc_id LEFT JOIN o ON o.doc_id IS NOT DISTINCT FROM d.doc_id
 """
 
 SQL["op4_substring_dedup"] = rf"""

@@ -202,7 +202,7 @@ def test_line_dedup_brute_force(spark, edge_rows):
 
     for k in (1, 3, 4):
         seen, exp = set(), {}
-        for i, t in sorted({(i, t) for i, t, _ in edge_rows}, key=lambda x: (x[0] is not None, x[0] or 0)):
+        for i, t in sorted({(i, t) for i, t, _ in edge_rows}, key=lambda x: (x[0] is None, x[0] or 0)):
             lines, gone = (t or "").split("\n"), set()
             for p in range(len(lines) - k + 1):
                 run = tuple(lines[p : p + k])
