@@ -31,7 +31,8 @@ RECORD = "page_id long, payload_bytes long, payload_digest string, record_type s
 def classify(pages: DataFrame) -> DataFrame:
     """(page_id, url, html, payload_bytes, payload_digest, refers_to): refers_to names the least page_id
     of the pages with the same payload of at least ``MIN_REVISIT`` bytes, and is null for that page
-    itself (and for its repeated rows), for small payloads, and where page_id is null.
+    itself (and for its repeated rows) and for small payloads.  A page without an id never is the one referred to; it
+    refers to the least page_id like any other copy, or to none if no copy has an id.
 
     Equal payloads are grouped by length and SHA-256 after partial aggregation; only narrow rows meet
     the winners, so a payload that holds a third of the pages is split by AQE, not collected.
@@ -41,10 +42,11 @@ def classify(pages: DataFrame) -> DataFrame:
         "page_id", "url", html.alias("html"), F.octet_length(html).cast("long").alias("payload_bytes"), F.sha2(html, 256).alias("payload_digest")
     )
     big = p.where(F.col("payload_bytes") >= MIN_REVISIT)
-    groups = big.groupBy("payload_bytes", "payload_digest").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last"))
-    winners = groups.where(F.col("last") > F.col("first")).select("payload_bytes", "payload_digest", "first")
-    j = p.join(winners, ["payload_bytes", "payload_digest"], "left")
-    refers = F.when(F.col("page_id") > F.col("first"), F.col("first"))
+    nameless = F.max(F.col("page_id").isNull()).alias("nameless")
+    groups = big.groupBy("payload_bytes", "payload_digest").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last"), nameless)
+    winners = groups.where((F.col("last") > F.col("first")) | (F.col("first").isNotNull() & F.col("nameless")))
+    j = p.join(winners.select("payload_bytes", "payload_digest", "first"), ["payload_bytes", "payload_digest"], "left")
+    refers = F.when(F.col("page_id").isNull() | (F.col("page_id") > F.col("first")), F.col("first"))
     return j.select("page_id", "url", "html", "payload_bytes", "payload_digest", refers.alias("refers_to"))
 
 
