@@ -127,7 +127,8 @@ def shard_documents(docs: DataFrame, n_shards: int = 40, law: str = "rows", dims
     """``docs`` plus _size, _hilbert, _shard and _slot, laid out so that each written file holds a run of the curve.
 
     Only narrow rows are ranked.  They meet the texts again by (doc_id, size, CRC-32 of the text);
-    repeated rows of one key get that key's slots in turn.
+    repeated rows of one key get that key's slots in turn.  Documents that were sharded before, or have columns of these
+    names for another reason, lose them to the new ones.
     """
     key = {f"{P}id": docs["doc_id"], f"{P}size": payload_size(docs["text"]), f"{P}crc": F.crc32(F.coalesce(docs["text"], F.lit("")))}
     keyed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias(f"{P}row"), *[v.alias(k) for k, v in key.items()])
@@ -146,8 +147,9 @@ def shard_documents(docs: DataFrame, n_shards: int = 40, law: str = "rows", dims
         & (right[f"{P}crc"] == left["crc"]) & (right[f"{P}nth"] == left["nth"])
     )
     j = right.join(left, on)
+    placed_as = {"_size", "_hilbert", "_shard", "_slot"}
     out = j.select(
-        *[F.col(f"{P}row")[c].alias(c) for c in docs.columns],
+        *[F.col(f"{P}row")[c].alias(c) for c in docs.columns if c.lower() not in placed_as],
         *[F.col(c).alias(f"_{c}") for c in ("size", "hilbert", "shard", "slot")],
     )
     return out.repartitionByRange("_shard", "_slot").sortWithinPartitions("_shard", "_slot")
