@@ -217,12 +217,13 @@ def rejected_events(events: DataFrame, evals: DataFrame) -> DataFrame:
     return events.join(evals.select("evaluation_id"), "evaluation_id", "left_anti")
 
 
-def completion_rows(ready: DataFrame, failed_ids: DataFrame | None = None) -> DataFrame:
-    """State rows written at the end of scoring (S5): COMPLETED with the final key, or FAILED."""
+def completion_rows(ready: DataFrame, failed_ids: DataFrame | None = None, batch_id: int = 0) -> DataFrame:
+    """State rows written at the end of scoring (S5): COMPLETED with the final key, or FAILED.  The key is
+    that of the document which ``write_final_metrics`` puts into the folder of the same batch."""
     done = ready.select(
         "evaluation_id",
         F.lit(COMPLETED).alias("status"),
-        F.concat(F.col("evaluation_id"), F.lit("/final_metrics.json")).alias("final_key"),
+        F.concat(F.lit(f"batch_id={int(batch_id)}/"), F.col("evaluation_id")).alias("final_key"),
         F.lit(None).cast("string").alias("error_message"),
         F.current_timestamp().alias("completion_timestamp"),
     )

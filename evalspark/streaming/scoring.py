@@ -1,7 +1,7 @@
 """Ready events → final metrics (J7): each micro-batch is scored with the batch operators.
 
-The sink writes the documents of a micro-batch into a folder of its own and overwrites it on replay,
-so a restart gives the same files.
+The sink records a micro-batch as a whole (``operators.completion``): documents, state rows (COMPLETED with a key that opens
+the document, or FAILED) and a ledger entry, each in a folder of the batch.  A replayed batch whose entry is there changes nothing.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evalspark.operators.outcomes import write_final_metrics
+from evalspark.operators.completion import complete_batch
 from evalspark.operators.status import READY_TYPE
 from evalspark.plans.flows import score
 
@@ -42,7 +42,7 @@ def score_stream(
 
     Pass ``withmap``, ``responses`` and ``extra_scores`` as functions ``spark → DataFrame`` when they are
     file tables that grow: they are called in every micro-batch, so evaluations and responses stored
-    after the start are seen.  A plain DataFrame over files keeps the files it had when it was made.
+    after the start are seen.  Documents are under ``out_path/documents``, states and ledger beside them.  A plain DataFrame over files keeps the files it had when it was made.
     """
     from evalspark.session import stream_checkpoint
 
@@ -51,7 +51,9 @@ def score_stream(
     def sink(df: DataFrame, batch_id: int) -> None:
         spark = df.sparkSession
         extra = None if extra_scores is None else _now(extra_scores, spark)
-        write_final_metrics(score_batch(df, _now(withmap, spark), _now(responses, spark), extra), out_path, batch_id)
+        if "detail_type" in df.columns:
+            df = df.where(df.detail_type == READY_TYPE)
+        complete_batch(df, _now(withmap, spark), _now(responses, spark), out_path, batch_id, extra)
 
     w = ready_stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(sink)
     return w.trigger(**(trigger or {"availableNow": True})).start()
