@@ -1,4 +1,4 @@
-"""Streaming status tracking and completion detection.
+"""Streaming status tracking (J1-J3, J5); completion detection is in ``streaming.ready``.
 
 Each function takes a streaming DataFrame of flat status events (``operators.status.parse_events``
 over ``readStream``) and reuses the batch column functions, so stream and batch agree.
@@ -7,15 +7,11 @@ Sinks are idempotent per micro-batch id, so a restart from the checkpoint writes
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
 
 from evalspark.operators import status as st
+from evalspark.streaming.ready import READY_SCHEMA, TIMED_OUT_TYPE, stream_ready  # noqa: F401
 
 
 def dedup_events(events: DataFrame, delay: str = "1 hour", keys=("evaluation_id", "model", "detail_type", "event_seq")) -> DataFrame:
@@ -51,144 +47,3 @@ def current_status(spark, path: str) -> DataFrame:
     rows = spark.read.parquet(path)
     order = F.struct("updated_at", "updated_seq")
     return rows.groupBy("evaluation_id", "model").agg(F.max_by("status", order).alias("status"))
-
-
-READY_SCHEMA = "evaluation_id string, detail_type string, n_models int"
-#: ``body`` is JSON {requested, models: {name: [status, event_us, event_seq]}, deadline_ms}.
-STATE_SCHEMA = "body string, fired boolean"
-
-TIMED_OUT_TYPE = "EvaluationTimedOut"
-
-
-def _fold(body: dict, pdfs: Iterator[pd.DataFrame]) -> None:
-    """Merge a micro-batch's rows into the state: requested models once, the latest status per model."""
-    for pdf in pdfs:
-        for req in pdf.loc[pdf["requested_models"].notna(), "requested_models"].head(1):
-            body["requested"] = body["requested"] or list(dict.fromkeys(req))
-        named = pdf[pdf["model"].notna()]
-        if named.empty:
-            continue
-        last = named.sort_values(["event_us", "event_seq"], kind="stable").drop_duplicates("model", keep="last")
-        for m, status, t, q in zip(last["model"], last["eff_status"], last["event_us"], last["event_seq"]):
-            old = body["models"].get(m)
-            if old is None or (t, q) > (old[1], old[2]):
-                body["models"][m] = [status, int(t), int(q)]
-
-
-def _ready_fn(count_failed: bool, timeout_ms: int | None, keep_ms: int | None):
-    done = {st.RECEIVED, st.FAILED} if count_failed else {st.RECEIVED}
-
-    def fn(key, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        def row(kind: str, requested: list) -> pd.DataFrame:
-            return pd.DataFrame({"evaluation_id": [key[0]], "detail_type": [kind], "n_models": [len(requested)]})
-
-        batches = [] if state.hasTimedOut else [pdf for pdf in pdfs if len(pdf)]
-        newest_ms = max((int(pdf["event_us"].max()) // 1000 for pdf in batches), default=0)
-
-        def tombstone() -> None:
-            """Remember (for ``keep_ms``, if set) that this evaluation has fired, and nothing else.  The
-            watermark is still 0 in a stream's first batch, so the newest event counts too."""
-            state.update(("{}", True))
-            if keep_ms is not None:
-                state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), newest_ms, 0) + keep_ms)
-
-        raw, fired = state.get if state.exists else ("", False)
-        if fired:
-            if state.hasTimedOut:
-                state.remove()
-            else:
-                tombstone()  # a late event extends the memory, it never fires again
-            return
-        body = json.loads(raw) if raw else {"requested": [], "models": {}, "deadline_ms": None}
-        if state.hasTimedOut:  # incomplete when the watermark passed the deadline (J6)
-            tombstone()
-            yield row(TIMED_OUT_TYPE, body["requested"])
-            return
-        _fold(body, iter(batches))
-        if timeout_ms is not None and body["deadline_ms"] is None:
-            times = [int(t) for pdf in batches for t in pdf["event_us"] if t >= 0]
-            body["deadline_ms"] = min(times) // 1000 + timeout_ms if times else None
-        requested = body["requested"]
-        if requested and all(body["models"].get(m, [None])[0] in done for m in requested):
-            tombstone()
-            yield row(st.READY_TYPE, requested)
-            return
-        deadline = body["deadline_ms"]
-        if deadline is not None and deadline <= state.getCurrentWatermarkMs():  # already past it
-            tombstone()
-            yield row(TIMED_OUT_TYPE, requested)
-            return
-        state.update((json.dumps(body), False))
-        if deadline is not None:
-            state.setTimeoutTimestamp(deadline)
-
-    return fn
-
-
-def stream_ready(
-    events: DataFrame,
-    evals: DataFrame,
-    count_failed: bool = True,
-    timeout: str | None = None,
-    delay: str = "1 hour",
-    keep: str | None = None,
-) -> DataFrame:
-    """Emit one AllLLMResponsesReady row per open evaluation once all requested models answered.
-
-    ``evals`` has (evaluation_id, requested_models, status) and may be
-
-    * a stream (evaluation records or initiated events): both streams meet in the state, so evaluations
-      created after the start count, and responses that come before their evaluation wait for it.  With
-      ``timeout`` or ``keep`` it needs an ``event_time`` (or ``created_at``) column for the watermark;
-    * a table: a stream-static join, which drops events of unknown or closed evaluations.  A table over
-      files keeps the files it had when it was made; use the stream form if evaluations arrive later.
-
-    State per evaluation: model → (status, time, seq).  After firing only a small marker is kept, so
-    re-deliveries and restarts fire nothing twice.  ``keep`` (e.g. ``"7 days"``) frees the marker once the
-    watermark is that far past the firing; without it markers stay.
-
-    ``timeout`` (e.g. ``"30 minutes"``) adds an event-time deadline after the first event of an
-    evaluation: if it is still incomplete when the watermark (``delay``) passes the deadline, one
-    ``EvaluationTimedOut`` row is emitted (J6) and later events fire nothing.
-
-    With ``timeout`` or ``keep`` Spark drops events older than the watermark; without both no event is
-    dropped, however late.
-    """
-    timeout_ms = None if timeout is None else _interval_ms(timeout)
-    keep_ms = None if keep is None else _interval_ms(keep)
-    timed = timeout is not None or keep is not None
-    if timed:
-        events = events.withWatermark("event_time", delay)
-    open_e = st.open_evaluations(evals)
-    flat = [
-        "evaluation_id",
-        "model",
-        st.effective_status().alias("eff_status"),
-        F.coalesce(F.unix_micros(F.col("event_time").cast("timestamp")), F.lit(-1)).alias("event_us"),
-        F.coalesce(F.col("event_seq").cast("long"), F.lit(-1)).alias("event_seq"),
-    ]
-    late = ["event_time"] if timed else []
-    if evals.isStreaming:
-        none = F.lit(None).cast("string")
-        when = next((F.col(c).cast("timestamp") for c in ("event_time", "created_at") if c in evals.columns), F.lit(None).cast("timestamp"))
-        opened = open_e.withColumn("event_time", when)
-        if timed:
-            opened = opened.withWatermark("event_time", delay)
-        opened = opened.select(
-            "evaluation_id", none.alias("model"), none.alias("eff_status"),
-            F.coalesce(F.unix_micros("event_time"), F.lit(-1)).alias("event_us"), F.lit(-1).cast("long").alias("event_seq"),
-            "requested_models", *late,
-        )
-        rows = events.select(*flat, F.lit(None).cast("array<string>").alias("requested_models"), *late).unionByName(opened)
-    else:
-        rows = events.join(open_e.select("evaluation_id", "requested_models"), "evaluation_id").select(*flat, "requested_models", *late)
-    mode = GroupStateTimeout.EventTimeTimeout if timed else GroupStateTimeout.NoTimeout
-    return rows.groupBy("evaluation_id").applyInPandasWithState(
-        _ready_fn(count_failed, timeout_ms, keep_ms), READY_SCHEMA, STATE_SCHEMA, "append", mode
-    )
-
-
-def _interval_ms(text: str) -> int:
-    n, unit = text.split()
-    scale = {"second": 1000, "minute": 60_000, "hour": 3_600_000, "day": 86_400_000}
-    return int(float(n) * scale[unit.rstrip("s")])

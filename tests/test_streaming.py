@@ -166,36 +166,87 @@ def test_ready_stream_fires_once_around_the_deadline(spark, tmpdir_path):
     assert got == [("e1", sst.TIMED_OUT_TYPE, 2), ("e2", st.READY_TYPE, 1), ("e3", sst.TIMED_OUT_TYPE, 2)]
 
 
+def test_state_is_typed_per_model_and_freed_after_firing(spark, tmpdir_path):
+    import datetime as dt
+
+    t0 = dt.datetime(2024, 1, 1)
+    src, out, ck = (os.path.join(tmpdir_path, n) for n in ("ev", "out", "ck"))
+    evals = spark.createDataFrame(
+        [("e1", ["A", "B", "C"], "INITIATED"), ("e2", ["A"], "INITIATED")], "evaluation_id string, requested_models array<string>, status string"
+    )
+    _received(spark, src, "s0", [("e1", "A", t0, 1), ("e1", "A", t0, 5), ("e1", "B", t0, 2), ("e2", "A", t0, 3)])
+    assert _run_ready(spark, sst.stream_ready(_stream(spark, src), evals), out, ck) == [("e2", st.READY_TYPE, 1)]
+
+    def state(name):
+        return spark.read.format("statestore").option("path", ck).option("stateVarName", name).load()
+
+    models = {(r.key.evaluation_id, r.user_map_key.model): tuple(r.user_map_value) for r in state("models").collect()}
+    us = int(t0.replace(tzinfo=dt.timezone.utc).timestamp() * 1e6)
+    assert models == {("e1", "A"): ("RECEIVED", us, 5), ("e1", "B"): ("RECEIVED", us, 2)}  # an entry per model, none of what fired
+    assert [(r.key.evaluation_id, list(r.value.models)) for r in state("requested").collect()] == [("e1", ["A", "B", "C"])]
+    assert [r.key.evaluation_id for r in state("fired").collect()] == ["e2"]
+
+
 def test_late_data_past_the_deadline_times_out_at_once():
-    import pandas as pd
+    from evalspark.streaming.ready import ReadyProcessor
+    from pyspark.sql import Row
 
-    class State:
-        value, exists, hasTimedOut, at = None, False, False, None
+    class Value:
+        def __init__(self):
+            self.v = None
+
+        def exists(self):
+            return self.v is not None
 
-        @property
         def get(self):
-            return self.value
+            return self.v
 
         def update(self, v):
-            self.value, self.exists = v, True
+            self.v = v
+
+        def clear(self):
+            self.v = None
+
+    class Map(dict):
+        containsKey, getValue, updateValue = dict.__contains__, dict.__getitem__, dict.__setitem__
+
+    class Handle:
+        def __init__(self):
+            self.timers = set()
+
+        def getValueState(self, name, schema):
+            return Value()
+
+        def getMapState(self, name, key, value):
+            return Map()
+
+        def registerTimer(self, ms):
+            self.timers.add(ms)
+
+        def deleteTimer(self, ms):
+            self.timers.remove(ms)
+
+        def listTimers(self):
+            return iter(self.timers)
 
-        def setTimeoutTimestamp(self, t):
-            assert t > self.getCurrentWatermarkMs()
-            self.at = t
+    class Time:
+        ms = 0
 
-        def getCurrentWatermarkMs(self):
-            return self.watermark
+        def getCurrentWatermarkInMs(self):
+            return self.ms
 
     def rows(model, us):
-        return pd.DataFrame({"model": [model], "eff_status": ["RECEIVED"], "event_us": [us], "event_seq": [1], "requested_models": [["A", "B"]]})
+        return iter([Row(model=model, eff_status="RECEIVED", event_us=us, event_seq=1, requested_models=["A", "B"])])
 
-    state, fn = State(), sst._ready_fn(True, 1000, 5000)
-    state.watermark = 0
-    assert list(fn(("e",), iter([rows("A", 1_000_000)]), state)) == [] and state.at == 2000
-    state.watermark = 3000  # past the deadline, and the key has data in this batch
-    out = list(fn(("e",), iter([rows("A", 3_500_000)]), state))
-    assert [o["detail_type"][0] for o in out] == [sst.TIMED_OUT_TYPE]
-    assert list(fn(("e",), iter([rows("B", 3_600_000)]), state)) == [] and state.value[1]
+    handle, time, work = Handle(), Time(), ReadyProcessor(True, 1000, 5000)
+    work.init(handle)
+    assert list(work.handleInputRows(("e",), rows("A", 1_000_000), time)) == [] and handle.timers == {2000}
+    time.ms = 3000  # past the deadline, and the key has data in this batch
+    out = list(work.handleInputRows(("e",), rows("A", 3_500_000), time))
+    assert [o.detail_type for o in out] == [sst.TIMED_OUT_TYPE] and handle.timers == {8500}
+    assert list(work.handleInputRows(("e",), rows("B", 3_600_000), time)) == [] and handle.timers == {8600}
+    time.ms = 9000
+    assert list(work.handleExpiredTimer(("e",), time, None)) == [] and not work.fired.exists()
 
 
 def test_score_stream_reads_tables_anew(spark, tmpdir_path):
@@ -216,7 +267,7 @@ def test_score_stream_reads_tables_anew(spark, tmpdir_path):
     def run():
         ready = spark.readStream.schema(ready_schema).parquet(rd)
         score_stream(ready, evals, lambda s: s.read.schema(resp_schema).parquet(rs), out, ck).awaitTermination()
-        return {r.evaluation_id: r for r in read_final_metrics(spark, out).collect()}
+        return {r.evaluation_id: r for r in read_final_metrics(spark, f"{out}/documents").collect()}
 
     for e in ("e1", "e2"):  # e2's response is stored after the first run
         spark.createDataFrame([(e, "A", "the cat sat")], resp_schema).write.mode("append").parquet(rs)
