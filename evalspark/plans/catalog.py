@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from evalspark.operators import overlap
+from evalspark.operators.ledger import Transient
 from evalspark.sources import views
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,6 +54,13 @@ def q_rouge_l(spark, sf):
     return rouge_l(views.pairs_edit(spark, sf), key=PAIR_KEYS)
 
 
+@register("rouge_l_blocks")
+def q_rouge_l_blocks(spark, sf):
+    from evalspark.operators.lcs import rouge_l
+
+    return rouge_l(views.pairs_edit(spark, sf), key=PAIR_KEYS, block_tokens=2048)
+
+
 @register("tokenize")
 def q_tokenize(spark, sf):
     from pyspark.sql import functions as F
@@ -69,6 +77,26 @@ def q_tokenize(spark, sf):
     )
 
 
+@register("tokenize_treebank")
+def q_tokenize_treebank(spark, sf):
+    from pyspark.sql import functions as F
+
+    from evalspark.functions.text import tokenize
+    from evalspark.functions.treebank import sentences
+
+    p = views.pairs_quoted(spark, sf).where("model = 'm_swap'")
+    words = tokenize("candidate", "treebank")
+    return p.select(
+        "pair_id", F.size(sentences("candidate")).cast("long").alias("n_sentences"), F.size(words).cast("long").alias("n_words"),
+        F.array_join(words, " ").alias("words"),
+    )
+
+
+@register("bleu_treebank")
+def q_bleu_treebank(spark, sf):
+    return overlap.bleu(views.pairs_quoted(spark, sf), key=PAIR_KEYS, tokens="treebank")
+
+
 @register("cosine")
 def q_cosine(spark, sf):
     from evalspark.operators.vectors import cosine_scores
@@ -505,6 +533,28 @@ def q_evaluation_states(spark, sf):
     return st.current_state(rows)
 
 
+@register("drop_redelivered")
+def q_drop_redelivered(spark, sf):
+    from pyspark.sql import functions as F
+
+    from evalspark.streaming.routing import drop_redelivered
+
+    d = drop_redelivered(views.deliveries(spark, sf), "1 hour")
+    return d.select("evaluation_id", "model", "event_seq", F.unix_micros(F.col("event_time").cast("timestamp")).alias("event_us"))
+
+
+@register("route_events")
+def q_route_events(spark, sf):
+    from pyspark.sql import functions as F
+
+    from evalspark.streaming.routing import route_events
+
+    ev = views.status_events(spark, sf).withColumn("event_time", F.col("event_time").cast("timestamp"))
+    known = views.evaluations(spark, sf).where(F.pmod(F.col("evaluation_id").cast("long"), F.lit(3)) != 0)
+    r = route_events(ev, known, wait="0 seconds", before="20 days")
+    return r.select("evaluation_id", "model", "event_seq", "route")
+
+
 # --- outcomes and judge -----------------------------------------------------------------------------
 
 @register("classify_outcomes")
@@ -517,6 +567,25 @@ def q_classify_outcomes(spark, sf):
     return o.select("evaluation_id", "model", "outcome", F.col("response").isNotNull().alias("has_response"))
 
 
+@register("response_store")
+def q_response_store(spark, sf):
+    from uuid import uuid4
+
+    from pyspark.sql import functions as F
+
+    from evalspark.session import checkpoint_dir
+    from evalspark.sources.store import lookup_responses, store_responses
+
+    path = f"{checkpoint_dir(spark).rstrip('/')}/responses-{uuid4().hex}"
+    docs = views.prompts(spark, sf).select(F.concat(F.lit("doc-"), F.col("sno").cast("string")).alias("evaluation_id"), F.col("prompt").alias("response"))
+    first = docs.withColumn("model", F.when(F.length("response") % 2 == 0, "Model One").otherwise("two"))
+    again = first.where(F.length("response") % 5 == 0).withColumn("response", F.reverse("response"))
+    store_responses(first, path, 0)
+    store_responses(again, path, 1)
+    found = lookup_responses(first.where(F.length("response") % 3 != 0), path)
+    return found.select("evaluation_id", "model_key", F.sha2("response", 256).alias("response_sha256"), "batch_id")
+
+
 @register("final_metrics_doc")
 def q_final_metrics_doc(spark, sf):
     from pyspark.sql import functions as F
@@ -532,6 +601,96 @@ def q_final_metrics_doc(spark, sf):
     return flatten_final_metrics(doc)
 
 
+def _scored(spark, sf):
+    """(path, batch): the ready evaluations of ``views`` and some without a record, scored and recorded once and replayed."""
+    from uuid import uuid4
+
+    from pyspark.sql import functions as F
+
+    from evalspark.operators import status as st
+    from evalspark.operators.completion import complete_batch
+    from evalspark.session import checkpoint_dir
+    from evalspark.sources.tables import table
+
+    docs = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("evaluation_id"), F.col("text").alias("reference_answer"))
+    prompt = F.concat(F.lit("question "), F.col("evaluation_id")).alias("prompt")
+    wm = _withmap(spark, sf).join(docs, "evaluation_id", "left").select("*", prompt, F.element_at("requested_models", -1).alias("context"))
+    lost = table(spark, sf, "conversations").where("turn = 0").select(F.concat(F.lit("lost-"), F.col("conv_id").cast("string")).alias("evaluation_id"))
+    ready = st.ready_evaluations(wm).select("evaluation_id").unionByName(lost)
+    path = f"{checkpoint_dir(spark).rstrip('/')}/final-{uuid4().hex}"
+    for _ in range(2):
+        complete_batch(ready, wm, views.responses(spark, sf), path, 0)
+    return path
+
+
+@register("completion_ledger")
+def q_completion_ledger(spark, sf):
+    from pyspark.sql import functions as F
+
+    from evalspark.operators.completion import open_documents, read_ledger, read_states
+
+    path = _scored(spark, sf)
+    states = read_states(spark, path)
+    opened = open_documents(states, path).select("final_key", F.col("evaluation_id").alias("opens"))
+    entry = read_ledger(spark, path).select("batch_id", "n_ready", "n_completed", "n_failed")
+    rows = states.join(opened, "final_key", "left").join(entry, "batch_id")
+    return rows.select("evaluation_id", "status", "final_key", "n_models", "n_scored", "error_message", "opens", "n_ready", "n_completed", "n_failed")
+
+
+@register("final_documents")
+def q_final_documents(spark, sf):
+    from pyspark.sql import functions as F
+
+    from evalspark.operators.completion import open_documents, read_states
+
+    path = _scored(spark, sf)
+    docs = open_documents(read_states(spark, path), path)
+    e = docs.select("evaluation_id", "prompt", "reference_answer", "context", F.explode("model_comparisons").alias("model", "r"))
+    return e.select(
+        "evaluation_id", "model", "prompt", F.length("reference_answer").alias("reference_chars"), "context", F.col("r.status").alias("status"),
+        F.length("r.llm_response").alias("response_chars"), "r.error", "r.message",
+        F.try_element_at("r.metrics", F.lit("ROUGE-1_F1")).alias("rouge1"), F.coalesce(F.size("r.metrics"), F.lit(0)).alias("n_metrics"),
+    )
+
+
+class CountingClient:
+    """A client without a model: the answer names model and prompt length.  Prompts whose length is a multiple of 3 fail
+    at the first attempt, those of 7 always, those of 11 for good."""
+
+    def __init__(self, model: str):
+        self.model, self.seen = model, {}
+
+    def __call__(self, prompt: str) -> str:
+        n = len(prompt)
+        self.seen[prompt] = tries = self.seen.get(prompt, 0) + 1
+        if n % 11 == 0:
+            raise ValueError("refused")
+        if n % 7 == 0 or (n % 3 == 0 and tries == 1):
+            raise Transient("busy")
+        return f"{self.model} {n}"
+
+
+@register("call_ledger")
+def q_call_ledger(spark, sf):
+    from pyspark.sql import functions as F
+
+    from evalspark.operators import requests as rq
+    from evalspark.operators.ledger import Policy, ledger_events, own_ledger, read_ledger, run_calls
+
+    work = rq.fan_out(_initiated(spark, sf)).select("evaluation_id", "model", F.col("prompt").alias("formatted_prompt"))
+    path, policy = own_ledger(spark), Policy(parallel=1, attempts=3, first_wait=0.0)
+    # some first, then all of it, then all again: every call is made once
+    run_calls(work.where(F.pmod(F.length("formatted_prompt"), F.lit(2)) == 0), path, CountingClient, policy)
+    run_calls(work, path, CountingClient, policy)
+    calls = run_calls(work, path, CountingClient, policy)
+    times = read_ledger(spark, path).groupBy("call_id").agg(F.count("*").alias("n_calls"))
+    ev = ledger_events(calls).select("evaluation_id", "model", "detail_type", "response_key", "event_seq")
+    rows = calls.join(times, "call_id").join(ev, ["evaluation_id", "model"])
+    return rows.select(
+        "call_id", "evaluation_id", "model", rows.status, "response", rows.error, "attempts", "n_calls", "detail_type", "response_key", "event_seq"
+    )
+
+
 @register("verdict_ratio")
 def q_verdict_ratio(spark, sf):
     from evalspark.operators.judge import verdict_ratio
@@ -540,6 +699,35 @@ def q_verdict_ratio(spark, sf):
     return v.select("evaluation_id", "model", "criterion", _r6("score").alias("score"), "n_verdicts")
 
 
+def lexical_judge(criterion: str, text: str, units: list[str], against: str | None) -> list:
+    """A judge without a model: a unit is supported if at least half of its different words occur in the other
+    text (for hallucination, the other way round, and a true verdict says that it is not); coherence is ten times the share
+    of different words.  Without words there is no verdict."""
+    import re
+
+    def words(t):
+        return set(re.findall("[a-z0-9]+", (t or "").lower()))
+
+    out = []
+    for u in units:
+        if criterion == "coherence":
+            n = len(re.findall("[a-z0-9]+", u.lower()))
+            out.append(10 * len(words(u)) / n if n else None)
+        else:
+            own, other = (words(against), words(u)) if criterion == "hallucination" else (words(u), words(against))
+            held = 2 * len(own & other) >= len(own)
+            out.append((held != (criterion == "hallucination")) if own else None)
+    return out
+
+
+@register("judge_scores")
+def q_judge_scores(spark, sf):
+    from evalspark.operators.judging import judge_cases
+
+    s = judge_cases(views.judge_cases(spark, sf), lexical_judge)
+    return s.withColumn("score", _r6("score")).withColumn("n_verdicts", s.n_verdicts.cast("long"))
+
+
 @register("rubric_score")
 def q_rubric_score(spark, sf):
     from pyspark.sql import functions as F

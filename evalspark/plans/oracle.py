@@ -42,7 +42,10 @@ def overlap_ctes(src: str, kind: str, orders: list[int], prefix: str) -> str:
 
     Each text is split once; n-grams come from ``lead`` over the token rows (a list lambda that slices
     its own list copies that list per element)."""
-    if kind == "ascii":
+    if kind == "treebank":
+        ce, re_ = "c", "r"
+        src = f"{src}_treebank"
+    elif kind == "ascii":
         ce, re_ = f"regexp_extract_all(lower(candidate), '{ASCII}')", f"regexp_extract_all(lower(reference), '{ASCII}')"
     else:
         ce, re_ = f"regexp_extract_all(candidate, '{WORD}')", f"regexp_extract_all(reference, '{WORD}')"
@@ -74,6 +77,160 @@ def overlap_ctes(src: str, kind: str, orders: list[int], prefix: str) -> str:
 )"""
 
 
+# Each word of a sentence stands between blanks of its own, so that a rule may use up the blank before or behind
+# a word where a lookaround would be needed.  Sentences are rows; ^ and $ are their ends.
+V_PAIRS_QUOTED = """
+doc_words AS (
+  SELECT doc_id, list_transform(list_filter(string_split(text, ' '), lambda x: x <> ''), lambda x, i: {mark}) AS r FROM documents
+),
+pairs_quoted AS (
+  SELECT CAST(doc_id AS VARCHAR) || '-' || model AS pair_id, doc_id AS sno, model,
+         array_to_string(toks, ' ') AS candidate, array_to_string(r, ' ') AS reference
+  FROM (
+    SELECT doc_id, r, 'm_drop2' AS model, list_filter(r, lambda x, i: i % 2 <> 0) AS toks FROM doc_words
+    UNION ALL
+    SELECT doc_id, r, 'm_drop7', list_filter(r, lambda x, i: i % 7 <> 0) FROM doc_words
+    UNION ALL
+    SELECT doc_id, r, 'm_swap', CASE WHEN len(r) > 10 THEN r[11:] || r[1:10] ELSE r END FROM doc_words
+  )
+)"""
+
+
+def _lit(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+def _marked() -> str:
+    from evalspark.sources.views import MARKS
+
+    x = "x"
+    for period, place, before, after in MARKS:
+        x = f"(CASE WHEN i % {period} = {place} THEN {_lit(before)} ELSE '' END || {x} || CASE WHEN i % {period} = {place} THEN {_lit(after)} ELSE '' END)"
+    return x
+
+
+V_PAIRS_QUOTED = V_PAIRS_QUOTED.replace("{mark}", _marked())
+
+
+def _chain(x: str, rules: list[tuple[str, str]]) -> str:
+    for pattern, to in rules:
+        x = f"regexp_replace({x}, {_lit(pattern)}, {_lit(to)}, 'g')"
+    return x
+
+
+def treebank_sentences(text: str) -> str:
+    """List of a text's sentences: a blank ends one if stop marks stand before it and a capital or digit behind, and the
+    word before the stop is no abbreviation."""
+    short = "|".join(
+        a.replace(".", "[.]") for a in (
+            "mr mrs ms dr prof rev gen sen rep gov capt lt col sgt st jr sr messrs mt vs inc ltd co corp dept univ no nos vol fig figs eq "
+            "pp eds al approx e.g i.e u.s u.k jan feb mar apr jun jul aug sep sept oct nov dec"
+        ).split()
+    )
+    blank = r"[\x{09}-\x{0D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+    wide = f"'  ' || regexp_replace({text}, {_lit(blank)}, '  ', 'g') || '  '"
+    rules = [
+        (rf"([^\p{{L}}\p{{N}}_.])((?:(?i:{short})|\p{{Lu}})[.]) ", r"\1\2" + "\x02"),
+        (r"""([.?!…]['")\]}»”’]*) ( ['"(\[{«“‘]*[\p{Lu}\p{N}])""", r"\1" + "\x03" + r"\2"),
+        ("\x02", " "),
+    ]
+    return f"list_filter(list_transform(string_split({_chain(wide, rules)}, '\x03'), lambda s: trim(regexp_replace(s, ' +', ' ', 'g'))), lambda s: s <> '')"
+
+
+def treebank_words(sentence: str) -> str:
+    """List of a sentence's tokens."""
+    ends = [
+        (r"([«“‘„]|`+)", r" \1 "),
+        (r'^"', "``"),
+        ("``", " `` "),
+        (r"""([ (\[{<])(?:"|'')""", r"\1 `` "),
+        (r"'([^\P{L}mtsdnMTSDN]|[\p{N}_])([^\p{L}\p{N}_]|$)", r"' \1\2"),
+        (r"'([^\P{L}mtsdnMTSDN]|[\p{N}_])([^\p{L}\p{N}_]|$)", r"' \1\2"),
+        (r"""([^.])[.]([\])}>"'»”’ ]*)$""", r"\1 . \2 "),
+        (r"([:,])(\P{Nd})", r" \1 \2"),
+        (r"([:,])$", r" \1 "),
+        (r"([.][.]+)", r" \1 "),
+        (r"([;@#$%&?!*])", r" \1 "),
+        (r"([\]\[(){}<>])", r" \1 "),
+        (r"([^'])' ", r"\1 ' "),
+        ("--", " -- "),
+        (r"^(.*)$", r" \1 "),
+        (r"([»”’])", r" \1 "),
+        (r"''", " '' "),
+        (r'"', " '' "),
+        (r" +", "  "),
+        (r"([^' ])('[sSmMdD]|') ", r"\1  \2  "),
+        (r"([^' ])('ll|'LL|'re|'RE|'ve|'VE|n't|N'T) ", r"\1  \2  "),
+    ]
+    for two in (("can", "not"), ("d", "'ye"), ("gim", "me"), ("gon", "na"), ("got", "ta"), ("lem", "me"), ("more", "'n")):
+        ends.append((rf"(?i)([^\p{{L}}\p{{N}}_])({two[0]})({two[1]})([^\p{{L}}\p{{N}}_])", r"\1 \2  \3 \4"))
+    ends += [
+        (r"(?i)([^\p{L}\p{N}_])(wan)(na) ", r"\1 \2  \3  "),
+        (r"(?i) ('t)(is|was)([^\p{L}\p{N}_])", r" \1  \2 \3"),
+    ]
+    return f"regexp_extract_all({_chain(sentence, ends)}, '[^ ]+')"
+
+
+def treebank_ctes(src: str) -> str:
+    """CTE ``{src}_treebank`` (pair_id, candidate, reference, c, r): both texts' tokens, sentence by sentence."""
+    return f"""
+{src}_lines AS (
+  SELECT pair_id, side, unnest(s) AS s, generate_subscripts(s, 1) AS place FROM (
+    SELECT pair_id, 0 AS side, {treebank_sentences('candidate')} AS s FROM {src}
+    UNION ALL SELECT pair_id, 1, {treebank_sentences('reference')} FROM {src})
+),
+{src}_words AS (
+  SELECT pair_id, side, count(*) AS n, flatten(list({treebank_words('s')} ORDER BY place)) AS w FROM {src}_lines GROUP BY ALL
+),
+{src}_treebank AS (
+  SELECT p.pair_id, candidate, reference, coalesce(a.n, 0) AS n_c, coalesce(a.w, []) AS c, coalesce(b.w, []) AS r FROM {src} p
+  LEFT JOIN {src}_words a ON a.pair_id = p.pair_id AND a.side = 0 LEFT JOIN {src}_words b ON b.pair_id = p.pair_id AND b.side = 1
+)"""
+
+
+def lcs_ctes(src: str) -> str:
+    """CTE ``lcs(pair_id, lcs, lc, lr)``: longest common subsequence of the ascii tokens, for WITH RECURSIVE.
+
+    The table of a pair is taken in blocks of 120 × 120 tokens, a bit for each reference token.  The rows of a block
+    are one list, whose reduction adds v, v & m (m: the row's places) and the carry of the block on the left; the accumulator
+    is [v, carries].  A block hands v down and its carries to the right, so the recursion runs over anti-diagonals."""
+    full = (1 << 120) - 1
+    total = "(acc[1] + (acc[1] & e[1]) + e[2])"
+    step = f"lambda acc, e: [({total} & {full}::HUGEINT) | (acc[1] & ~e[1]), acc[2] | (({total} >> 120) << e[3]::INT)]"
+    rows = "list_transform(ms, lambda m, i: [m, (coalesce(cin, 0::HUGEINT) >> (i - 1)::INT) & 1, (i - 1)::HUGEINT])"
+    return f"""
+lt AS MATERIALIZED (
+  SELECT pair_id, regexp_extract_all(lower(candidate), '{ASCII}') AS c, regexp_extract_all(lower(reference), '{ASCII}') AS r FROM {src}
+),
+lbits AS (
+  SELECT pair_id, tok, j // 120 AS b, sum(1::HUGEINT << (j % 120)::INT)::HUGEINT AS m
+  FROM (SELECT pair_id, unnest(r) AS tok, generate_subscripts(r, 1) - 1 AS j FROM lt) GROUP BY ALL
+),
+lplaces AS (
+  SELECT pair_id, tok, i, unnest(range(0, (n + 119) // 120)) AS b
+  FROM (SELECT pair_id, unnest(c) AS tok, generate_subscripts(c, 1) - 1 AS i, len(r) AS n FROM lt)
+),
+lmask AS MATERIALIZED (
+  SELECT pair_id, i // 120 AS a, b, list(coalesce(m, 0::HUGEINT) ORDER BY i) AS ms FROM lplaces LEFT JOIN lbits USING (pair_id, tok, b)
+  GROUP BY ALL
+),
+lrun AS (
+  SELECT pair_id, a, b, list_reduce(list_transform(ms, lambda m, i: [m, 0::HUGEINT, (i - 1)::HUGEINT]), {step}, [{full}::HUGEINT, 0::HUGEINT]) AS acc
+  FROM lmask WHERE a = 0 AND b = 0
+  UNION ALL
+  SELECT pair_id, a, b, list_reduce({rows}, {step}, [coalesce(v, {full}::HUGEINT), 0::HUGEINT]) AS acc FROM (
+    SELECT pair_id, a, b, max(v) AS v, max(cin) AS cin FROM (
+      SELECT pair_id, unnest([a + 1, a]) AS a, unnest([b, b + 1]) AS b, unnest([acc[1], NULL]) AS v, unnest([NULL, acc[2]]) AS cin FROM lrun
+    ) GROUP BY ALL
+  ) JOIN lmask USING (pair_id, a, b)
+),
+lcs AS (
+  SELECT pair_id, coalesce(zeros, 0)::BIGINT AS lcs, len(c) AS lc, len(r) AS lr FROM lt LEFT JOIN (
+    SELECT pair_id, sum(120 - bit_count(acc[1])) AS zeros FROM lrun JOIN lt USING (pair_id) WHERE a = (len(c) - 1) // 120 GROUP BY pair_id
+  ) USING (pair_id)
+)"""
+
+
 def f1_sql(o: str, c: str, r: str) -> str:
     p = f"({o}::DOUBLE / greatest({c}, 1))"
     q = f"({o}::DOUBLE / greatest({r}, 1))"
@@ -118,10 +275,10 @@ bleu_s AS (
 )"""
 
 
-def bleu_sql(view_cte: str, src: str) -> str:
+def bleu_sql(view_cte: str, src: str, kind: str = "word") -> str:
     return f"""
 WITH {view_cte},
-{overlap_ctes(src, 'word', [1, 2, 3, 4], 'x')},
+{overlap_ctes(src, kind, [1, 2, 3, 4], 'x')},
 {bleu_select('x_stats')}
 SELECT b.pair_id, v.sno, v.model, b.bleu FROM bleu_s b JOIN {src} v USING (pair_id)"""
 
@@ -132,6 +289,19 @@ SQL["rouge2"] = rouge_n_sql(V_PAIRS_EDIT, "pairs_edit", 2, "rouge2")
 SQL["bleu"] = bleu_sql(V_PAIRS_EDIT, "pairs_edit")
 
 
+_ROUGE_L = f"""
+WITH RECURSIVE {V_PAIRS_EDIT},
+{lcs_ctes('pairs_edit')}
+SELECT v.pair_id, v.sno, v.model, round_even({f1_sql('l.lcs', 'l.lc', 'l.lr')}, 4) AS rouge_l FROM lcs l JOIN pairs_edit v USING (pair_id)"""
+SQL["rouge_l"] = _ROUGE_L
+SQL["rouge_l_blocks"] = _ROUGE_L
+SQL["bleu_treebank"] = bleu_sql(f"{V_PAIRS_QUOTED},\n{treebank_ctes('pairs_quoted')}", "pairs_quoted", "treebank")
+SQL["tokenize_treebank"] = f"""
+WITH {V_PAIRS_QUOTED}, pq AS (SELECT pair_id, candidate, reference FROM pairs_quoted WHERE model = 'm_swap'),
+{treebank_ctes('pq')}
+SELECT pair_id, n_c::BIGINT AS n_sentences, len(c)::BIGINT AS n_words, array_to_string(c, ' ') AS words FROM pq_treebank"""
+
+
 def meteor_ctes(src: str) -> str:
     """CTEs ending in ``met(pair_id, meteor)``."""
     return f"""
@@ -239,6 +409,19 @@ def _pivot_cols(metric_list: list[str]) -> str:
 
 
 SQL["scores"] = f"WITH {V_SCORES} SELECT sno, model, metric, score FROM scores"
+SQL["score_all"] = f"""
+WITH RECURSIVE {V_SCORES},
+{lcs_ctes('pairs_edit')},
+rl AS (SELECT pair_id, round_even({f1_sql('lcs', 'lc', 'lr')}, 4) AS rougel FROM lcs),
+five AS (SELECT wide.*, rougel FROM wide JOIN rl USING (pair_id)),
+rows AS (
+  SELECT pair_id, sno, model, 'ROUGE-1_F1' AS metric, rouge1 AS score FROM five
+  UNION ALL SELECT pair_id, sno, model, 'ROUGE-2_F1', rouge2 FROM five
+  UNION ALL SELECT pair_id, sno, model, 'ROUGE-L_F1', rougel FROM five
+  UNION ALL SELECT pair_id, sno, model, 'BLEU', bleu FROM five
+  UNION ALL SELECT pair_id, sno, model, 'METEOR', meteor FROM five
+)
+SELECT *, CASE WHEN score IS NULL THEN metric || ' could not be computed for this pair' END AS note FROM rows"""
 SQL["assemble_report"] = f"""WITH {V_REPORT},
 per AS (SELECT sno, model, count(*) AS k FROM (SELECT DISTINCT sno, model, metric FROM scores) GROUP BY ALL)
 SELECT p.sno AS SNO, substring(pr.prompt, 1, 70) || '...' AS label,
@@ -470,7 +653,7 @@ SQL["evaluation_states"] = f"""WITH {V_STATUS2},
 ready AS (SELECT evaluation_id FROM wm WHERE status IN ('INITIATED', 'PROCESSING') AND n_requested > 0 AND n_done = n_requested)
 SELECT e.evaluation_id,
   CASE WHEN r.evaluation_id IS NOT NULL THEN 'COMPLETED' ELSE e.status END AS status,
-  CASE WHEN r.evaluation_id IS NOT NULL THEN e.evaluation_id || '/final_metrics.json' END AS final_key
+  CASE WHEN r.evaluation_id IS NOT NULL THEN 'batch_id=0/' || e.evaluation_id END AS final_key
 FROM evaluations e LEFT JOIN ready r USING (evaluation_id)"""
 SQL["classify_outcomes"] = f"""WITH {V_STATUS2},
 resp AS (
@@ -484,6 +667,92 @@ SELECT r.evaluation_id, r.model,
        WHEN x.response IS NULL OR x.response = '' THEN 'EMPTY_RESPONSE' ELSE 'COMPLETED' END AS outcome,
   (coalesce(c.status, '') = 'RECEIVED' AND x.evaluation_id IS NOT NULL AND coalesce(x.response, '') <> '') AS has_response
 FROM req r LEFT JOIN cur c USING (evaluation_id, model) LEFT JOIN resp x USING (evaluation_id, model)"""
+def _again() -> str:
+    from evalspark.sources.views import AGAIN
+
+    return " ".join(f"UNION ALL SELECT evaluation_id, model, event_seq, us + {m * 60_000_000}::BIGINT FROM ev WHERE event_seq % {k} = 0" for k, m in AGAIN)
+
+
+SQL["drop_redelivered"] = f"""WITH RECURSIVE {V_STATUS},
+ev AS (SELECT evaluation_id, model, event_seq, epoch_us(event_time) AS us FROM status_events),
+d AS (SELECT evaluation_id, model, event_seq, us FROM ev {_again()}),
+kept AS (
+  SELECT evaluation_id, model, event_seq, min(us) AS us FROM d GROUP BY ALL
+  UNION ALL
+  SELECT d.evaluation_id, d.model, d.event_seq, min(d.us) FROM kept k
+  JOIN d ON d.event_seq = k.event_seq AND d.evaluation_id = k.evaluation_id AND d.model = k.model AND d.us > k.us + 3600000000 GROUP BY ALL
+)
+SELECT evaluation_id, model, event_seq, us AS event_us FROM kept"""
+SQL["route_events"] = f"""WITH {V_STATUS2}
+SELECT s.evaluation_id, model, event_seq,
+       CASE WHEN e.created_at BETWEEN s.event_time - INTERVAL 20 DAY AND s.event_time THEN 'accepted' ELSE 'quarantined' END AS route
+FROM status_events s LEFT JOIN (SELECT * FROM evaluations WHERE evaluation_id::BIGINT % 3 <> 0) e USING (evaluation_id)"""
+_READY = "ready AS (SELECT evaluation_id FROM wm WHERE status IN ('INITIATED', 'PROCESSING') AND n_requested > 0 AND n_done = n_requested)"
+_OUTCOMES = """
+resp AS (
+  SELECT l.evaluation_id, l.model, d.text AS response FROM
+    (SELECT evaluation_id, model, max(event_seq) AS doc_id FROM status_events WHERE status = 'RECEIVED' GROUP BY ALL) l
+  JOIN documents d USING (doc_id)
+),
+outcome AS (
+  SELECT r.evaluation_id, r.model, x.response,
+    CASE WHEN coalesce(c.status, '') <> 'RECEIVED' THEN 'SKIPPED_NOT_RECEIVED'
+         WHEN x.evaluation_id IS NULL THEN 'ERROR_PROCESSING_S3_RESPONSE'
+         WHEN x.response IS NULL OR x.response = '' THEN 'EMPTY_RESPONSE' ELSE 'COMPLETED' END AS outcome
+  FROM req r JOIN ready USING (evaluation_id) LEFT JOIN cur c USING (evaluation_id, model) LEFT JOIN resp x USING (evaluation_id, model)
+)"""
+SQL["completion_ledger"] = f"""WITH {V_STATUS2}, {_READY}, {_OUTCOMES},
+lost AS (SELECT 'lost-' || conv_id AS evaluation_id FROM conversations WHERE turn = 0),
+rows AS (
+  SELECT evaluation_id, 'COMPLETED' AS status, 'batch_id=0/' || evaluation_id AS final_key, count(*)::INT AS n_models,
+         count(*) FILTER (WHERE outcome = 'COMPLETED')::INT AS n_scored, NULL::VARCHAR AS error_message, evaluation_id AS opens
+  FROM outcome GROUP BY evaluation_id
+  UNION ALL
+  SELECT evaluation_id, 'FAILED', NULL, 0, 0, 'Overall Calculation Failure: no evaluation record', NULL FROM lost
+)
+SELECT *, count(*) OVER () AS n_ready, count(*) FILTER (WHERE status = 'COMPLETED') OVER () AS n_completed,
+       count(*) FILTER (WHERE status = 'FAILED') OVER () AS n_failed FROM rows"""
+SQL["final_documents"] = f"""WITH {V_STATUS2}, {_READY}, {_OUTCOMES},
+toks AS (
+  SELECT o.*, d.text AS reference, regexp_extract_all(lower(o.response), '{ASCII}') AS c, regexp_extract_all(lower(d.text), '{ASCII}') AS r
+  FROM outcome o LEFT JOIN documents d ON CAST(d.doc_id AS VARCHAR) = o.evaluation_id
+),
+pieces AS (
+  SELECT evaluation_id, model, unnest(c) AS tok, 1 AS cc, 0 AS rc FROM toks WHERE outcome = 'COMPLETED'
+  UNION ALL SELECT evaluation_id, model, unnest(r), 0, 1 FROM toks WHERE outcome = 'COMPLETED'
+),
+shared AS (
+  SELECT evaluation_id, model, sum(least(c, r)) AS o FROM
+    (SELECT evaluation_id, model, tok, sum(cc) AS c, sum(rc) AS r FROM pieces GROUP BY ALL) GROUP BY ALL
+)
+SELECT t.evaluation_id, t.model, 'question ' || t.evaluation_id AS prompt, length(reference)::INT AS reference_chars,
+       e.requested_models[len(e.requested_models)] AS context, outcome AS status, CASE WHEN outcome = 'COMPLETED' THEN length(response) END::INT AS response_chars,
+       CASE outcome WHEN 'ERROR_PROCESSING_S3_RESPONSE' THEN 'no response object at ' || t.evaluation_id || '/' || replace(lower(t.model), ' ', '_') || '_response.json'
+         WHEN 'EMPTY_RESPONSE' THEN 'response object was empty or malformed' END AS error,
+       CASE WHEN outcome = 'SKIPPED_NOT_RECEIVED' THEN 'response for ' || t.model || ' was not marked as RECEIVED' END AS message,
+       CASE WHEN outcome = 'COMPLETED' AND reference IS NOT NULL THEN round_even({f1_sql('coalesce(s.o, 0)', 'len(c)', 'len(r)')}, 4) END AS rouge1,
+       CASE WHEN outcome = 'COMPLETED' THEN 5 ELSE 0 END AS n_metrics
+FROM toks t JOIN evaluations e USING (evaluation_id) LEFT JOIN shared s USING (evaluation_id, model)"""
+SQL["response_store"] = """
+SELECT 'doc-' || doc_id AS evaluation_id, CASE WHEN length(text) % 2 = 0 THEN 'model_one' ELSE 'two' END AS model_key,
+       sha256(CASE WHEN length(text) % 5 = 0 THEN array_to_string(list_reverse(string_split(text, '')), '') ELSE text END) AS response_sha256,
+       (length(text) % 5 = 0)::BIGINT AS batch_id
+FROM documents WHERE length(text) % 3 <> 0"""
+SQL["call_ledger"] = f"""WITH {V_REQUESTS},
+work AS (
+  SELECT evaluation_id, model, prompt, length(prompt) AS n,
+         sha256(evaluation_id || chr(31) || model || chr(31) || sha256(prompt)) AS call_id
+  FROM (SELECT evaluation_id, prompt, unnest({_MODELS_SQL}) AS model FROM evals)
+),
+made AS (SELECT *, n % 11 = 0 AS refused, n % 7 = 0 AS busy FROM work)
+SELECT call_id, evaluation_id, model, CASE WHEN refused OR busy THEN 'FAILED' ELSE 'RECEIVED' END AS status,
+       CASE WHEN NOT (refused OR busy) THEN model || ' ' || n END AS response,
+       CASE WHEN refused THEN 'refused' WHEN busy THEN 'busy' END AS error,
+       CASE WHEN refused THEN 1 WHEN busy THEN 3 WHEN n % 3 = 0 THEN 2 ELSE 1 END AS attempts, 1::BIGINT AS n_calls,
+       CASE WHEN refused OR busy THEN 'LLMResponseFailed' ELSE 'LLMResponseReceived' END AS detail_type,
+       CASE WHEN NOT (refused OR busy) THEN evaluation_id || '/' || replace(lower(model), ' ', '_') || '_response.json' END AS response_key,
+       ('0x' || substr(call_id, 1, 15))::BIGINT AS event_seq
+FROM made"""
 SQL["final_metrics_doc"] = f"""WITH {V_REPORT}
 SELECT CAST(sno AS VARCHAR) AS evaluation_id, model, 'COMPLETED' AS status, metric, round_even(avg(score), 9) AS score
 FROM scores GROUP BY ALL"""
@@ -517,3 +786,80 @@ SQL["distinct_models"] = """
 SELECT event_type AS model, arg_min(user_id, event_id) AS first_sno, min(event_id) AS first_seen
 FROM events WHERE NOT (event_type = 'signup' AND event_id % 11 = 3) GROUP BY 1"""
 SQL["display_metrics"] = f"WITH {V_REPORT} SELECT DISTINCT metric FROM scores WHERE score IS NOT NULL AND metric <> 'generated_text'"
+
+
+# --- judge criteria -------------------------------------------------------------------------------
+
+V_JUDGE_CASES = """
+turns AS (
+  SELECT conv_id, turn, role, text, lead(role) OVER w AS next_role, lead(text) OVER w AS next_text,
+         lag(role) OVER w AS prev_role, lag(text) OVER w AS prev_text
+  FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)
+),
+asked AS (
+  SELECT conv_id || '-' || turn AS evaluation_id, text AS prompt, CASE WHEN next_role = 'assistant' THEN next_text END AS reference_answer,
+         CASE WHEN prev_role = 'assistant' THEN prev_text END AS context
+  FROM turns WHERE role = 'user'
+),
+halves AS (
+  SELECT *, list_filter(string_split(coalesce(reference_answer, ''), ' '), lambda x: x <> '') AS rw,
+         list_filter(string_split(coalesce(context, ''), ' '), lambda x: x <> '') AS cw FROM asked
+),
+cases AS (
+  SELECT evaluation_id, 'm_drop7' AS model, prompt, reference_answer, context,
+         array_to_string(list_filter(rw, lambda x, i: i % 7 <> 0), ' ') AS response FROM halves
+  UNION ALL SELECT evaluation_id, 'm_echo', prompt, reference_answer, context, prompt FROM halves
+  UNION ALL SELECT evaluation_id, 'm_mixed', prompt, reference_answer, context,
+         array_to_string(cw[len(cw) // 2 + 1:] || rw[1:len(rw) // 2], ' ') FROM halves
+)"""
+
+_WORDS_OF = "regexp_extract_all(lower({}), '[a-z0-9]+')"
+
+
+def _request(criterion: str, units: str, against: str) -> str:
+    return f"SELECT evaluation_id, model, '{criterion}' AS criterion, {units} AS units, {against} AS against FROM cases"
+
+
+def _whole(c: str) -> str:
+    return f"CASE WHEN regexp_matches(coalesce({c}, ''), '[^\\x00-\\x20]') THEN [{c}] ELSE [] END"
+
+
+def _in_sentences(c: str) -> str:
+    return f"CASE WHEN {c} IS NULL THEN [] ELSE {treebank_sentences(c)} END"
+
+
+SQL["judge_scores"] = f"""
+WITH {V_JUDGE_CASES},
+req AS (
+  {_request("coherence", _whole("response"), "NULL::VARCHAR")}
+  UNION ALL {_request("hallucination", _whole("context"), "response")}
+  UNION ALL {_request("answer_relevancy", _in_sentences("response"), "prompt")}
+  UNION ALL {_request("faithfulness", _in_sentences("response"), "context")}
+  UNION ALL {_request("contextual_relevancy", _in_sentences("context"), "prompt")}
+  UNION ALL {_request("contextual_recall", _in_sentences("reference_answer"), "context")}
+),
+noted AS (
+  SELECT *, CASE WHEN len(units) = 0 THEN 'nothing to judge'
+    WHEN criterion <> 'coherence' AND NOT regexp_matches(coalesce(against, ''), '[^\\x00-\\x20]') THEN 'nothing to judge against' END AS note FROM req
+),
+unit AS (
+  SELECT evaluation_id, model, criterion, unnest(units) AS u, against FROM noted WHERE note IS NULL
+),
+w AS (
+  SELECT evaluation_id, model, criterion, {_WORDS_OF.format("u")} AS uw, {_WORDS_OF.format("coalesce(against, '')")} AS aw FROM unit
+),
+o AS (
+  SELECT evaluation_id, model, criterion, uw, list_distinct(CASE WHEN criterion = 'hallucination' THEN aw ELSE uw END) AS own,
+         CASE WHEN criterion = 'hallucination' THEN uw ELSE aw END AS other FROM w
+),
+v AS (
+  SELECT evaluation_id, model, criterion, CASE WHEN len(own) = 0 THEN NULL
+    WHEN criterion = 'coherence' THEN 10.0 * len(list_distinct(uw)) / len(uw) / 10.0
+    ELSE ((2 * len(list_intersect(own, other)) >= len(own)) <> (criterion = 'hallucination'))::INT::DOUBLE END AS x FROM o
+),
+agg AS (SELECT evaluation_id, model, criterion, avg(x) AS score, count(x) AS n FROM v GROUP BY ALL)
+SELECT r.evaluation_id, r.model, r.criterion, round_even(score, 9) AS score, len(units)::INT AS n_units, coalesce(n, 0)::BIGINT AS n_verdicts,
+       CASE r.criterion WHEN 'hallucination' THEN score <= 0.5 WHEN 'answer_relevancy' THEN score >= 0.5 WHEN 'faithfulness' THEN score >= 0.5
+         WHEN 'contextual_relevancy' THEN score >= 0.7 WHEN 'contextual_recall' THEN score >= 0.7 END AS passed,
+       coalesce(note, CASE WHEN score IS NULL THEN 'no verdict' END) AS note
+FROM noted r LEFT JOIN agg USING (evaluation_id, model, criterion)"""

@@ -3,16 +3,21 @@
 pairs          documents vs benchmark items: sno = doc_id mod (number of items), 5 models per item
 pairs_edit     each whole document (word tokens) is the reference; three deterministic edits of it
                are the candidates of models ``m_drop2``, ``m_drop7`` and ``m_swap``
+pairs_quoted   each whole document with quotes, brackets, contractions and dashes put in by place; the same
+               three edits, on words between blanks
 report_scores  events as score rows of a result report: prompt = user, model = event type, ten metrics and
                ``generated_text``; with null scores, ties, duplicates and a metric that one model lacks
 prompts        (sno, prompt) for ``pairs_edit``: the document text
 requests       user turns of conversations with the next assistant turn as reference answer and the
                previous assistant turn as context
 status_events  events as model-response events of evaluation = user, model = event type
+deliveries     status_events, some of them again after minutes or hours
 evaluations    one per user: requested models (3-5 event types), status by user
 responses      response objects: the document whose id is the latest received event of (user, type)
 verdicts       labels as judge verdicts (quality → faithfulness, toxic → toxicity); evaluation = lang,
                model = source
+judge_cases    requests with three answers each: the reference answer without every seventh word, the prompt
+               itself, and the context's second half with the reference answer's first half
 vector_pairs   each embedding against the lowest-id embedding of its label
 """
 
@@ -74,6 +79,28 @@ def pairs_edit(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Fixed values: (period, place, before, after): what ``pairs_quoted`` puts around every so manyeth word of a text.
+MARKS = [(9, 2, '"', ""), (9, 6, "", '"'), (14, 5, "'", "'"), (11, 4, "", "'s"), (13, 7, "can't ", ""), (17, 3, "(", ")"),
+         (19, 9, "", " --"), (23, 11, "Dr. ", ""), (29, 8, "we'll ", "..."), (31, 12, "cannot ", "?"), (37, 13, "", "; gonna")]
+
+
+def pairs_quoted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def marked(x, i):
+        for period, place, before, after in MARKS:
+            x = F.when((i + 1) % period == place, F.concat(F.lit(before), x, F.lit(after))).otherwise(x)
+        return x
+
+    raw = F.array_remove(F.split("text", " "), "")
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.transform(raw, marked).alias("r"))
+    return docs.select("doc_id", "r", F.explode(edit_candidates(F.col("r"))).alias("e")).select(
+        F.concat(F.col("doc_id").cast("string"), F.lit("-"), F.col("e.model")).alias("pair_id"),
+        F.col("doc_id").alias("sno"),
+        F.col("e.model").alias("model"),
+        F.array_join("e.toks", " ").alias("candidate"),
+        F.array_join("r", " ").alias("reference"),
+    )
+
+
 def report_scores(spark: SparkSession, sf_dir: str, with_place: bool = False) -> DataFrame:
     """(sno, model, metric, score[, place]): a report's long scores, one per event, without scoring any
     text; ``place`` (the event's id) is the row's place in the report."""
@@ -161,6 +188,18 @@ def status_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Fixed values: (every so manyeth event, minutes later): the re-deliveries of ``deliveries``.
+AGAIN = [(2, 10), (3, 50), (4, 70), (5, 100), (6, 125), (7, 3000)]
+
+
+def deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = status_events(spark, sf_dir)
+    later = F.array(F.lit(0), *[F.when(F.pmod(F.col("event_seq"), F.lit(k)) == 0, F.lit(m)) for k, m in AGAIN])
+    all_of = ev.select("*", F.explode(F.array_compact(later)).alias("after"))
+    at = F.timestamp_micros(F.unix_micros(F.col("event_time").cast("timestamp")) + F.col("after").cast("long") * 60_000_000)
+    return all_of.withColumn("event_time", at).drop("after")
+
+
 def requested_for_user(user_id):
     """3-5 event types per user, chosen by user_id mod 3."""
     k = F.pmod(user_id, F.lit(3))
@@ -205,6 +244,22 @@ def verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).select("evaluation_id", "model", "v.criterion", "unit_no", "v.verdict")
 
 
+def judge_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def words(c):
+        return F.array_remove(F.split(F.coalesce(c, F.lit("")), " "), "")
+
+    ref, ctx = words(F.col("reference_answer")), words(F.col("context"))
+    half = F.floor(F.size(ctx) / 2).cast("int")
+    mixed = F.concat(F.slice(ctx, half + 1, F.size(ctx)), F.slice(ref, 1, F.floor(F.size(ref) / 2).cast("int")))
+    answers = F.array(
+        F.struct(F.lit("m_drop7").alias("model"), F.array_join(F.filter(ref, lambda x, i: (i + 1) % 7 != 0), " ").alias("response")),
+        F.struct(F.lit("m_echo").alias("model"), F.col("prompt").alias("response")),
+        F.struct(F.lit("m_mixed").alias("model"), F.array_join(mixed, " ").alias("response")),
+    )
+    req = requests(spark, sf_dir)
+    return req.select("evaluation_id", "prompt", "reference_answer", "context", F.inline(answers))
+
+
 def vector_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Anchors first (one row per label: min id, then its vector), then every embedding joins that
     table on label.  It has one row per label, so AQE broadcasts it when small; beyond the threshold
