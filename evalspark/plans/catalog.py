@@ -725,7 +725,7 @@ def q_judge_scores(spark, sf):
     from evalspark.operators.judging import judge_cases
 
     s = judge_cases(views.judge_cases(spark, sf), lexical_judge)
-    return s.withColumn("score", _r6("score")).withColumn("n_verdicts", s.n_verdicts.cast("long"))
+    return s.withColumns({"score": _r6("score"), "n_verdicts": s.n_verdicts.cast("long"), "passed": s.passed.cast("int")})
 
 
 @register("rubric_score")

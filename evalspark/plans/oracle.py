@@ -859,7 +859,7 @@ v AS (
 ),
 agg AS (SELECT evaluation_id, model, criterion, avg(x) AS score, count(x) AS n FROM v GROUP BY ALL)
 SELECT r.evaluation_id, r.model, r.criterion, round_even(score, 9) AS score, len(units)::INT AS n_units, coalesce(n, 0)::BIGINT AS n_verdicts,
-       CASE r.criterion WHEN 'hallucination' THEN score <= 0.5 WHEN 'answer_relevancy' THEN score >= 0.5 WHEN 'faithfulness' THEN score >= 0.5
-         WHEN 'contextual_relevancy' THEN score >= 0.7 WHEN 'contextual_recall' THEN score >= 0.7 END AS passed,
+       (CASE r.criterion WHEN 'hallucination' THEN score <= 0.5 WHEN 'answer_relevancy' THEN score >= 0.5 WHEN 'faithfulness' THEN score >= 0.5
+         WHEN 'contextual_relevancy' THEN score >= 0.7 WHEN 'contextual_recall' THEN score >= 0.7 END)::INT AS passed,
        coalesce(note, CASE WHEN score IS NULL THEN 'no verdict' END) AS note
 FROM noted r LEFT JOIN agg USING (evaluation_id, model, criterion)"""
