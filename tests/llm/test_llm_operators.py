@@ -499,7 +499,7 @@ def test_warc_round_trip(spark, tmp_path):
     for i, _, h in rows:
         raw = (h or "").encode()
         same = [j for j, _, x in rows if (x or "") == (h or "") and j is not None]
-        revisit = len(raw) >= 100 and i is not None and min(same) < i
+        revisit = len(raw) >= 100 and bool(same) and (i is None or min(same) < i)
         exp.append((i, len(raw), hashlib.sha256(raw).hexdigest(), "revisit" if revisit else "response", min(same) if revisit else None, None))
     cols = ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "error")
     assert sorted(map(str, (tuple(r[c] for c in cols) for r in got))) == sorted(map(str, exp))
