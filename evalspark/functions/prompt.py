@@ -9,54 +9,45 @@ every template line is indented with spaces only).
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from evalspark.functions.scalar import has_visible_text
 
-INDENT = " " * 12
-
-# The two prompt templates, line by line as written (before de-indenting).
+# The two prompt templates as written (before de-indenting).
 # ``{context}`` and ``{question}`` mark where the values go.
-TEMPLATE_WITH_CONTEXT = [
-    "",
-    "Use the following context to answer the question:",
-    "<context>",
-    "{context}",
-    "</context>",
-    "",
-    "<question>",
-    "{question}",
-    "</question>",
-    "",
-    "Your answer should be based solely on the provided context. If the answer cannot be found in the context, state that.",
-    "Answer:",
-    "",
-]
-TEMPLATE_QUESTION_ONLY = [
-    "",
-    "Answer the following question:",
-    "<question>",
-    "{question}",
-    "</question>",
-    "",
-    "Answer:",
-    "",
-]
-
-
-def _fill(template: list[str], values: dict[str, Column]) -> Column:
-    """Concatenate template lines; non-empty lines (and the last one) carry the 12-blank indent."""
-    parts: list[Column] = []
-    last = len(template) - 1
-    for i, line in enumerate(template):
-        indent = INDENT if (line or i == last) and i != 0 else ""
-        if line.startswith("{") and line.endswith("}"):
-            parts += [F.lit(indent), F.coalesce(values[line[1:-1]], F.lit("None"))]
-        else:
-            parts.append(F.lit(indent + line))
-        if i != last:
-            parts.append(F.lit("\n"))
+TEMPLATE_WITH_CONTEXT = """
+            Use the following context to answer the question:
+            <context>
+            {context}
+            </context>
+
+            <question>
+            {question}
+            </question>
+
+            Your answer should be based solely on the provided context. If the answer cannot be found in the context, state that.
+            Answer:
+            """
+TEMPLATE_QUESTION_ONLY = """
+            Answer the following question:
+            <question>
+            {question}
+            </question>
+
+            Answer:
+            """
+
+
+def template_parts(template: str) -> list[tuple[str, bool]]:
+    """The template in pieces: (text, False) as it is, (name, True) where a value goes."""
+    return [(x, k % 2 == 1) for k, x in enumerate(re.split(r"\{(\w+)\}", template))]
+
+
+def _fill(template: str, values: dict[str, Column]) -> Column:
+    parts = [F.coalesce(values[x], F.lit("None")) if is_value else F.lit(x) for x, is_value in template_parts(template)]
     return F.concat(*parts)
 
 

@@ -469,7 +469,7 @@ SQL["prompt_positions"] = f"WITH {V_REPORT} SELECT sno, (row_number() OVER (ORDE
 
 # --- requests family ------------------------------------------------------------------------------
 
-from evalspark.functions.prompt import INDENT, TEMPLATE_QUESTION_ONLY, TEMPLATE_WITH_CONTEXT  # noqa: E402
+from evalspark.functions.prompt import TEMPLATE_QUESTION_ONLY, TEMPLATE_WITH_CONTEXT  # noqa: E402
 from evalspark.functions.scalar import PY_WHITESPACE_CLASS  # noqa: E402
 from evalspark.operators.requests import DEFAULT_MODELS  # noqa: E402
 
@@ -515,18 +515,11 @@ def _sql_lit(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
-def _fill_sql(template: list[str], values: dict[str, str]) -> str:
-    parts = []
-    last = len(template) - 1
-    for i, line in enumerate(template):
-        indent = INDENT if (line or i == last) and i != 0 else ""
-        if line.startswith("{") and line.endswith("}"):
-            parts.append(_sql_lit(indent) + " || coalesce(" + values[line[1:-1]] + ", 'None')")
-        else:
-            parts.append(_sql_lit(indent + line))
-        if i != last:
-            parts.append("chr(10)")
-    return " || ".join(parts)
+def _fill_sql(template: str, values: dict[str, str]) -> str:
+    text = _sql_lit(template)
+    for name, column in values.items():
+        text = text.replace("{" + name + "}", f"' || coalesce({column}, 'None') || '")
+    return text
 
 
 _VISIBLE = f"(context IS NOT NULL AND length(regexp_replace(context, '{PY_WHITESPACE_CLASS}', '', 'g')) > 0)"

@@ -7,17 +7,28 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from evalspark.functions.prompt import INDENT, TEMPLATE_QUESTION_ONLY, TEMPLATE_WITH_CONTEXT, format_prompt
+from evalspark.functions.prompt import TEMPLATE_QUESTION_ONLY, TEMPLATE_WITH_CONTEXT, format_prompt
 from evalspark.functions.scalar import parse_model_list, response_key
 from evalspark.operators import requests as rq
 
 
 def expected_prompt(question, context):
-    """The fixed template lines, indented, filled and de-indented by the standard library."""
-    lines = TEMPLATE_WITH_CONTEXT if (context or "").strip() else TEMPLATE_QUESTION_ONLY
-    text = "\n".join(INDENT + x if x or i == len(lines) - 1 else x for i, x in enumerate(lines))
+    """The template filled by the standard library, then de-indented by it."""
+    template = TEMPLATE_WITH_CONTEXT if (context or "").strip() else TEMPLATE_QUESTION_ONLY
     values = {"context": context, "question": question}
-    return textwrap.dedent(re.sub(r"\{(context|question)\}", lambda m: values[m[1]], text))
+    return textwrap.dedent(re.sub(r"\{(context|question)\}", lambda m: values[m[1]], template))
+
+
+def test_literal_prompts(spark):
+    rows = [("Why?", "Because."), ("Why?", None), ("a\n    b", " ")]
+    got = [r.f for r in spark.createDataFrame(rows, "q string, c string").select(format_prompt("q", "c").alias("f")).collect()]
+    assert got[0] == (
+        "\nUse the following context to answer the question:\n<context>\nBecause.\n</context>\n\n<question>\nWhy?\n</question>\n\n"
+        "Your answer should be based solely on the provided context. If the answer cannot be found in the context, state that.\nAnswer:\n"
+    )
+    assert got[1] == "\nAnswer the following question:\n<question>\nWhy?\n</question>\n\nAnswer:\n"
+    pad = " " * 8
+    assert got[2] == f"\n{pad}Answer the following question:\n{pad}<question>\n{pad}a\nb\n{pad}</question>\n\n{pad}Answer:\n"
 
 
 EDGE_CONTEXTS = [None, "", "   ", "\t", " ", " \t  ", "plain context"]
