@@ -31,20 +31,33 @@ REPORT_SCHEMA = StructType(
 
 # --- report in / out -----------------------------------------------------------------------------
 
-def read_report(spark, path: str) -> DataFrame:
-    """Report file(s): a JSON array of {SNO, prompt, models{model{metric: score}}} (A2).
+def read_report(spark, path: str, lines: bool = False) -> DataFrame:
+    """Report file(s): a JSON array of {SNO, prompt, models{model{metric: score}}} (A2); with ``lines`` one
+    object per line, as ``write_report`` leaves them.
 
     Scores are read as text (they may be text); a missing path gives an empty table, as the dashboard
-    shows "no data"; any other failure is raised, and records that are no JSON are dropped.
+    shows "no data"; any other failure is raised.  Records that are no JSON are left out; ``broken_reports`` shows them.
     """
     try:
-        return spark.read.schema(REPORT_SCHEMA).option("multiLine", True).option("mode", "DROPMALFORMED").json(path)
+        return spark.read.schema(REPORT_SCHEMA).option("multiLine", not lines).option("mode", "DROPMALFORMED").json(path)
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], REPORT_SCHEMA)
 
 
+def broken_reports(spark, path: str) -> DataFrame:
+    """(path, text, SNO) of the report files, or records of them, that ``read_report`` drops because they are no JSON."""
+    try:
+        schema = StructType([*REPORT_SCHEMA.fields, StructField("_broken", StringType())])
+        raw = spark.read.schema(schema).option("multiLine", True).option("columnNameOfCorruptRecord", "_broken").json(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], "path string, text string, SNO long")
+    return raw.where(F.col("_broken").isNotNull()).select(F.col("_metadata.file_path").alias("path"), F.col("_broken").alias("text"), "SNO")
+
+
 def assemble_report(scores: DataFrame, prompts: DataFrame | None = None) -> DataFrame:
     """Long scores → one row per prompt with ``models map<model, map<metric, score text>>``.
 
@@ -63,6 +76,7 @@ def assemble_report(scores: DataFrame, prompts: DataFrame | None = None) -> Data
 
 
 def write_report(report: DataFrame, path: str) -> None:
+    """One JSON object per line; read them with ``read_report(..., lines=True)``."""
     report.write.mode("overwrite").json(path)
 
 

@@ -172,6 +172,31 @@ def q_flatten_report(spark, sf):
     return report.coerce_scores(report.flatten_report(_report(spark, sf))).select("sno", "model", "metric", "score")
 
 
+@register("read_report")
+def q_read_report(spark, sf):
+    from uuid import uuid4
+
+    from evalspark.operators import report
+    from evalspark.session import checkpoint_dir
+
+    path = f"{checkpoint_dir(spark).rstrip('/')}/report-{uuid4().hex}"
+    report.write_report(_report(spark, sf), path)
+    return report.coerce_scores(report.flatten_report(report.read_report(spark, path, lines=True))).select("sno", "model", "metric", "score")
+
+
+@register("resolve_label")
+def q_resolve_label(spark, sf):
+    from pyspark.sql import functions as F
+
+    from evalspark.operators import report
+
+    prompts = views.prompts(spark, sf)
+    chosen = report.prompt_labels(prompts.where(F.col("sno") % 3 == 0)).select("label").unionByName(
+        prompts.where(F.col("sno") % 5 == 0).select(F.concat(F.lit("unknown "), F.col("sno").cast("string")).alias("label"))
+    )
+    return report.resolve_label(chosen, report.label_index(prompts)).select("label", "sno")
+
+
 @register("coerce_score")
 def q_coerce_score(spark, sf):
     from pyspark.sql import functions as F
@@ -360,6 +385,28 @@ def q_initiate(spark, sf):
     )
 
 
+@register("initiated_events")
+def q_initiated_events(spark, sf):
+    from pyspark.sql import functions as F
+
+    from evalspark.operators import requests as rq
+
+    e = rq.initiated_events(_initiated(spark, sf))
+    return e.withColumn("selected_llms", F.array_join("selected_llms", ","))
+
+
+@register("model_list_errors")
+def q_model_list_errors(spark, sf):
+    from pyspark.sql import functions as F
+
+    from evalspark.operators import requests as rq
+
+    # every other batch names no model
+    models = F.when(F.length("batch_id") % 2 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("m")))
+    parsed = rq.parse_requests(views.request_bodies(spark, sf), "body", ["batch_id"])
+    return rq.validate_requests(parsed, models).select("batch_id", "item_index", "error")
+
+
 @register("fan_out")
 def q_fan_out(spark, sf):
     from evalspark.operators import requests as rq

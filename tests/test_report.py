@@ -136,3 +136,18 @@ def test_lower_is_better_aliases_and_first_seen(spark):
     assert first == {("b", 2, 1), ("a", 1, 2)}
     assert {(r.sno, r.prompt) for r in report.prompt_text(df, "place").collect()} == {(1, "p1"), (2, "p2")}
     assert {(r.sno, r.prompt) for r in report.prompt_text(df).collect()} == {(1, "p1"), (2, "p0")}
+
+
+def test_broken_report_files_are_shown(spark, tmpdir_path):
+    import os
+
+    from evalspark.operators.report import broken_reports, read_report
+
+    with open(os.path.join(tmpdir_path, "good.json"), "w") as f:
+        f.write('[{"SNO": 1, "prompt": "p", "models": {"A": {"BLEU": "0.5"}}}]')
+    with open(os.path.join(tmpdir_path, "bad.json"), "w") as f:
+        f.write('[{"SNO": 2, "prompt"')
+    assert [r.SNO for r in read_report(spark, tmpdir_path).collect()] == [1]
+    shown = broken_reports(spark, tmpdir_path).collect()
+    assert [os.path.basename(r.path) for r in shown] == ["bad.json"] and shown[0].text.startswith('[{"SNO": 2')
+    assert broken_reports(spark, os.path.join(tmpdir_path, "none")).count() == 0
