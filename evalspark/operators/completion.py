@@ -71,19 +71,19 @@ def complete_batch(
     Documents are scored once: the state rows are made from the written ones.
     """
     from evalspark.plans.flows import score
-    from evalspark.session import materialize
+    from evalspark.session import written
 
     spark = ready.sparkSession
     if _exists(spark, _folder(path, "ledger", batch_id) + "/_SUCCESS"):
         return False
-    ready = materialize(ready.select("evaluation_id").distinct())
+    ready = written(ready.select("evaluation_id").distinct())  # a table of known size; its plan is done with
     write_final_metrics(score(ready, withmap, responses, extra_scores)["documents"], _folder(path, "documents"), batch_id)
     documents = spark.read.schema(DOCUMENT_SCHEMA).json(_folder(path, "documents", batch_id))
     now = datetime.now(timezone.utc)
     states = state_rows(ready, withmap, documents, batch_id, now)
     states.write.mode("overwrite").parquet(_folder(path, "states", batch_id))
-    written = spark.read.schema(STATE_SCHEMA).parquet(_folder(path, "states", batch_id))
-    entry = written.agg(
+    stored = spark.read.schema(STATE_SCHEMA).parquet(_folder(path, "states", batch_id))
+    entry = stored.agg(
         F.count("*").alias("n_ready"),
         F.count(F.when(F.col("status") == COMPLETED, 1)).alias("n_completed"),
         F.count(F.when(F.col("status") == FAILED, 1)).alias("n_failed"),

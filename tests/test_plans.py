@@ -2,6 +2,8 @@
 
 import re
 
+from pyspark.sql import functions as F
+
 from conftest import SF_SMALL
 from evalspark.operators import status as st
 from evalspark.operators.overlap import bleu
@@ -81,3 +83,16 @@ def test_requests_of_sparse_turns_lose_no_answer(spark, tmpdir_path):
     spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmpdir_path}/conversations.parquet")
     got = {(r.conv_id, r.turn): (r.reference_answer, r.context) for r in views.requests(spark, tmpdir_path).collect()}
     assert got == {(1, 0): ("a", None), (1, 9): (None, "a"), (2, 0): (None, None)}
+
+
+def test_a_checkpointed_join_does_not_raise_the_number_of_partitions(spark, tmpdir_path):
+    from evalspark.operators import overlap
+    from evalspark.session import materialize
+
+    ids = spark.range(2000).select(F.col("id").cast("string").alias("id"))
+    for t in "abc":
+        ids.write.parquet(f"{tmpdir_path}/{t}")
+    a, b, c = (spark.read.parquet(f"{tmpdir_path}/{t}") for t in "abc")
+    few = materialize(a.join(b, "id").join(c, "id"))  # Spark's estimate: the product of three tables
+    pairs = few.select(F.col("id").alias("pair_id"), F.lit("x").alias("candidate"), F.lit("y").alias("reference"))
+    assert overlap.pair_partitions(pairs) == overlap.PARTITIONS_PER_SHUFFLE_PARTITION * 4
