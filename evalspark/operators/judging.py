@@ -54,13 +54,15 @@ def _visible(c: Column) -> Column:
 def unit_requests(cases: DataFrame, criteria: Sequence[Criterion] = CRITERIA, keys: Sequence[str] = KEYS) -> DataFrame:
     """One request per (case, criterion): keys, criterion, criteria_text, units array<string>, against, note.
 
-    ``cases`` has the keys and the columns the criteria name.  Every text is split into sentences once per use, by
-    built-in expressions.  A request that cannot be judged has a note: its units or its other text are missing or blank.
+    ``cases`` has the keys and the columns the criteria name.  Every text is split into sentences once, by
+    built-in expressions, however many criteria use them.  A request that cannot be judged has a note: its units or its other text are missing or blank.
     """
     entries = []
+    split = {c.units_of: f"_units_{i}" for i, c in enumerate(criteria) if not c.whole}
+    cases = cases.select("*", *[sentences(column).alias(name) for column, name in split.items()])
     for c in criteria:
         own = F.col(c.units_of)
-        units = F.when(_visible(own), F.array(own)).otherwise(F.array().cast("array<string>")) if c.whole else sentences(own)
+        units = F.when(_visible(own), F.array(own)).otherwise(F.array().cast("array<string>")) if c.whole else F.col(split[c.units_of])
         other = F.col(c.against) if c.against else F.lit(None).cast("string")
         entries.append(
             F.struct(F.lit(c.name).alias("criterion"), F.lit(c.text).alias("criteria_text"), units.alias("units"), other.alias("against"),

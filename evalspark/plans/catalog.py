@@ -755,13 +755,13 @@ def lexical_judge(criterion: str, text: str, units: list[str], against: str | No
     def words(t):
         return set(re.findall("[a-z0-9]+", (t or "").lower()))
 
-    out = []
+    out, opposite = [], words(against)
     for u in units:
         if criterion == "coherence":
             n = len(re.findall("[a-z0-9]+", u.lower()))
             out.append(10 * len(words(u)) / n if n else None)
         else:
-            own, other = (words(against), words(u)) if criterion == "hallucination" else (words(u), words(against))
+            own, other = (opposite, words(u)) if criterion == "hallucination" else (words(u), opposite)
             held = 2 * len(own & other) >= len(own)
             out.append((held != (criterion == "hallucination")) if own else None)
     return out
