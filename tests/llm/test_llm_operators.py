@@ -445,6 +445,29 @@ def test_a_host_of_junk_is_rejected(spark):
     assert got[300]["host_verdict"] == "rejected" and not got[300]["kept"] and not got[300]["base_failed"]
 
 
+def test_clean_documents_are_not_dealt_by_host(spark, monkeypatch):
+    from evalspark.llm import hostrules
+
+    good = " ".join(f"word{k}" for k in range(80))
+    rows = [(k, f"{good} g{k}", ("fine", None, "a")[k % 3]) for k in range(90)] + [(100 + k, "short", "junk") for k in range(60)]
+    rows += [(300, good, "junk"), (301, "# $ " + "word " * 80, "a"), (None, good, None), (5, good, "fine"), (5, good, "fine")]
+    d = docs_frame(spark, rows)
+    exp = sorted([*map(str, range(90)), "5", "5", "None"])
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as when the host table's size is not known before it runs
+    try:
+        kept = hostrules.keep_clean(d)
+        assert sorted(str(r.doc_id) for r in kept.collect()) == exp
+        plan = kept._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+        monkeypatch.setattr(hostrules, "BROADCAST_BYTES", 0)
+        dealt = hostrules.keep_clean(d)
+        assert sorted(str(r.doc_id) for r in dealt.collect()) == exp
+        assert "hashpartitioning" in dealt._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 # --- 9 sharding -----------------------------------------------------------------------------------
 
 
