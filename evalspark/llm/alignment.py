@@ -1,7 +1,8 @@
 """Alignment of two tokenizers' ids over the same text.
 
-Per document the two sides' cumulative byte ends are dictionaries from end to index; the ends that both have, sorted,
-slice both id lists into groups, and inside a slice every pair of overlapping tokens is a link.  How many
+The two sides' cumulative byte ends are dictionaries from end to index, held as arrays by byte; the ends that both have
+slice both id lists into groups, and inside a slice every pair of overlapping tokens is a link.  Documents are aligned
+in batches, end to end: each of them ends where both sides do, so no group and no link crosses from one to the next.  How many
 documents hold a linked id pair is counted over the whole corpus: documents are taken in chunks, a chunk's distinct
 pairs are counted once, so that only they cross the shuffle, and each chunk gets its counts back.
 """
@@ -12,7 +13,9 @@ import base64
 import hashlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 from pathlib import Path
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +27,8 @@ from evalspark.llm.common import stored
 
 #: Text bytes of a chunk, at which it is closed; a longer text is a chunk of its own.
 CHUNK_BYTES = 4 << 20
+#: Text bytes of a batch, at which it is aligned; its arrays are a few times larger and should stay in a core's cache.
+BATCH_BYTES = 1 << 18
 #: Fixed value: what splits a text before byte-pair merging, for rank files, which do not hold it.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Ids of both sides are below 2**SHIFT; a pair is the first id shifted, plus the second.
@@ -75,7 +80,7 @@ def _ranks(data: bytes) -> tuple[Callable, list[bytes]]:
     pieces = [b""] * (max(ranks.values()) + 1)
     for piece, i in ranks.items():
         pieces[i] = piece
-    return lambda text: enc.encode_to_numpy(text, allowed_special=set(), disallowed_special=()).astype(np.int64), pieces
+    return enc.encode_ordinary, pieces
 
 
 def _pieces(data: bytes) -> tuple[Callable, list[bytes]]:
@@ -86,71 +91,142 @@ def _pieces(data: bytes) -> tuple[Callable, list[bytes]]:
     for i in range(sp.get_piece_size()):
         p = sp.id_to_piece(i)
         pieces.append(bytes([int(p[3:5], 16)]) if sp.is_byte(i) else p.replace("▁", " ").encode("utf-8"))
-    return lambda text: sp.encode(text, num_threads=1), pieces
+    return lambda text: sp.encode(text, num_threads=1, return_type="numpy"), pieces
+
+
+def _starts(sizes: np.ndarray) -> np.ndarray:
+    """Sums of what stands before each entry, and of all at the end."""
+    out = np.zeros(len(sizes) + 1, dtype=np.int64)
+    np.cumsum(sizes, out=out[1:])
+    return out
+
+
+class Side(NamedTuple):
+    """A vocabulary in a task.  ``flat`` has the bytes of all ids, id ``i`` from ``start[i]`` on."""
+
+    encode: Callable
+    pieces: list[bytes]
+    lead: bool
+    lossless: bool
+    size: np.ndarray
+    start: np.ndarray
+    flat: np.ndarray
+
+    def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, number of each text's)."""
+        own = [self.encode(" " + t if self.lead else t) for t in texts]
+        return np.concatenate([np.asarray(x, dtype=np.int64) for x in own]), np.fromiter(map(len, own), dtype=np.int64, count=len(own))
+
+    def bytes_of(self, ids: np.ndarray) -> np.ndarray:
+        """The ids' bytes, joined."""
+        size = self.size[ids]
+        before = _starts(size)
+        at = np.repeat(self.start[ids] - before[:-1], size)
+        at += np.arange(before[-1])
+        return self.flat[at]
+
+
+@dataclass(frozen=True)
+class Batch:
+    """Aligned documents: for each, its numbers of first ids, second ids, groups and linked pairs, and its groups as text;
+    all linked pairs in text order, document after document."""
+
+    n_a: np.ndarray
+    n_b: np.ndarray
+    n_groups: np.ndarray
+    n_links: np.ndarray
+    groups: list[bytes]
+    links: np.ndarray
 
 
 class Aligner:
     """Aligns texts under two vocabularies; built once per task."""
 
     def __init__(self, a: Vocabulary, b: Vocabulary):
-        self.sides = []
-        self.lossless = [v.kind == "tiktoken" for v in (a, b)]
+        self.sides, names = [], []
         for v, ends in ((a, (",", "|")), (b, (",", ";"))):
             encode, pieces = v.load()
-            sizes = np.array([len(p) for p in pieces], dtype=np.int64)
-            names = np.array([f"{i}{e}" for e in ends for i in range(len(pieces))], dtype=object)
-            self.sides.append((encode, pieces, sizes, names, not v.adds_space))
-
-    def tokens(self, text: str | None) -> list[np.ndarray] | None:
-        """Both sides' ids; None if there are none or a side's bytes are not a space and the text."""
-        if not text:
-            return None
-        spaced, out = " " + text, []
-        whole = spaced.encode("utf-8", "surrogatepass")
-        for (encode, pieces, sizes, _, lead), lossless in zip(self.sides, self.lossless, strict=True):
-            ids = encode(spaced if lead else text)
-            own = np.asarray(ids, dtype=np.int64)
+            size = np.array([len(p) for p in pieces], dtype=np.int64)
+            flat = np.frombuffer(b"".join(pieces), dtype=np.uint8)
             # tokens of a rank file are stretches of the text in order, so their sizes tell whether one is missing
-            if (int(sizes[own].sum()) != len(whole)) if lossless else (b"".join(map(pieces.__getitem__, ids)) != whole):
-                return None
-            out.append(own)
-        return out
-
-    def align(self, text: str | None) -> tuple[int, int, int, np.ndarray, str]:
-        """(number of first ids, of second ids, of groups, linked pairs in text order, groups as text)."""
-        ids = self.tokens(text)
-        if ids is None:
-            return 0, 0, 0, np.zeros(0, dtype=np.int64), ""
+            self.sides.append(Side(encode, pieces, not v.adds_space, v.kind == "tiktoken", size, _starts(size), flat))
+            names += [f"{i}{e}" for e in ends for i in range(len(pieces))]
+        wide = max(map(len, names))
+        self.name = np.array(names, dtype=f"S{max(wide, 8)}")  # entries of 8 bytes are copied fastest
+        self.name_size = np.array([len(x) for x in names], dtype=np.int64)
+
+    def tokens(self, texts: list[str | None]) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray], np.ndarray]:
+        """(places of the texts that have tokens; both sides' ids of them; how many each has; its bytes).  Without tokens are
+        null and empty texts, and those of which a side's bytes are not a space and the text."""
+        place = np.array([k for k, t in enumerate(texts) if t], dtype=np.int64)
+        raw = [(" " + texts[k]).encode("utf-8", "surrogatepass") for k in place]
+        size = np.array([len(x) for x in raw], dtype=np.int64)
+        ids, count = [], []
+        if len(place):
+            ids, count = map(list, zip(*(s.ids([texts[k] for k in place]) for s in self.sides), strict=True))
+        for check in (self._same_size, self._same_bytes):
+            if len(place):
+                good = check(ids, count, size, raw)
+                if not good.all():
+                    ids = [x[np.repeat(good, n)] for x, n in zip(ids, count, strict=True)]
+                    count = [n[good] for n in count]
+                    place, size, raw = place[good], size[good], [x for x, g in zip(raw, good, strict=True) if g]
+        return place, ids, count, size
+
+    def _same_size(self, ids: list, count: list, size: np.ndarray, raw: list[bytes]) -> np.ndarray:
+        good = np.ones(len(size), dtype=bool)
+        for s, x, n in zip(self.sides, ids, count, strict=True):
+            good &= np.diff(_starts(s.size[x])[_starts(n)]) == size
+        return good
+
+    def _same_bytes(self, ids: list, count: list, size: np.ndarray, raw: list[bytes]) -> np.ndarray:
+        good, whole = np.ones(len(size), dtype=bool), np.frombuffer(b"".join(raw), dtype=np.uint8)
+        for s, x in zip(self.sides, ids, strict=True):
+            if not s.lossless:
+                other = np.flatnonzero(s.bytes_of(x) != whole)
+                good[np.searchsorted(np.cumsum(size), other, side="right")] = False
+        return good
+
+    def align(self, texts: list[str | None]) -> Batch:
+        place, ids, count, size = self.tokens(texts)
+        n_a, n_b, n_groups, n_links = (np.zeros(len(texts), dtype=np.int64) for _ in range(4))
+        groups = [b""] * len(texts)
+        if not len(place):
+            return Batch(n_a, n_b, n_groups, n_links, groups, np.zeros(0, dtype=np.int64))
         p, q = ids
-        (_, _, size_a, name_a, _), (_, _, size_b, name_b, _) = self.sides
-        end_a, end_b = np.cumsum(size_a[p]), np.cumsum(size_b[q])
-        at_a = dict(zip(end_a.tolist(), range(1, len(p) + 1), strict=True))
-        at_b = dict(zip(end_b.tolist(), range(1, len(q) + 1), strict=True))
-        common = sorted(at_a.keys() & at_b.keys())
-        cut_a = np.fromiter(map(at_a.__getitem__, common), dtype=np.int64, count=len(common))
-        cut_b = np.fromiter(map(at_b.__getitem__, common), dtype=np.int64, count=len(common))
-        return len(p), len(q), len(common), self._links(p, q, end_a, end_b), _groups(p, q, cut_a, cut_b, name_a, name_b)
+        n_a[place], n_b[place] = count
+        ends = _starts(size)  # of the documents
+        end_a, end_b = (np.cumsum(s.size[x]) for s, x in zip(self.sides, ids, strict=True))
+        at_a, at_b = (np.zeros(ends[-1] + 1, dtype=np.int32) for _ in ids)
+        at_a[end_a], at_b[end_b] = np.arange(1, len(p) + 1), np.arange(1, len(q) + 1)
+        either = np.flatnonzero(at_a | at_b)
+        one, two = at_a[either], at_b[either]
+        in_a, in_b = one > 0, two > 0
+        cut = in_a & in_b
+        n_groups[place] = np.diff(np.searchsorted(either[cut], ends, side="right"))
+        n_links[place] = np.diff(np.searchsorted(either, ends, side="right"))
+        for k, text in zip(place.tolist(), self._groups(p, q, one[cut], two[cut], np.cumsum(count[0] + count[1])), strict=True):
+            groups[k] = text
+        return Batch(n_a, n_b, n_groups, n_links, groups, self._links(p, q, in_a, in_b))
 
     @staticmethod
-    def _links(p: np.ndarray, q: np.ndarray, end_a: np.ndarray, end_b: np.ndarray) -> np.ndarray:
+    def _links(p: np.ndarray, q: np.ndarray, in_a: np.ndarray, in_b: np.ndarray) -> np.ndarray:
         """Pairs of overlapping tokens.  Between two neighbouring ends of either side lies one token of each, and
         each overlapping pair has one such stretch; a slice's stretches are its own, as it ends where both sides do."""
-        both = np.concatenate([end_a, end_b])
-        both.sort(kind="stable")  # two runs in order: a merge
-        stretch = both[np.append(True, both[1:] != both[:-1])]
-        return p[np.searchsorted(end_a, stretch)] << SHIFT | q[np.searchsorted(end_b, stretch)]
-
-
-def _groups(p: np.ndarray, q: np.ndarray, cut_a: np.ndarray, cut_b: np.ndarray, name_a: np.ndarray, name_b: np.ndarray) -> str:
-    """``a1,a2|b1;a3|b2,b3``: each slice's ids of both sides."""
-    out = np.empty(len(p) + len(q), dtype=object)
-    for ids, own, other, names, ahead in ((p, cut_a, cut_b, name_a, 0), (q, cut_b, cut_a, name_b, 1)):
-        last = np.zeros(len(ids), dtype=np.int64)
-        last[own - 1] = 1
-        group = np.cumsum(last) - last
-        before = np.concatenate([[0], other])[group + ahead]  # ids of the other side that stand before
-        out[np.arange(len(ids)) + before] = names[ids + last * (len(names) // 2)]
-    return "".join(out.tolist())[:-1]
+        return p[np.cumsum(in_a) - in_a] << SHIFT | q[np.cumsum(in_b) - in_b]
+
+    def _groups(self, p: np.ndarray, q: np.ndarray, cut_a: np.ndarray, cut_b: np.ndarray, ends: np.ndarray) -> list[bytes]:
+        """``a1,a2|b1;a3|b2,b3``: each slice's ids of both sides.  ``ends``: of the documents, in tokens of both sides."""
+        out, shift = np.empty(len(p) + len(q), dtype=np.int64), 0
+        sides = ((p, cut_a, np.append(0, cut_b[:-1]), len(self.sides[0].size)), (q, cut_b, cut_a, len(self.sides[1].size)))
+        for ids, own, other, n in sides:
+            name = ids + shift
+            name[own - 1] += n  # a slice's last id has the other end
+            out[np.arange(len(ids)) + np.repeat(other, np.diff(own, prepend=0))] = name  # after the other side's ids that stand before
+            shift += 2 * n
+        to = _starts(self.name_size[out])[ends]
+        text = self.name[out].tobytes().translate(None, b"\0")  # shorter names end in zero bytes
+        return [text[lo : hi - 1] for lo, hi in zip([0, *to[:-1].tolist()], to.tolist(), strict=True)]
 
 
 #: A document's own results.
@@ -170,36 +246,48 @@ def _chunks(docs: DataFrame, a: Vocabulary, b: Vocabulary, groups_out: bool, chu
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner, n = make(a, b), 0
         first = TaskContext.get().partitionId() << 32
-        rows, found, weight = [], [], 0
+        ids, texts, done, weight, waiting = [], [], [], 0, 0
+
+        def flush() -> None:
+            nonlocal texts, waiting
+            x = aligner.align(texts)
+            digests = [hashlib.sha256(g).hexdigest() if g else "" for g in x.groups]
+            done.append((x, [g.decode() for g in x.groups] if groups_out else [None] * len(texts), digests))
+            texts, waiting = [], 0
 
         def close() -> pa.RecordBatch:
-            nonlocal rows, found, weight, n
+            nonlocal ids, done, weight, n
+            aligned, groups, digests = zip(*done, strict=True)
+            numbers = [np.concatenate([getattr(x, c) for x in aligned]) for c in ("n_a", "n_b", "n_groups", "n_links")]
+            cols = [ids, *numbers, list(chain(*groups)), list(chain(*digests))]
+            rows = pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
             # a document's number stands before its pairs, so that one sort finds the distinct pairs of all of them
-            keys = np.concatenate(found) + (np.repeat(np.arange(len(found), dtype=np.int64), [len(k) for k in found]) << (2 * SHIFT))
+            keys = np.concatenate([x.links for x in aligned]) + (np.repeat(np.arange(len(ids), dtype=np.int64), numbers[-1]) << (2 * SHIFT))
             keys.sort()
             new = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, dtype=np.int64)
             own, times = keys[new], np.diff(np.append(new, len(keys)))
             pair, at, docs_of = np.unique(own & ((1 << 2 * SHIFT) - 1), return_inverse=True, return_counts=True)
-            size = np.bincount(own >> (2 * SHIFT), minlength=len(found))
-            one = {
-                "chunk": first + n, "pair": pair, "docs": docs_of.astype(np.int32), "rows": rows,
-                "size": size.astype(np.int32), "at": at.astype(np.int32), "times": times.astype(np.int32),
-            }
-            rows, found, weight, n = [], [], 0, n + 1
-            return pa.RecordBatch.from_pylist([one], schema=schema)
+            size = np.bincount(own >> (2 * SHIFT), minlength=len(ids))
+            lists = [pa.array(pair), pa.array(docs_of, pa.int32()), rows, *(pa.array(x, pa.int32()) for x in (size, at, times))]
+            one = [pa.array([first + n], pa.int64()), *(pa.ListArray.from_arrays([0, len(x)], x) for x in lists)]
+            ids, done, weight, n = [], [], 0, n + 1
+            return pa.RecordBatch.from_arrays(one, schema=schema)
 
         for batch in batches:
             for k in range(batch.num_rows):
                 text = batch.column(1)[k].as_py()
-                n_a, n_b, n_groups, links, groups = aligner.align(text)
-                digest = hashlib.sha256(groups.encode()).hexdigest() if n_a else ""
-                row = (batch.column(0)[k].as_py(), n_a, n_b, n_groups, len(links), groups if groups_out else None, digest)
-                rows.append(dict(zip(names, row, strict=True)))
-                found.append(links)
+                ids.append(batch.column(0)[k].as_py())
+                texts.append(text)
                 weight += 64 + len(text or "")
-                if weight >= chunk_bytes or len(found) == MOST_DOCS:
+                waiting += len(text or "")
+                full = weight >= chunk_bytes or len(ids) == MOST_DOCS
+                if full or waiting >= BATCH_BYTES:
+                    flush()
+                if full:
                     yield close()
-        if rows:
+        if texts:
+            flush()
+        if ids:
             yield close()
 
     names = list(ROW)

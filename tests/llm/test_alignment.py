@@ -97,6 +97,38 @@ def test_tables_texts(spark):
     assert got(spark, texts)[0] == brute(texts)
 
 
+def test_documents_are_aligned_in_batches(monkeypatch):
+    """A task aligns many short documents at once, texts without tokens among them, with the rows and pairs of one at a time."""
+    import pyarrow as pa
+
+    from evalspark.llm import alignment
+
+    class Docs:
+        def select(self, *names):
+            return self
+
+        def mapInArrow(self, run, schema):
+            return run
+
+    class Task:
+        get = classmethod(lambda cls: cls)
+        partitionId = staticmethod(lambda: 0)
+
+    calls, align_some = [], Aligner.align
+    monkeypatch.setattr(Aligner, "align", lambda self, x: calls.append(x) or align_some(self, x))
+    monkeypatch.setattr(alignment, "TaskContext", Task)
+    texts = [f"{t or ''} {k}" if k % 3 else t for k, t in enumerate(TEXTS * 20)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(len(texts)), pa.int64()), "text": pa.array(texts, pa.string())})
+    found, made = [], []
+    for most in (1, 1 << 14, alignment.BATCH_BYTES):
+        monkeypatch.setattr(alignment, "BATCH_BYTES", most)
+        calls.clear()
+        found.append([x.to_pylist() for x in alignment._chunks(Docs(), *sides(), True, 1 << 20)(iter([batch, batch]))])
+        made.append(len(calls))
+    assert found[0] == found[1] == found[2] and len(found[0][0][0]["rows"]) == 2 * len(texts)
+    assert made[0] > made[1] > made[2] == 1
+
+
 def test_null_ids_repeated_rows_and_empty_table(spark):
     kind = "doc_id long, text string"
     docs = spark.createDataFrame([(None, "a b"), (None, "a b"), (3, "a b"), (3, None)], kind)
