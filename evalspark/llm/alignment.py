@@ -4,7 +4,8 @@ The two sides' cumulative byte ends are dictionaries from end to index, held as
 slice both id lists into groups, and inside a slice every pair of overlapping tokens is a link.  Documents are aligned
 in batches, end to end: each of them ends where both sides do, so no group and no link crosses from one to the next.  How many
 documents hold a linked id pair is counted over the whole corpus: documents are taken in chunks, a chunk's distinct
-pairs are counted once, so that only they cross the shuffle, and each chunk gets its counts back.
+pairs are counted once, so that only they cross the shuffle, and each chunk gets its counts back.  A chunk is written as
+pieces, small rows, because thousands of rows of a table are read into memory at once.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ from evalspark.llm.common import stored
 CHUNK_BYTES = 4 << 20
 #: Text bytes of a batch, at which it is aligned; its arrays are a few times larger and should stay in a core's cache.
 BATCH_BYTES = 1 << 18
+#: Entries at most that a piece has of each list of numbers, and bytes of documents' rows at which it is closed.
+PIECE, PIECE_BYTES = 1 << 10, 1 << 14
 #: Fixed value: what splits a text before byte-pair merging, for rank files, which do not hold it.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Ids of both sides are below 2**SHIFT; a pair is the first id shifted, plus the second.
@@ -232,15 +235,18 @@ class Aligner:
 #: A document's own results.
 ROW = {"doc_id": "bigint", "n_a": "bigint", "n_b": "bigint", "n_groups": "bigint", "n_links": "bigint", "groups": "string", "groups_sha256": "string"}
 CHUNK = (
-    f"chunk bigint, pair array<bigint>, docs array<int>, rows array<struct<{','.join(f'{k}:{v}' for k, v in ROW.items())}>>, "
+    f"chunk bigint, part int, pair array<bigint>, docs array<int>, rows array<struct<{','.join(f'{k}:{v}' for k, v in ROW.items())}>>, "
     "size array<int>, at array<int>, times array<int>"
 )
 RESULT = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups", "groups_sha256"]
 
 
-def _chunks(docs: DataFrame, a: Vocabulary, b: Vocabulary, groups_out: bool, chunk_bytes: int) -> DataFrame:
-    """One row per chunk of documents: its distinct pairs and the number of its documents that hold each; its
-    documents' rows; and, document after document (``size`` entries each), places of its pairs and their numbers of links."""
+def _chunks(
+    docs: DataFrame, a: Vocabulary, b: Vocabulary, groups_out: bool, chunk_bytes: int, piece: int = 1 << 30, piece_bytes: int = 1 << 30
+) -> DataFrame:
+    """Chunks of documents, as one row per piece (``part``: its number).  All pieces of a chunk, joined, have its distinct pairs
+    (``piece`` of them each) and the number of its documents that hold each; its documents' rows; and, document after
+    document (``size`` entries each), places of its pairs and their numbers of links."""
     make = Aligner
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,10 +274,17 @@ def _chunks(docs: DataFrame, a: Vocabulary, b: Vocabulary, groups_out: bool, chu
             own, times = keys[new], np.diff(np.append(new, len(keys)))
             pair, at, docs_of = np.unique(own & ((1 << 2 * SHIFT) - 1), return_inverse=True, return_counts=True)
             size = np.bincount(own >> (2 * SHIFT), minlength=len(ids))
-            lists = [pa.array(pair), pa.array(docs_of, pa.int32()), rows, *(pa.array(x, pa.int32()) for x in (size, at, times))]
-            one = [pa.array([first + n], pa.int64()), *(pa.ListArray.from_arrays([0, len(x)], x) for x in lists)]
+            row_bytes = np.array([128 + len(g or "") for g in chain(*groups)])
+            home = (np.cumsum(row_bytes) - row_bytes) // piece_bytes  # the piece of each document's row
+            pieces = np.arange(1 + max(home[-1], len(pair) // piece, len(at) // piece))
+            by_count = lambda x: np.minimum(np.append(pieces, len(pieces)) * piece, len(x))
+            by_bytes = np.searchsorted(home, np.append(pieces, len(pieces)))
+            lists = [(pa.array(pair), by_count(pair)), (pa.array(docs_of, pa.int32()), by_count(pair)), (rows, by_bytes)]
+            lists += [(pa.array(x, pa.int32()), to) for x, to in ((size, by_bytes), (at, by_count(at)), (times, by_count(at)))]
+            cols = [pa.array(np.full(len(pieces), first + n)), pa.array(pieces, pa.int32())]
+            cols += [pa.ListArray.from_arrays(pa.array(to, pa.int32()), x) for x, to in lists]
             ids, done, weight, n = [], [], 0, n + 1
-            return pa.RecordBatch.from_arrays(one, schema=schema)
+            return pa.RecordBatch.from_arrays(cols, schema=schema)
 
         for batch in batches:
             for k in range(batch.num_rows):
@@ -294,7 +307,7 @@ def _chunks(docs: DataFrame, a: Vocabulary, b: Vocabulary, groups_out: bool, chu
     kinds = [pa.string() if v == "string" else pa.int64() for v in ROW.values()]
     ints = pa.list_(pa.int32())
     schema = pa.schema({
-        "chunk": pa.int64(), "pair": pa.list_(pa.int64()), "docs": ints,
+        "chunk": pa.int64(), "part": pa.int32(), "pair": pa.list_(pa.int64()), "docs": ints,
         "rows": pa.list_(pa.struct(list(zip(names, kinds, strict=True)))), "size": ints, "at": ints, "times": ints,
     })
     return docs.select("doc_id", "text").mapInArrow(run, CHUNK)
@@ -321,31 +334,32 @@ def align(
     side does not give back byte by byte, have no tokens: zeros and empty strings.  Rows with null or equal doc_id
     are documents of their own and count each.  An empty table gives no rows.  Other columns play no part.
     """
-    chunks = stored(_chunks(docs, a, b, groups_out, chunk_bytes))
+    chunks = stored(_chunks(docs, a, b, groups_out, chunk_bytes, PIECE, PIECE_BYTES))
     counts = _pair_counts(chunks)
-    own = chunks.select("chunk", F.posexplode("pair").alias("place", "pair"))
+    own = chunks.select("chunk", "part", F.posexplode("pair").alias("at", "pair"))
+    own = own.select("chunk", (F.col("part") * PIECE + F.col("at")).alias("place"), "pair")
     back = own.join(counts, "pair").select("chunk", "place", "count", "best")
 
     def give(left: pa.Table, right: pa.Table) -> pa.Table:
         place = right.column("place").to_numpy()
         count, best = np.zeros(len(place), dtype=np.int64), np.zeros(len(place), dtype=np.int64)
         count[place], best[place] = right.column("count").to_numpy(), right.column("best").to_numpy(zero_copy_only=False)
-        out = []
-        for k in range(left.num_rows):
-            at, times, size = (left.column(c)[k].values.to_numpy() for c in ("at", "times", "size"))
-            row = left.column("rows")[k].values
-            doc = np.repeat(np.arange(len(size)), size)
-            sums = [np.zeros(len(size), dtype=np.int64) for _ in range(2)]
-            for s, value in zip(sums, (best, count), strict=True):
-                np.add.at(s, doc, value[at] * times)
-            cols = dict(zip(names, row.flatten(), strict=True)) | {"n_best": pa.array(sums[0]), "count_sum": pa.array(sums[1])}
-            out.append(pa.table([cols[c] for c in final], names=final))
-        return pa.concat_tables(out) if out else pa.table({c: [] for c in final}, schema=empty)
+        if not left.num_rows:
+            return pa.table({c: [] for c in final}, schema=empty)
+        pieces = np.argsort(left.column("part").to_numpy())
+        joined = {c: pa.concat_arrays([left.column(c)[k].values for k in pieces.tolist()]) for c in ("at", "times", "size", "rows")}
+        at, times, size = (joined[c].to_numpy() for c in ("at", "times", "size"))
+        doc = np.repeat(np.arange(len(size)), size)
+        sums = [np.zeros(len(size), dtype=np.int64) for _ in range(2)]
+        for s, value in zip(sums, (best, count), strict=True):
+            np.add.at(s, doc, value[at] * times)
+        cols = dict(zip(names, joined["rows"].flatten(), strict=True)) | {"n_best": pa.array(sums[0]), "count_sum": pa.array(sums[1])}
+        return pa.table([cols[c] for c in final], names=final)
 
     names, final = list(ROW), list(RESULT)
     empty = pa.schema([(c, pa.string() if c.startswith("groups") else pa.int64()) for c in final])
     kinds = ", ".join(f"{c} {'string' if c.startswith('groups') else 'bigint'}" for c in final)
-    rows = chunks.select(F.col("chunk").alias("home"), "rows", "size", "at", "times")
+    rows = chunks.select(F.col("chunk").alias("home"), "part", "rows", "size", "at", "times")
     documents = rows.groupBy("home").cogroup(back.groupBy("chunk")).applyInArrow(give, kinds)
     mask = (1 << SHIFT) - 1
     links = counts.select(

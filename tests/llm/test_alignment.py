@@ -129,6 +129,21 @@ def test_documents_are_aligned_in_batches(monkeypatch):
     assert made[0] > made[1] > made[2] == 1
 
 
+def test_chunks_are_written_as_small_rows(spark, monkeypatch):
+    """Thousands of rows of a written table are in memory at once, so none has a whole chunk."""
+    from evalspark.llm import alignment
+
+    kept, keep = [], alignment.stored
+    monkeypatch.setattr(alignment, "stored", lambda df: kept.append(keep(df)) or kept[-1])
+    monkeypatch.setattr(alignment, "PIECE", 7)
+    monkeypatch.setattr(alignment, "PIECE_BYTES", 300)
+    assert got(spark, TEXTS)[0] == brute(TEXTS)
+    rows = kept[0].collect()
+    assert max(len(r[c]) for r in rows for c in ("pair", "docs", "at", "times")) <= 7
+    assert max(sum(128 + len(x.groups) for x in r["rows"][:-1]) for r in rows) < 300
+    assert len({r.chunk for r in rows}) < len(rows)
+
+
 def test_null_ids_repeated_rows_and_empty_table(spark):
     kind = "doc_id long, text string"
     docs = spark.createDataFrame([(None, "a b"), (None, "a b"), (3, "a b"), (3, None)], kind)
